@@ -20,6 +20,8 @@ from sectionspark.llm.scratch import stored
 PASS_COSTS = (0, 1, 3, 6, 10, 15, 21, 28)
 #: Buckets of the seeded order in one round of the search for a part of a pattern.
 BUCKETS = 4096
+#: Turns that fill what the first cut of a pattern leaves with smaller documents.
+FILLS = 3
 #: Patterns that the driver takes at most; more are refused, as the flow is solved there.
 MAX_PATTERNS = 20_000
 
@@ -116,8 +118,9 @@ def mix(docs: DataFrame, members: Column, weights, size: Column | None = None, t
 
     Takes whole documents only: each is taken floor or ceil of (flow / size of its pattern)
     times, the ones taken once more being first in a seeded hash order of (id, size) up to
-    the word count that the flow leaves. The order is cut by two exact histograms, never by
-    a sort of a whole source, so a source with a third of all rows is no special case.
+    the word count that the flow leaves; FILLS more turns fill the rest with documents of at
+    most half its size. The order is cut by two exact histograms, never by a sort of a whole
+    source, so a source with a third of all rows is no special case.
     Documents without words take nothing. Rows equal in id and size are taken alike; an
     empty table gives an empty result.
     """
@@ -149,12 +152,26 @@ def mix(docs: DataFrame, members: Column, weights, size: Column | None = None, t
     at = F.broadcast(small.select("at", F.col("members").alias("m"), "passes", "source_size", "target"))
     table = table.join(at, F.coalesce("members", F.array().cast("array<string>")).eqNullSafe(F.col("m")), "left").drop("m")
     rest = {index[p]: plan[p][1] for p in plan if plan[p][1]}
-    coarse, below = _boundary(table, high, rest, {})
-    fine, _ = _boundary(table.join(_pairs(spark, coarse, "edge"), "at").where(high == F.col("edge")), low, rest, below)
-    cut = _pairs(spark, {i: fine[i] << 16 for i in fine}, "cut")
-    taken = F.col("passes") + F.when(F.col("mark") < F.col("cut"), 1).otherwise(0)
-    out = table.join(cut, "at", "left")
-    return out.select(id_col, "size", "source_size", "target", (F.col("size") * taken).alias("taken"), taken.cast("int").alias("repeats"))
+    extra = F.lit(False)
+    for turn in range(FILLS + 1):
+        # the first turn may take any document; later ones only such as leave a finer rest
+        fits = F.lit(True) if turn == 0 else F.col("size") <= F.col("limit")
+        limits = _pairs(spark, {i: n if turn == 0 else n // 2 for i, n in rest.items()}, "limit")
+        open_ = table.where(~extra).join(limits, "at").where(fits)
+        coarse, below = _boundary(open_, high, rest, {})
+        fine, below = _boundary(open_.join(_pairs(spark, coarse, "edge"), "at").where(high == F.col("edge")), low, rest, below)
+        # a pattern whose documents all fit has no edge: all of them are taken
+        ends = {i: fine[i] << 16 if i in fine else (coarse[i] + 1) << 28 if i in coarse else 1 << 40 for i in rest}
+        cut = _pairs(spark, ends, f"cut{turn}")
+        if turn:
+            cut = cut.join(limits.withColumnRenamed("limit", f"limit{turn}"), "at")
+        table = table.join(F.broadcast(cut), "at", "left")
+        more = F.col("mark") < F.col(f"cut{turn}")
+        more = more & (F.col("size") <= F.col(f"limit{turn}")) if turn else more
+        extra = extra | F.coalesce(more, F.lit(False))
+        rest = {i: left for i, n in rest.items() if (left := n - below.get(i, 0)) > 0}
+    repeats = F.col("passes") + F.when(extra, 1).otherwise(0)
+    return table.select(id_col, "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.cast("int").alias("repeats"))
 
 
 def _pairs(spark, values: dict[int, int], name: str) -> DataFrame:
@@ -163,7 +180,7 @@ def _pairs(spark, values: dict[int, int], name: str) -> DataFrame:
 
 
 def _boundary(table: DataFrame, bucket: Column, rest: dict[int, int], below: dict[int, int]) -> tuple[dict, dict]:
-    """For each pattern the bucket in which the sizes, added up in order of the mark, reach
+    """For each pattern of rest the bucket in which the sizes, added up in order of the mark, reach
     what is left to take, and the sum before that bucket; only histograms leave the tasks."""
     if not rest:
         return {}, {}
