@@ -39,8 +39,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality.train(docs, _table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
+    scored = quality.score_quality(rows, trees, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm import language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    found = language_id.identify(rows, language_id.train(docs), keep=["doc_id", "held_out"])
+    return found.withColumnRenamed("lang_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_histogram_sort, op6_token_counts)}
+    return {f.__name__: f for f in (op3_mixing, op4_histogram_sort, op6_token_counts, op8_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
