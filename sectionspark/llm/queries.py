@@ -16,6 +16,18 @@ def weights_5_2_1(sources: list) -> list[int]:
     return [(5, 2, 1)[i % 3] for i in range(len(sources))]
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm.pivot_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectionspark.llm.mixing import mix
 
@@ -59,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_histogram_sort, op6_token_counts, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
