@@ -70,8 +70,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("lang_score", "score")
 
 
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sectionspark.llm.packing import WordTokenizer, pack
+
+    return packed_digest(pack(_table(spark, sf_dir, "documents"), WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
