@@ -42,6 +42,12 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +89,7 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing)}
+    return {f.__name__: f for f in (op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
