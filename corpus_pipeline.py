@@ -3,15 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sectionspark.llm import scratch
+from sectionspark.llm import language_id, line_dedup, minhash, mixing, packing, queries, scratch
 
-STAGES: list = []
+#: Kept or dropped ids up to so many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no language: null texts and texts without a letter."""
+    columns = docs.columns
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model, keep=columns)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that match an earlier line; every document stays, with what is left."""
+    columns = docs.columns
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in columns:
+        n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars)
+    return out.select(*columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest id.
+    Rows without an id are no members of a group and stay."""
+    classes = scratch.stored(minhash.near_duplicates(docs), "classes")
+    gone = classes.where(~F.col("kept")).select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does: not at all, once or repeatedly."""
+    taken = mixing.mix(docs, F.array("source"), queries.weights_5_2_1).select("doc_id", F.col("repeats").alias("_repeats"))
+    taken = scratch.stored(taken.where("_repeats > 0").groupBy("doc_id").agg(F.max("_repeats").alias("_repeats")), "taken")
+    if taken.count() <= BROADCAST_IDS:
+        taken = F.broadcast(taken)
+    out = docs.alias("d").join(taken.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*(F.col(f"d.{c}") for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents; returns a row for each piece of a sequence."""
+    import public_tokenizers
+
+    return queries.packed_digest(packing.pack(docs, packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 #: SQL can express neither language identification nor the flow or the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written to the shared folder and read by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
