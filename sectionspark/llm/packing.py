@@ -8,8 +8,11 @@ that a sequence holds neighbouring documents.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from math import erf
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,77 +24,88 @@ from sectionspark.llm.scratch import stored
 
 #: Hash buckets of a document vector, dimensions after projection, bits for each of them.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
-#: Words whose ids a worker keeps at most; then it starts anew.
-MAX_WORDS = 400_000
+#: Pieces whose ids a worker keeps at most; then it starts anew.
+MAX_WORDS = 600_000
 #: Words handled at once, and tokens that one sorted cell holds, about.
 MOST_AT_ONCE, CELL_TOKENS = 500_000, 4 << 20
 
 
-class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` file whose pieces never cross white space.
-
-    Such a text's ids are those of its words between ASCII white space, end to end, so each
-    distinct word is encoded once in a worker.
-    """
+# The split pattern of the tokenizer file; the class of letters is that of the
+# texts that SAFE admits.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+#: Texts with other characters are cut at white space only. What is admitted has one form
+#: under NFC, one lower case and the class (letter, digit, other) that PIECES gives it.
+UNSAFE = re.compile(r"[^\t\n\v\f\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]|<\|")
+_loaded: dict[str, _Vocabulary] = {}
 
-    def __init__(self, file: str):
-        self.file = file
 
-    def __getstate__(self):
-        return {"file": self.file}
+class _Vocabulary:
+    """What one worker knows of a tokenizer: ids of the pieces met so far, end to end."""
 
-    def _start(self) -> None:
+    def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(self.file)
-        rng = np.random.default_rng(3)
-        self._axes = rng.standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
-        self._clear()
+        self.library = Tokenizer.from_file(file)
+        self.axes = np.random.default_rng(3).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
+        self.clear()
 
-    def _clear(self) -> None:
-        self._index: dict[bytes, int] = {}
-        self._ids = np.zeros(0, np.uint32)
-        self._starts, self._bucket = np.zeros(1, np.int64), np.zeros(0, np.int64)
+    def clear(self) -> None:
+        self.index: dict[str, int] = {"": 0}  # stands for the end of a text
+        self.ids = np.zeros(1, np.uint32)
+        self.starts, self.sizes, self.bucket = (np.array([v], np.int64) for v in (0, 1, 0))
 
-    def _learn(self, new: list[bytes]) -> None:
-        from zlib import crc32
-
-        got = [e.ids for e in self._library.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        self._index.update(zip(new, range(len(self._index), len(self._index) + len(new))))
+    def learn(self, new: list[str]) -> None:
+        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-        self._ids = np.concatenate([self._ids, flat])
-        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
-        self._bucket = np.concatenate([self._bucket, np.fromiter((crc32(w) % BUCKETS for w in new), np.int64, len(new))])
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+        self.bucket = np.concatenate([self.bucket, np.fromiter((crc32(w.encode()) % BUCKETS for w in new), np.int64, len(new))])
+
+
+class WordTokenizer:
+    """Ids of whole texts by a ``tokenizers`` file that folds case and whose pieces are those
+    of PIECES and never cross white space.
+
+    Such a text's ids are those of its pieces, end to end, so the library encodes each
+    distinct piece once in a worker.
+    """
+
+    def __init__(self, file: str):
+        self.file = file
 
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text followed by end_id; ids in each text;
         projected document vectors (zeros for a text without words)."""
-        if not hasattr(self, "_library"):
-            self._start()
-        split = [t.encode().split() for t in texts]
-        words = [w for s in split for w in s]
-        if len(self._index) > MAX_WORDS:
-            self._clear()
-        if new := list(set(words).difference(self._index)):
-            self._learn(new)
-        at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        row = np.repeat(np.arange(len(texts)), n_words)
-        size = np.diff(self._starts)[at]
-        n_ids = np.bincount(row, size, len(texts)).astype(np.int64) + 1
-        out = np.empty(int(n_ids.sum()), np.uint32)
-        ends = np.cumsum(n_ids)
-        out[ends - 1] = end_id
-        if len(words):
-            begin = np.cumsum(size) - size
-            inner = np.arange(int(size.sum())) - np.repeat(begin, size)
-            out[np.arange(len(inner)) + np.repeat(np.repeat(np.arange(len(texts)), n_words), size)] = self._ids[np.repeat(self._starts[at], size) + inner]
-        vectors = np.bincount(row * BUCKETS + self._bucket[at], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-        vectors = np.log1p(vectors).astype(np.float32)
-        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return out, n_ids, (vectors / np.maximum(norm, 1e-9)) @ self._axes
+        if self.file not in _loaded:
+            _loaded[self.file] = _Vocabulary(self.file)
+        v = _loaded[self.file]
+        split = [t.encode().split() if UNSAFE.search(t) else PIECES.findall(t.lower()) for t in texts]
+        split = [[w.decode() for w in s] if s and isinstance(s[0], bytes) else s for s in split]
+        pieces: list[str] = []
+        for s in split:
+            pieces += s
+            pieces.append("")
+        if len(v.index) > MAX_WORDS:
+            v.clear()
+        if new := list(set(pieces).difference(v.index)):
+            v.learn(new)
+        v.ids[0] = end_id
+        at = np.fromiter(map(v.index.__getitem__, pieces), np.int64, len(pieces))
+        n = np.fromiter(map(len, split), np.int64, len(split)) + 1
+        size = v.sizes[at]
+        ends = np.cumsum(size)
+        out = v.ids[np.repeat(v.starts[at] - ends + size, size) + np.arange(ends[-1] if len(at) else 0)]
+        first = np.cumsum(n) - n
+        n_ids = np.add.reduceat(size, first) if len(n) else n
+        row = np.repeat(np.arange(len(texts)) * BUCKETS, n)
+        bag = np.bincount(row + v.bucket[at], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+        bag[:, 0] -= 1  # the end of the text is no word
+        bag = np.log1p(bag).astype(np.float32)
+        return out, n_ids, (bag / np.maximum(np.linalg.norm(bag, axis=1, keepdims=True), 1e-9)) @ v.axes
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
