@@ -1,4 +1,8 @@
-"""Five stages that make packed training sequences of the documents table."""
+"""Five stages that make packed training sequences of the documents table.
+
+A stage deletes what earlier stages left in the shared folder, so write each stage's rows
+before the next stage begins, as ``run`` does.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ BROADCAST_IDS = 2_000_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: null texts and texts without a letter."""
+    scratch.release(spark)
     columns = docs.columns
     model = language_id.train(docs)
     found = language_id.identify(docs, model, keep=columns)
@@ -21,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier line; every document stays, with what is left."""
+    scratch.release(spark)
     columns = docs.columns
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in columns:
@@ -32,6 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id.
     Rows without an id are no members of a group and stay."""
+    scratch.release(spark)
     classes = scratch.stored(minhash.near_duplicates(docs), "classes")
     gone = classes.where(~F.col("kept")).select("doc_id")
     if gone.count() <= BROADCAST_IDS:
@@ -41,6 +48,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: not at all, once or repeatedly."""
+    scratch.release(spark)
     taken = mixing.mix(docs, F.array("source"), queries.weights_5_2_1).select("doc_id", F.col("repeats").alias("_repeats"))
     taken = scratch.stored(taken.where("_repeats > 0").groupBy("doc_id").agg(F.max("_repeats").alias("_repeats")), "taken")
     if taken.count() <= BROADCAST_IDS:
@@ -51,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents; returns a row for each piece of a sequence."""
+    scratch.release(spark)
     import public_tokenizers
 
     return queries.packed_digest(packing.pack(docs, packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))))
@@ -71,5 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are written to the shared folder and read by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = scratch.new_path(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    scratch.release(spark)
     return docs

@@ -10,45 +10,43 @@ never makes all of its pairs.
 
 from __future__ import annotations
 
-from math import log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionspark.llm.scratch import stored
+from sectionspark.llm.scratch import dropped, stored
 
-#: Counters in each of the two rows of the frequency sketch that orders the words.
+#: Counters of the frequencies that order the words.
 COUNTERS = 1 << 16
 #: Up to so many removed lines their places are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"\s+")
+def _words(line: Column) -> Column:
+    """Runs between white space, and empty ones. Most lines have blanks only, and a split at
+    one character needs no pattern."""
+    low = F.lower(line)
+    return F.when(line.rlike(r"[\t\n\x0B\f\r]"), F.split(low, r"\s+")).otherwise(F.split(low, " "))
 
 
-def _frequencies(docs: DataFrame, text_col: str) -> list[list[int]]:
-    """Occurrences of all words of all texts in two rows of COUNTERS hashed counters, on a
-    logarithmic scale of 16 bits. They order the words; no result depends on their errors."""
-    h = F.xxhash64("w")
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w")).select(F.explode(F.array(*[(F.shiftrightunsigned(h, 16 * k).bitwiseAND(COUNTERS - 1) + k * COUNTERS).cast("int") for k in (0, 1)])).alias("at"))
-    out = [[0] * COUNTERS, [0] * COUNTERS]
-    for at, n in words.groupBy("at").count().collect():  # 2 x COUNTERS rows at most
-        out[at // COUNTERS][at % COUNTERS] = min(65535, round(2047 * log2(1 + n)))
+def _frequencies(docs: DataFrame, text_col: str) -> list[int]:
+    """Occurrences of all words of all texts in COUNTERS hashed counters, as ranks of 16 bits
+    at the top of a long. They order the words; no result depends on their errors."""
+    words = docs.select(F.explode(_words(F.replace(text_col, F.lit("\n"), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
+    out = [0] * COUNTERS
+    for at, n in words.groupBy("at").count().collect():  # COUNTERS rows at most
+        out[at] = n
+    for rank, at in enumerate(sorted(range(COUNTERS), key=lambda i: (out[i], i))):
+        out[at] = rank - COUNTERS // 2
     return out
 
 
-def _codes(line: Column, tables: list[list[int]]) -> Column:
-    """The distinct words of a line, rarest first: 16 bits of frequency over 48 of hash."""
-    held = [F.expr(f"cast(split('{','.join(map(str, t))}', ',') as array<bigint>)") for t in tables]
-
-    def code(h: Column) -> Column:
-        seen = [F.get(t, F.shiftrightunsigned(h, 16 * k).bitwiseAND(COUNTERS - 1).cast("int")) for k, t in enumerate(held)]
-        rank = F.coalesce(F.least(*seen), F.lit(0)) - 32768
-        return F.shiftleft(rank, 48).bitwiseOR(h.bitwiseAND((1 << 48) - 1))
-
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.array_sort(F.transform(hashes, code))
+def _codes(line: Column, ranks: list[int]) -> Column:
+    """The distinct words of a line, rarest first: a rank in 16 bits over 48 bits of hash (the
+    rank stands for the other 16, so the code is as good as the whole hash)."""
+    table = F.expr(f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)")  # folded into a constant
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    rank = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(COUNTERS - 1).cast("int")), F.lit(0)), 48)
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 16))))
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -69,12 +67,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines", "n_removed")
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("i"), F.col(text_col).alias("t"))
     tables = _frequencies(base, "t")
-    lines = base.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line"))
+    # a test on the codes would be computed a second time below them, so the text is tested
+    lines = base.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\S"))
     sets = lines.select("i", "p", _codes(F.col("line"), tables).alias("codes"))
     n = F.size("codes")
-    rare = F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    # 32 bits of a word are enough to find candidates
+    rare = F.transform(F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda c: c.bitwiseAND((1 << 31) - 1).cast("int"))
     bitmap = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))))
-    table = sets.where(n > 0).select("i", "p", n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), bitmap.alias("b"), rare.alias("rare"))
+    table = sets.select("i", "p", n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), bitmap.alias("b"), rare.alias("rare"))
     table = stored(table, "lines")
 
     # one row for each different set: its first line
@@ -92,23 +92,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     # rows of later lines with a candidate, and rows of earlier lines that are one
-    later = prefix.alias("y").join(prefix.alias("x"), near("x", "y"), "left_semi")
+    later = prefix.alias("y").join(prefix.alias("x"), near("x", "y"), "left_semi").repartition("k")
     earlier = prefix.alias("x").join(later.alias("y"), near("x", "y"), "left_semi")
     open_ = stored(later.withColumn("late", F.lit(True)).unionByName(earlier.withColumn("late", F.lit(False))), "candidates")
     wanted = open_.select("i", "p").distinct()
-    small = wanted.count() <= BROADCAST_LINES
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
     texts = base.join(hint(wanted.select("i").distinct()), "i", "left_semi")
     again = texts.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line")).join(hint(wanted), ["i", "p"], "left_semi")
-    codes = again.select("i", "p", _codes(F.col("line"), tables).alias("codes")).dropDuplicates(["i", "p"])
-    full = open_.join(codes, ["i", "p"])
-    exact = F.size(F.array_intersect("x.codes", "y.codes")) * u >= (F.col("x.n") + F.col("y.n")) * t
-    matched = full.where("late").alias("y").join(full.where("not late").alias("x"), near("x", "y") & exact, "left_semi").select("i", "p").distinct()
+    codes = stored(again.select("i", "p", _codes(F.col("line"), tables).alias("codes")).dropDuplicates(["i", "p"]), "candidate-words")
+    shared = lambda a, b: F.size(F.array_intersect(f"{a}.codes", f"{b}.codes"))
+    exact = shared("x", "y") * u >= (F.size("x.codes") + F.size("y.codes")) * t
+
+    # most later lines match the first candidate of a word; the others meet all of them
+    lead = open_.where("not late").groupBy("k").agg(F.min(F.struct("i", "p")).alias("lead"))
+    pairs = open_.where("late").join(lead, "k").select("i", "p", F.col("lead.i").alias("xi"), F.col("lead.p").alias("xp")).where("xi < i or (xi = i and xp < p)").distinct()
+    pairs = pairs.join(codes.select(F.col("i").alias("xi"), F.col("p").alias("xp"), F.struct("codes").alias("x")), ["xi", "xp"]).join(codes.select("i", "p", F.struct("codes").alias("y")), ["i", "p"])
+    easy = stored(pairs.where(exact).select("i", "p").distinct(), "matched-lines")
+    hard = open_.where("late").join(easy, ["i", "p"], "left_anti")
+    facing = open_.where("not late").join(hard.select("k").distinct(), "k", "left_semi")
+    matched = hard.join(codes, ["i", "p"]).alias("y").join(facing.join(codes, ["i", "p"]).alias("x"), near("x", "y") & exact, "left_semi").select("i", "p").union(easy)
 
     # all lines of a set but its first go, and the firsts that match an earlier line
     firsts = table.groupBy("s1", "s2").agg(F.min(F.struct("i", "p"))["i"].alias("fi"), F.min(F.struct("i", "p"))["p"].alias("fp"))
     copies = table.join(firsts, ["s1", "s2"]).where((F.col("i") != F.col("fi")) | (F.col("p") != F.col("fp"))).select("i", "p")
     gone = stored(copies.union(matched).distinct(), "removed-lines")
+    for used in (table, open_, codes, easy):
+        dropped(used)
     places = gone.groupBy("i").agg(F.collect_set("p").alias("_gone"))
     if gone.count() <= BROADCAST_LINES:
         places = F.broadcast(places)
