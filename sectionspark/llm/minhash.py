@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionspark.llm.components import components
-from sectionspark.llm.scratch import dropped, stored
+from sectionspark.llm.scratch import stored
 from sectionspark.llm.textbatch import Chunk, chunks, mix64, run_hashes, runs, segment_sums
 
 #: Words in a shingle; a text with fewer words is one shingle.
@@ -27,8 +27,9 @@ COUNTERS, SLICES = 1 << 20, 64
 BANDS, ROWS = 8, 3
 #: Up to so many candidate documents (8 bytes each) their ids are broadcast to fetch texts.
 BROADCAST_IDS = 2_000_000
-#: Pairs for each document, on average, that one turn of verification may hold.
-PAIRS_A_TURN = 2
+#: Rows in a block when all pairs of a group are verified, and pairs for each candidate
+#: document, on average, up to which that is done at once.
+BLOCK, PAIRS_A_TURN = 128, 2000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -161,10 +162,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     with equal ids count as one document (the one that sorts first by digest); rows with a
     null id are left out.
 
-    Members of a band's bucket aren't all paired. A turn pairs each member with one of each
-    other class in the bucket; pairs inside a class found so far are never needed. When few
-    enough pairs of different classes are left, all of them are verified, so no candidate
-    link is lost.
+    Members of a band's bucket meet its first member. While very many pairs of different
+    classes are left in the buckets, a turn pairs each member outside its bucket's largest
+    class with one member of that and one of another class; what is left then is verified
+    whole, block by block, so no candidate link is lost.
     """
     spark = docs.sparkSession
     folded = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text"))
@@ -193,15 +194,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     buckets = texts.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = stored(buckets.join(shared, ["band", "key"]), "buckets")
-    links = _links(folded, members, threshold, model)
-    found = components(links)
+    found = _classes(folded, members, threshold, model)
     out = signed.join(texts.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
-def _links(folded: DataFrame, members: DataFrame, threshold: float, model) -> DataFrame:
-    """Verified links (u, v) that connect all that the buckets can connect."""
+def _classes(folded: DataFrame, members: DataFrame, threshold: float, model) -> DataFrame:
+    """(id, component) of all verified links that the buckets can give."""
     spark = members.sparkSession
     ids = members.select("id").distinct()
     n_ids = ids.count()
@@ -237,35 +237,106 @@ def _links(folded: DataFrame, members: DataFrame, threshold: float, model) -> Da
     pair = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).select(*pair).distinct()
     done = verified(pairs)
-    turn, before = 0, -1
+    linked = lambda df: df.where(F.col("similarity") >= threshold).select("u", "v")
+    found = stored(components(linked(done)), "classes")
+    turn, news = 0, 1
     while True:
         turn += 1
-        links = done.where(F.col("similarity") >= threshold).select("u", "v")
-        n_links = links.count()
-        found = components(links)
-        now = members.drop("lead", "n").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        # what is left to compare in each bucket: pairs of different classes
-        by_class = now.groupBy("band", "key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "id"), "id"))["id"].alias("spokesman"))
-        per = by_class.groupBy("band", "key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count("*").alias("classes"), F.max(F.struct("n", "c"))["c"].alias("main")).where("classes > 1")
-        open_pairs = per.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        # what is left to compare: members of buckets that hold several classes; of two members
+        # the pair is already verified
+        now = members.where("n > 2").select("band", "key", "id", "lead").join(found, "id", "left").select("band", "key", "id", "lead", F.coalesce("component", "id").alias("c"))
+        by_class = now.groupBy("band", "key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")).alias("spokesman"))
+        several = by_class.groupBy("band", "key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"), F.max(F.struct("n", "c", "spokesman")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        rest = now.join(several.select("band", "key", "m", "s", F.col("main.c").alias("main"), F.col("main.spokesman.id").alias("speaks")), ["band", "key"])
+        rest = stored(rest, "open-buckets")
+        open_pairs = rest.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2 / F.col("m"))).first()[0] or 0
         if not open_pairs:
-            return links
-        rest = now.join(per.select("band", "key", "main"), ["band", "key"])
-        # all of them once they are few, or once a turn has found nothing new
-        last = open_pairs <= PAIRS_A_TURN * n_ids or n_links == before
-        before = n_links
-        if last:
-            other = rest.select("band", "key", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = rest.join(other, ["band", "key"]).where("c < cb").select(F.col("id").alias("a"), "b")
-        else:
-            # members outside a bucket's largest class meet another of its members each turn
-            speaks = by_class.select("band", "key", F.col("c").alias("main"), F.col("spokesman").alias("b"))
-            outside = rest.where("c <> main").join(speaks, ["band", "key", "main"]).select(F.col("id").alias("a"), "b")
-            heads = rest.where("c <> main").groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id"), "id", "c")).alias("h"))
-            among = rest.where("c <> main").join(heads, ["band", "key"]).where("c <> h.c").select(F.col("id").alias("a"), F.col("h.id").alias("b"))
-            pairs = outside.union(among)
-        fresh = pairs.select(*pair).distinct().join(done.select("u", "v"), ["u", "v"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        done = stored(done.unionByName(verified(fresh)), "similarities")
-        if last:
-            return done.where(F.col("similarity") >= threshold).select("u", "v")
+            return found
+        if open_pairs <= PAIRS_A_TURN * n_ids or not news:
+            break
+        # members outside a bucket's largest class meet another of its members each turn, and
+        # one of the other classes
+        outside = rest.where("c <> main")
+        heads = outside.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("head"))
+        both = outside.join(heads, ["band", "key"])
+        pairs = both.select(F.col("id").alias("a"), F.explode(F.array(F.col("speaks"), F.when(F.col("c") != F.col("head.c"), F.col("head.id")))).alias("b")).where("b is not null")
+        fresh = verified(pairs.select(*pair).distinct().join(done.select("u", "v"), ["u", "v"], "left_anti"))
+        news = linked(fresh).count()
+        if news:
+            found = _merged(found, linked(fresh))
+        done = done.union(fresh)
+    groups = components(rest.select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    return _merged(found, _block_links(groups, sets, threshold))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    return stored(components(links.union(found.select(F.col("id").alias("u"), F.col("component").alias("v")))), "classes")
+
+
+def _block_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect what all pairs inside each group (id, component) would. A group is
+    dealt to pairs of blocks of BLOCK rows, each verified by one task with matrix products; a
+    task returns each row's smallest relative there, never the pairs."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int")
+    rows = groups.join(sizes, "component").join(sets, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "id", "k", "w")
+
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, mine = group["id"].to_numpy(), group["mine"].to_numpy()
+        k = [np.frombuffer(b, "<u8") for b in group["k"].to_pylist()]
+        w = [np.frombuffer(b, "<f4") for b in group["w"].to_pylist()]
+        b0, b1 = group["b0"][0].as_py(), group["b1"][0].as_py()
+        close = similar_pairs(k, w, threshold)
+        # a pair of one block is verified where the block meets itself
+        close &= (mine[:, None] != mine[None, :]) if b0 != b1 else ~np.eye(len(ids), dtype=bool)
+        root = np.arange(len(ids))
+        while True:
+            after = np.minimum(root, np.where(close, root[None, :], len(ids)).min(1))
+            after = after[after]
+            if (after == root).all():
+                break
+            root = after
+        some = root != np.arange(len(ids))
+        return pa.table({"u": ids[some], "v": ids[root][some]})
+
+    return rows.groupBy("component", "b0", "b1").applyInArrow(verify, "u bigint, v bigint")
+
+
+def similar_pairs(k: list[np.ndarray], w: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of all pairs of weighted sets reach the threshold. The sum of minima is an inner
+    product once each shingle is cut at the weights that occur; pairs too close to call in
+    single precision are computed one by one."""
+    n = len(k)
+    rows, keys, weights = np.repeat(np.arange(n), [len(x) for x in k]), np.concatenate(k), np.concatenate(w)
+    order = np.lexsort((weights, keys))
+    rows, keys, weights = rows[order], keys[order], weights[order]
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new_level = new_key | np.concatenate([[True], weights[1:] != weights[:-1]])
+    level = np.cumsum(new_level) - 1
+    first = np.flatnonzero(new_level)
+    gain = np.where(new_key[first], weights[first], weights[first] - weights[np.maximum(first - 1, 0)])
+    bottom = np.maximum.accumulate(np.where(new_key[first], np.arange(len(first)), 0))[level]  # lowest level of the key
+    times = level - bottom + 1
+    at = np.repeat(bottom, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    who = np.repeat(rows, times)
+    several = np.bincount(at, minlength=len(first)) > 1
+    number = np.cumsum(several) - 1
+    keep = several[at]
+    at, who = number[at[keep]], who[keep]
+    scale = np.sqrt(gain[several]).astype(np.float32)
+    both = np.zeros((n, n), np.float64)
+    by_feature = np.argsort(at, kind="stable")
+    at, who = at[by_feature], who[by_feature]
+    for lo in range(0, len(scale), 4096):
+        a, b = np.searchsorted(at, (lo, lo + 4096))
+        m = np.zeros((n, min(4096, len(scale) - lo)), np.float32)
+        m[who[a:b], at[a:b] - lo] = scale[at[a:b]]
+        both += m @ m.T
+    total = np.array([x.sum(dtype=np.float64) for x in w])
+    similarity = both / (total[:, None] + total[None, :] - both)
+    close = similarity >= threshold
+    for i, j in np.argwhere(np.triu(np.abs(similarity - threshold) < 1e-4, 1)):
+        close[i, j] = close[j, i] = weighted_jaccard(k[i], w[i], k[j], w[j]) >= threshold
+    return close

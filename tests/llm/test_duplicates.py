@@ -99,10 +99,22 @@ def test_minhash_turns_lose_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {r[0]: r[1] for r in minhash.near_duplicates(docs).collect()}
     monkeypatch.setattr(minhash, "PAIRS_A_TURN", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     assert {r[0]: r[1] for r in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_similar_pairs_in_blocks():
+    rng = np.random.default_rng(9)
+    k = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)] + [np.array([3], np.uint64)]
+    w = [(rng.integers(1, 3, len(x)) * (0.5 + x % 7)).astype("<f4") for x in k]
+    k.append(k[0]), w.append(w[0])
+    got = minhash.similar_pairs(k, w, 0.5)
+    for a in range(len(k)):
+        for b in range(len(k)):
+            assert got[a, b] == (minhash.weighted_jaccard(k[a], w[a], k[b], w[b]) >= 0.5)
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(7)
     keys = np.sort(rng.choice(1 << 44, 400, replace=False)).astype(np.uint64)
