@@ -17,6 +17,8 @@ from sectionspark.llm.scratch import dropped, stored
 
 #: Counters of the frequencies that order the words.
 COUNTERS = 1 << 16
+#: Parts of 64 bits in the bitmaps that candidates are compared by; a power of 2.
+WIDE = 4
 #: Up to so many removed lines their places are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -49,6 +51,16 @@ def _codes(line: Column, ranks: list[int]) -> Column:
     return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 16))))
 
 
+def _parity(codes: str, part: int | None = None) -> Column:
+    """64 bits, each the parity of the words that hash to it; of two sets at least as many
+    words differ as bits do. part: takes the words of one of WIDE parts, by other bits."""
+    flip = lambda acc, c, at: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(c, at).bitwiseAND(63).cast("int")))
+    zero = F.lit(0).cast("bigint")
+    if part is None:
+        return F.aggregate(codes, zero, lambda acc, c: flip(acc, c, 0))
+    return F.aggregate(F.filter(codes, lambda c: F.shiftrightunsigned(c, 12).bitwiseAND(WIDE - 1) == part), zero, lambda acc, c: flip(acc, c, 6))
+
+
 def _earlier(x: str, y: str) -> Column:
     return (F.col(f"{x}.i") < F.col(f"{y}.i")) | ((F.col(f"{x}.i") == F.col(f"{y}.i")) & (F.col(f"{x}.p") < F.col(f"{y}.p")))
 
@@ -73,8 +85,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.size("codes")
     # 32 bits of a word are enough to find candidates
     rare = F.transform(F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda c: c.bitwiseAND((1 << 31) - 1).cast("int"))
-    bitmap = F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))))
-    table = sets.select("i", "p", n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), bitmap.alias("b"), rare.alias("rare"))
+    table = sets.select("i", "p", n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
     table = stored(table, "lines")
 
     # one row for each different set: its first line
@@ -82,41 +93,53 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = first.select("i", "p", "n", "b", F.posexplode("rare").alias("q", "k"))
     t, u = percent, 100 + percent  # overlap o of n1 and n2 words: o / (n1 + n2 - o) >= t / 100
 
-    def near(x: str, y: str) -> Column:
+    def near(x: str, y: str, order: Column) -> Column:
         nx, ny, qx, qy = (F.col(f"{a}.{c}") for c in "nq" for a in (x, y))
         return (
-            (F.col(f"{x}.k") == F.col(f"{y}.k")) & _earlier(x, y)
+            (F.col(f"{x}.k") == F.col(f"{y}.k")) & order
             & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * t)
             & (F.least(nx - qx, ny - qy) * u >= (nx + ny) * t)
             & (F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))) * u <= (nx + ny) * (100 - t))
         )
 
-    # rows of later lines with a candidate, and rows of earlier lines that are one
-    later = prefix.alias("y").join(prefix.alias("x"), near("x", "y"), "left_semi").repartition("k")
-    earlier = prefix.alias("x").join(later.alias("y"), near("x", "y"), "left_semi")
-    open_ = stored(later.withColumn("late", F.lit(True)).unionByName(earlier.withColumn("late", F.lit(False))), "candidates")
+    # words of lines that have a candidate, earlier or later, at that word
+    other = (F.col("x.i") != F.col("y.i")) | (F.col("x.p") != F.col("y.p"))
+    open_ = stored(prefix.alias("y").join(prefix.alias("x"), near("x", "y", other), "left_semi"), "candidates")
     wanted = open_.select("i", "p").distinct()
     hint = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
     texts = base.join(hint(wanted.select("i").distinct()), "i", "left_semi")
     again = texts.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line")).join(hint(wanted), ["i", "p"], "left_semi")
-    codes = stored(again.select("i", "p", _codes(F.col("line"), tables).alias("codes")).dropDuplicates(["i", "p"]), "candidate-words")
+    codes = again.select("i", "p", _codes(F.col("line"), tables).alias("codes"))
+    codes = stored(codes.select("i", "p", "codes", F.array(*[_parity("codes", part) for part in range(WIDE)]).alias("wide")).dropDuplicates(["i", "p"]), "candidate-words")
+    maps = codes.select("i", "p", "wide")
+    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.wide")[j].bitwiseXOR(F.col(f"{b}.wide")[j])) for j in range(WIDE)), F.lit(0))
     shared = lambda a, b: F.size(F.array_intersect(f"{a}.codes", f"{b}.codes"))
+    alike = lambda nx, ny: apart("x", "y") * u <= (nx + ny) * (100 - t)
     exact = shared("x", "y") * u >= (F.size("x.codes") + F.size("y.codes")) * t
 
-    # most later lines match the first candidate of a word; the others meet all of them
-    lead = open_.where("not late").groupBy("k").agg(F.min(F.struct("i", "p")).alias("lead"))
-    pairs = open_.where("late").join(lead, "k").select("i", "p", F.col("lead.i").alias("xi"), F.col("lead.p").alias("xp")).where("xi < i or (xi = i and xp < p)").distinct()
-    pairs = pairs.join(codes.select(F.col("i").alias("xi"), F.col("p").alias("xp"), F.struct("codes").alias("x")), ["xi", "xp"]).join(codes.select("i", "p", F.struct("codes").alias("y")), ["i", "p"])
-    easy = stored(pairs.where(exact).select("i", "p").distinct(), "matched-lines")
-    hard = open_.where("late").join(easy, ["i", "p"], "left_anti")
-    facing = open_.where("not late").join(hard.select("k").distinct(), "k", "left_semi")
-    matched = hard.join(codes, ["i", "p"]).alias("y").join(facing.join(codes, ["i", "p"]).alias("x"), near("x", "y") & exact, "left_semi").select("i", "p").union(easy)
+    # most later lines match the first candidate of a word; the others meet all of them. Wider
+    # bitmaps leave few pairs whose words must be brought together
+    lead = open_.groupBy("k").agg(F.min(F.struct("i", "p", "n")).alias("lead"))
+    pairs = open_.join(lead, "k").select("i", "p", "n", F.col("lead.i").alias("xi"), F.col("lead.p").alias("xp"), F.col("lead.n").alias("xn")).where("xi < i or (xi = i and xp < p)").distinct()
+
+    def both(rows: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        x = held.select(F.col("i").alias("xi"), F.col("p").alias("xp"), F.struct(column).alias("x"))
+        return rows.join(x, ["xi", "xp"]).join(held.select("i", "p", F.struct(column).alias("y")), ["i", "p"])
+
+    pairs = both(pairs, maps, "wide").where(alike(F.col("xn"), F.col("n"))).select("i", "p", "xi", "xp")
+    easy = stored(both(pairs, codes, "codes").where(exact).select("i", "p").distinct(), "matched-lines")
+    hard = open_.join(easy, ["i", "p"], "left_anti").join(maps, ["i", "p"])
+    facing = open_.join(maps, ["i", "p"])
+    near_wide = near("x", "y", _earlier("x", "y")) & alike(F.col("x.n"), F.col("y.n"))
+    hard = stored(hard.alias("y").join(facing.alias("x"), near_wide, "left_semi"), "open-lines")
+    facing = facing.join(hard.select("k").distinct(), "k", "left_semi")
+    matched = hard.join(codes.drop("wide"), ["i", "p"]).alias("y").join(facing.join(codes.drop("wide"), ["i", "p"]).alias("x"), near_wide & exact, "left_semi").select("i", "p").union(easy)
 
     # all lines of a set but its first go, and the firsts that match an earlier line
     firsts = table.groupBy("s1", "s2").agg(F.min(F.struct("i", "p"))["i"].alias("fi"), F.min(F.struct("i", "p"))["p"].alias("fp"))
     copies = table.join(firsts, ["s1", "s2"]).where((F.col("i") != F.col("fi")) | (F.col("p") != F.col("fp"))).select("i", "p")
     gone = stored(copies.union(matched).distinct(), "removed-lines")
-    for used in (table, open_, codes, easy):
+    for used in (table, open_, codes, easy, hard):
         dropped(used)
     places = gone.groupBy("i").agg(F.collect_set("p").alias("_gone"))
     if gone.count() <= BROADCAST_LINES:
