@@ -36,14 +36,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id.
-    Rows without an id are no members of a group and stay."""
+    """Keeps one document of each group of near-duplicates, the one with the smallest id; rows
+    without an id come first. Rows that share an id and differ in their texts are different
+    documents, rows equal in both are one and stay or go together."""
     scratch.release(spark)
-    classes = scratch.stored(minhash.near_duplicates(docs), "classes")
-    gone = classes.where(~F.col("kept")).select("doc_id")
+    classes = scratch.stored(minhash.text_classes(docs), "classes")
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "text_digest")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("d.text") == F.col("text_digest"))
+    return docs.alias("d").join(gone, same, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

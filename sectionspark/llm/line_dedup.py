@@ -10,6 +10,9 @@ never makes all of its pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ from sectionspark.llm.scratch import dropped, stored
 COUNTERS = 1 << 16
 #: Parts of 64 bits in the bitmaps that candidates are compared by; a power of 2.
 WIDE = 4
-#: Up to so many removed lines their places are broadcast; more are joined by a shuffle.
+#: Up to so many removed lines their places are broadcast; more are joined by a shuffle. Up to
+#: so many ids that several rows have are broadcast; with more, all rows get a digest.
 BROADCAST_LINES = 1_000_000
 
 
@@ -61,8 +65,22 @@ def _parity(codes: str, part: int | None = None) -> Column:
     return F.aggregate(F.filter(codes, lambda c: F.shiftrightunsigned(c, 12).bitwiseAND(WIDE - 1) == part), zero, lambda acc, c: flip(acc, c, 6))
 
 
-def _earlier(x: str, y: str) -> Column:
-    return (F.col(f"{x}.i") < F.col(f"{y}.i")) | ((F.col(f"{x}.i") == F.col(f"{y}.i")) & (F.col(f"{x}.p") < F.col(f"{y}.p")))
+def _earlier(x: str, y: str, key: list[str]) -> Column:
+    a, b = F.col(f"{x}.{key[0]}"), F.col(f"{y}.{key[0]}")
+    return (a < b) | ((a == b) & _earlier(x, y, key[1:])) if key[1:] else a < b
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the key of a document: _i, the id (the least long for null), and, if any id
+    has several rows, _g, a digest of the text where it has, else 0."""
+    docs = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))))
+    shared = stored(docs.groupBy("_i").count().where("count > 1").select("_i", F.lit(True).alias("_shared")), "shared-ids")
+    n, digest = shared.count(), F.xxhash64(id_col, text_col)
+    if not n:
+        return docs
+    if n > BROADCAST_LINES:
+        return docs.withColumn("_g", digest)
+    return docs.join(F.broadcast(shared), "_i", "left").withColumn("_g", F.when(F.col("_shared"), digest).otherwise(0)).drop("_shared")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -70,27 +88,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_removed (columns of these names are replaced).
 
     Lines end at line feeds. Their words are lower-cased runs between white space. A line is
-    removed if an earlier line, by (id, place in the text), has a Jaccard similarity of at
-    least ``percent``; whether the earlier line is itself removed plays no part. Lines
-    without words stay and match nothing. A null text stays null, with no lines; null ids
-    sort first; rows with equal ids are taken as one document, in which a line of the same
-    place is never earlier than itself. Words are told apart by 48 bits of a hash.
+    removed if an earlier line, by (id, digest of the text, place in the text), has a Jaccard
+    similarity of at least ``percent``; whether the earlier line is itself removed plays no
+    part. Lines without words stay and match nothing. A null text stays null, with no lines;
+    null ids sort first. Rows that share an id (or have none) and differ in their texts are
+    different documents; rows equal in both are one, in which a line of the same place is
+    never earlier than itself. Words are told apart by 48 bits of a hash, texts of one id by
+    64.
     """
     docs = docs.drop("n_lines", "n_removed")
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("i"), F.col(text_col).alias("t"))
+    keyed = _keyed(docs, id_col, text_col)
+    doc = [c for c in ("i", "g") if f"_{c}" in keyed.columns]  # of a document
+    key = [*doc, "p"]  # of a line
+    base = keyed.select(*(F.col(f"_{c}").alias(c) for c in doc), F.col(text_col).alias("t"))
     tables = _frequencies(base, "t")
     # a test on the codes would be computed a second time below them, so the text is tested
-    lines = base.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\S"))
-    sets = lines.select("i", "p", _codes(F.col("line"), tables).alias("codes"))
+    lines = base.select(*doc, F.posexplode(F.split("t", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\S"))
+    sets = lines.select(*key, _codes(F.col("line"), tables).alias("codes"))
     n = F.size("codes")
     # 32 bits of a word are enough to find candidates
     rare = F.transform(F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda c: c.bitwiseAND((1 << 31) - 1).cast("int"))
-    table = sets.select("i", "p", n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
+    table = sets.select(*key, n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
     table = stored(table, "lines")
 
     # one row for each different set: its first line
-    first = table.groupBy("s1", "s2").agg(F.min(F.struct("i", "p", "n", "b", "rare")).alias("f")).select("f.*")
-    prefix = first.select("i", "p", "n", "b", F.posexplode("rare").alias("q", "k"))
+    first = table.groupBy("s1", "s2").agg(F.min(F.struct(*key, "n", "b", "rare")).alias("f")).select("f.*")
+    prefix = first.select(*key, "n", "b", F.posexplode("rare").alias("q", "k"))
     t, u = percent, 100 + percent  # overlap o of n1 and n2 words: o / (n1 + n2 - o) >= t / 100
 
     def near(x: str, y: str, order: Column) -> Column:
@@ -103,15 +126,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     # words of lines that have a candidate, earlier or later, at that word
-    other = (F.col("x.i") != F.col("y.i")) | (F.col("x.p") != F.col("y.p"))
+    other = ~reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key])
     open_ = stored(prefix.alias("y").join(prefix.alias("x"), near("x", "y", other), "left_semi"), "candidates")
-    wanted = open_.select("i", "p").distinct()
+    wanted = open_.select(*key).distinct()
     hint = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
-    texts = base.join(hint(wanted.select("i").distinct()), "i", "left_semi")
-    again = texts.select("i", F.posexplode(F.split("t", "\n")).alias("p", "line")).join(hint(wanted), ["i", "p"], "left_semi")
-    codes = again.select("i", "p", _codes(F.col("line"), tables).alias("codes"))
-    codes = stored(codes.select("i", "p", "codes", F.array(*[_parity("codes", part) for part in range(WIDE)]).alias("wide")).dropDuplicates(["i", "p"]), "candidate-words")
-    maps = codes.select("i", "p", "wide")
+    texts = base.join(hint(wanted.select(*doc).distinct()), doc, "left_semi")
+    again = texts.select(*doc, F.posexplode(F.split("t", "\n")).alias("p", "line")).join(hint(wanted), key, "left_semi")
+    codes = again.select(*key, _codes(F.col("line"), tables).alias("codes"))
+    codes = stored(codes.select(*key, "codes", F.array(*[_parity("codes", part) for part in range(WIDE)]).alias("wide")).dropDuplicates(key), "candidate-words")
+    maps = codes.select(*key, "wide")
     apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.wide")[j].bitwiseXOR(F.col(f"{b}.wide")[j])) for j in range(WIDE)), F.lit(0))
     shared = lambda a, b: F.size(F.array_intersect(f"{a}.codes", f"{b}.codes"))
     alike = lambda nx, ny: apart("x", "y") * u <= (nx + ny) * (100 - t)
@@ -119,33 +142,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # most later lines match the first candidate of a word; the others meet all of them. Wider
     # bitmaps leave few pairs whose words must be brought together
-    lead = open_.groupBy("k").agg(F.min(F.struct("i", "p", "n")).alias("lead"))
-    pairs = open_.join(lead, "k").select("i", "p", "n", F.col("lead.i").alias("xi"), F.col("lead.p").alias("xp"), F.col("lead.n").alias("xn")).where("xi < i or (xi = i and xp < p)").distinct()
+    lead = open_.groupBy("k").agg(F.min(F.struct(*key, "n")).alias("lead"))
+    pairs = open_.alias("y").join(lead, "k").where(_earlier("lead", "y", key)).select(*(f"y.{c}" for c in (*key, "n")), *(F.col(f"lead.{c}").alias(f"x{c}") for c in (*key, "n"))).distinct()
 
     def both(rows: DataFrame, held: DataFrame, column: str) -> DataFrame:
-        x = held.select(F.col("i").alias("xi"), F.col("p").alias("xp"), F.struct(column).alias("x"))
-        return rows.join(x, ["xi", "xp"]).join(held.select("i", "p", F.struct(column).alias("y")), ["i", "p"])
-
-    pairs = both(pairs, maps, "wide").where(alike(F.col("xn"), F.col("n"))).select("i", "p", "xi", "xp")
-    easy = stored(both(pairs, codes, "codes").where(exact).select("i", "p").distinct(), "matched-lines")
-    hard = open_.join(easy, ["i", "p"], "left_anti").join(maps, ["i", "p"])
-    facing = open_.join(maps, ["i", "p"])
-    near_wide = near("x", "y", _earlier("x", "y")) & alike(F.col("x.n"), F.col("y.n"))
+        x = held.select(*(F.col(c).alias(f"x{c}") for c in key), F.struct(column).alias("x"))
+        return rows.join(x, [f"x{c}" for c in key]).join(held.select(*key, F.struct(column).alias("y")), key)
+
+    pairs = both(pairs, maps, "wide").where(alike(F.col("xn"), F.col("n"))).select(*key, *(f"x{c}" for c in key))
+    easy = stored(both(pairs, codes, "codes").where(exact).select(*key).distinct(), "matched-lines")
+    hard = open_.join(easy, key, "left_anti").join(maps, key)
+    facing = open_.join(maps, key)
+    near_wide = near("x", "y", _earlier("x", "y", key)) & alike(F.col("x.n"), F.col("y.n"))
     hard = stored(hard.alias("y").join(facing.alias("x"), near_wide, "left_semi"), "open-lines")
     facing = facing.join(hard.select("k").distinct(), "k", "left_semi")
-    matched = hard.join(codes.drop("wide"), ["i", "p"]).alias("y").join(facing.join(codes.drop("wide"), ["i", "p"]).alias("x"), near_wide & exact, "left_semi").select("i", "p").union(easy)
+    matched = hard.join(codes.drop("wide"), key).alias("y").join(facing.join(codes.drop("wide"), key).alias("x"), near_wide & exact, "left_semi").select(*key).union(easy)
 
     # all lines of a set but its first go, and the firsts that match an earlier line
-    firsts = table.groupBy("s1", "s2").agg(F.min(F.struct("i", "p"))["i"].alias("fi"), F.min(F.struct("i", "p"))["p"].alias("fp"))
-    copies = table.join(firsts, ["s1", "s2"]).where((F.col("i") != F.col("fi")) | (F.col("p") != F.col("fp"))).select("i", "p")
+    firsts = table.groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("f"))
+    copies = table.join(firsts, ["s1", "s2"]).where(F.struct(*key) != F.col("f")).select(*key)
     gone = stored(copies.union(matched).distinct(), "removed-lines")
     for used in (table, open_, codes, easy, hard):
         dropped(used)
-    places = gone.groupBy("i").agg(F.collect_set("p").alias("_gone"))
+    places = gone.groupBy(*(F.col(c).alias(f"_{c}") for c in doc)).agg(F.collect_set("p").alias("_gone"))
     if gone.count() <= BROADCAST_LINES:
         places = F.broadcast(places)
-    keyed = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))))
-    out = keyed.join(places.withColumnRenamed("i", "_i"), "_i", "left").drop("_i")
+    out = keyed.join(places, [f"_{c}" for c in doc], "left").select(*docs.columns, "_gone")
     split = F.split(F.col(text_col), "\n")
     kept = F.concat_ws("\n", F.filter(split, lambda line, at: ~F.array_contains("_gone", at)))
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))

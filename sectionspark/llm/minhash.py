@@ -154,13 +154,23 @@ def weighted_jaccard(a_keys: np.ndarray, a_w: np.ndarray, b_keys: np.ndarray, b_
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each id: id, class_id (smallest id of its class), kept (id = class_id).
+    """One row for each id and text: id, class_id (smallest id of its class), kept (the row of
+    that id; of several texts with that id, the first by digest). Rows with a null id are left
+    out; ``text_classes`` has them.
+    """
+    out = text_classes(docs, threshold, id_col, text_col, null_ids=False)
+    return out.select(id_col, "class_id", "kept")
+
+
+def text_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = True) -> DataFrame:
+    """One row for each id and text: id, text_digest (xxhash64 of the text), class_id, kept.
+    One row of a class is kept: the first by (id, digest), null ids first.
 
     Classes are the components of the links between different texts whose weighted Jaccard
     similarity over shingles of WORDS words is at least the threshold; texts with the same
     words are one text. Texts without words (null, empty) are classes of their own. Rows
-    with equal ids count as one document (the one that sorts first by digest); rows with a
-    null id are left out.
+    that share an id (or have none) and differ in their texts are different documents; rows
+    equal in both are one.
 
     Members of a band's bucket meet its first member. While very many pairs of different
     classes are left in the buckets, a turn pairs each member outside its bucket's largest
@@ -168,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     whole, block by block, so no candidate link is lost.
     """
     spark = docs.sparkSession
-    folded = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text"))
+    folded = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.lower(text_col).alias("text"))
     counts, n_docs = document_frequencies(folded)
     model = spark.sparkContext.broadcast((counts, n_docs))  # COUNTERS x 4 bytes
 
@@ -176,36 +186,45 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         counts, n_docs = model.value
         sampler = Sampler()
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(2)):
                 rows, keys, tf, digests = shingles(c)
                 n = c.hi - c.lo
                 bands = sampler.bands(rows, keys, idf_weights(keys, tf, counts, n_docs), n)
                 size = np.bincount(rows, minlength=n)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                columns = [batch.column(0).slice(c.lo, n), *(pa.array(digests[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(size), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "d1", "d2", "size", "bands"])
+                columns = [batch.column(0).slice(c.lo, n), batch.column(1).slice(c.lo, n), *(pa.array(digests[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(size), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "d1", "d2", "size", "bands"])
 
-    signed = folded.where("id is not null").mapInArrow(sign, "id bigint, d1 bigint, d2 bigint, size bigint, bands array<bigint>")
-    signed = signed.groupBy("id").agg(F.min(F.struct("d1", "d2", "size", "bands")).alias("s")).select("id", "s.*")
+    folded = folded if null_ids else folded.where("id is not null")
+    signed = folded.mapInArrow(sign, "id bigint, t bigint, d1 bigint, d2 bigint, size bigint, bands array<bigint>")
+    signed = signed.groupBy("id", "t").agg(F.min(F.struct("d1", "d2", "size", "bands")).alias("s"), (F.count("*") > 1).alias("repeated")).select("id", "t", "repeated", "s.*")
     signed = stored(signed, "signatures")
     worded = signed.where("size > 0")
-    same = worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    texts = stored(same, "texts")  # one row for each different text
-    buckets = texts.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
+    same = worded.groupBy("d1", "d2").agg(F.min(F.struct("id", "t", "repeated")).alias("rep"), F.first("bands").alias("bands"))
+    # one row for each different text, with a number that stands for it in links
+    texts = stored(same.withColumn("node", F.monotonically_increasing_id()), "texts")
+    buckets = texts.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = stored(buckets.join(shared, ["band", "key"]), "buckets")
-    found = _classes(folded, members, threshold, model)
-    out = signed.join(texts.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
-
-
-def _classes(folded: DataFrame, members: DataFrame, threshold: float, model) -> DataFrame:
-    """(id, component) of all verified links that the buckets can give."""
+    found = _classes(folded, texts.select("node", "rep.*"), members, threshold, model)
+    # the first document of each class
+    heads = texts.select(F.col("node").alias("id"), F.struct("rep.id", "rep.t").alias("head"))
+    firsts = found.join(heads, "id").groupBy("component").agg(F.min("head").alias("first"))
+    firsts = found.join(firsts, "component").select("id", "first")
+    firsts = texts.select("d1", "d2", F.col("node").alias("id")).join(heads, "id").join(firsts, "id", "left").select("d1", "d2", F.coalesce("first", "head").alias("first"))
+    out = signed.join(firsts, ["d1", "d2"], "left").withColumn("own", F.struct("id", "t"))
+    out = out.withColumn("first", F.when(F.col("size") > 0, F.coalesce("first", "own")).otherwise(F.col("own")))
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_digest"), F.col("first.id").alias("class_id"), (F.col("own") == F.col("first")).alias("kept"))
+
+
+def _classes(folded: DataFrame, texts: DataFrame, members: DataFrame, threshold: float, model) -> DataFrame:
+    """(id, component) of all verified links that the buckets can give; ids are nodes of texts."""
     spark = members.sparkSession
     ids = members.select("id").distinct()
     n_ids = ids.count()
-    wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+    wanted = texts.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    repeated = wanted.where("repeated").limit(1).count() > 0
+    wanted = F.broadcast(wanted) if 4 * n_ids <= BROADCAST_IDS else wanted  # 32 bytes each
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +235,11 @@ def _classes(folded: DataFrame, members: DataFrame, threshold: float, model) ->
                 raw = [(keys[a:b].astype("<u8").tobytes(), weights[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], names=["id", "k", "w"])
 
-    texts = folded.join(wanted, "id", "left_semi")
+    own = folded.alias("a").join(wanted.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.t") == F.col("b.t"))).select(F.col("b.node").alias("id"), "a.text", "b.repeated")
+    texts = own.select("id", "text")
+    if repeated:  # of rows equal in id and text, one
+        once = own.where("repeated").groupBy("id").agg(F.first("text").alias("text"))
+        texts = own.where("not repeated").select("id", "text").union(once)
     sets = texts.mapInArrow(weigh, "id bigint, k binary, w binary")
     sets = stored(sets, "weighted-sets")
 
