@@ -26,7 +26,8 @@ MAX_FIT = 8192
 #: Weight of the parallel residual; across it weighs 1.
 PARALLEL = 4.0
 CENTRES, WIDTH, TURNS = 16, 2, 6
-#: Rows and queries that meet in one task, and candidates of a query reranked there.
+#: Rows and queries that meet in one task, and candidates of a query reranked there, at least:
+#: different vectors, and all whose approximate score equals that of the last.
 ROWS, QUERIES, RERANK = 8192, 1024, 512
 
 
@@ -81,6 +82,17 @@ class Codebook:
         return out
 
 
+def fold(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows of x by place of one of each, and the places of the ``most`` smallest
+    ids of each as a flat array with its cuts."""
+    rows = np.ascontiguousarray(x + 0.0)  # no negative zeros
+    _, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 8))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    kept = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order)))) < most
+    return order[starts], order[kept], np.concatenate([[0], np.cumsum(np.minimum(np.diff(np.append(starts, len(order))), most))])
+
+
 def fit(x: np.ndarray, seed: int = 5) -> Codebook:
     """Alternates codes and centres; for fixed codes the best centres of all subspaces solve
     one linear system, as the parallel residual couples them."""
@@ -117,8 +129,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     Rows whose vector is null, zero or holds null or non-finite components take no part;
     repeated ids count as one vector; a query never finds its own id. The codebooks are
     fitted on at most MAX_FIT rows, chosen by a hash of the id; every row is coded. All rows
-    meet all queries in blocks of about ROWS x QUERIES; a block scans the codes and reranks
-    RERANK candidates of each query, so memory is bounded at any size.
+    meet all queries in blocks of about ROWS x QUERIES; a block folds equal vectors, scans the
+    codes and reranks RERANK different vectors for each query, and those that the scan cannot
+    tell from the last of them, so memory is bounded at any size and copies crowd nothing out.
     """
     spark = table.sparkSession
     good = table.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
@@ -149,6 +162,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             return empty
         ids, x = data["id"].to_numpy(), matrix(data["x"])
         codes = np.frombuffer(b"".join(data["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        ones, copies, cuts = fold(ids, x, k + 1)  # a query is no neighbour of its own
+        x, codes = x[ones], codes[ones]
         half = (x**2).sum(1).astype(np.float32) / 2
         q_ids, q = queries["id"].to_numpy(), matrix(queries["x"])
         got = []
@@ -156,12 +171,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             approx = book.value.scan(q[lo : lo + 64], codes) - half
             for i in range(len(approx)):
                 own = approx[i]
-                near = np.argpartition(-own, RERANK)[:RERANK] if len(own) > RERANK else np.arange(len(own))
-                near = near[ids[near] != q_ids[lo + i]]
+                near = np.flatnonzero(own >= np.partition(own, -RERANK)[-RERANK]) if len(own) > RERANK else np.arange(len(own))
                 width = min(x.shape[1], q.shape[1])
                 d = np.sqrt(((x[near, :width] - q[lo + i, :width]) ** 2).sum(1))
-                best = near[order := np.lexsort((ids[near], d))[:k]], d[order]
-                got.append((np.full(len(best[0]), q_ids[lo + i]), ids[best[0]], best[1]))
+                # each different vector stands for its copies by their smallest ids
+                first = np.lexsort((ids[ones[near]], d))[: k + 1]
+                rows_ = np.concatenate([copies[cuts[v] : cuts[v + 1]] for v in near[first]])
+                d = np.repeat(d[first], (cuts[1:] - cuts[:-1])[near[first]])
+                other = ids[rows_] != q_ids[lo + i]
+                rows_, d = rows_[other], d[other]
+                best = np.lexsort((ids[rows_], d))[:k]
+                got.append((np.full(len(best), q_ids[lo + i]), ids[rows_[best]], d[best]))
         columns = [np.concatenate(c) for c in zip(*got)]
         return pa.table(dict(zip(("query_id", "id", "score"), columns)))
 
