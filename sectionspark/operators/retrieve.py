@@ -39,17 +39,28 @@ def pins(asked: DataFrame, index: DataFrame, hits: DataFrame) -> DataFrame:
     base = F.regexp_extract("bns_section", r"^(\d+)(?:\(.*)?$", 1).try_cast("int")
     rows = index.where("chunk_type = 'table1'").select(base.alias("section_number"), "chunk_id")
     t1 = rest.where(F.col("bail") & F.array_contains("sources", "BNS")).join(rows, "section_number").select("query_id", "chunk_id", F.lit("secondary").alias("pin"), F.lit(2).alias("ord"))
-    t2 = asked.where("bail").select("query_id").crossJoin(F.broadcast(index.where("chunk_type = 'table2'").select("chunk_id").limit(MAX_RULES)))
+    t2 = _with_rules(asked.where("bail").select("query_id"), index.where("chunk_type = 'table2'").select("chunk_id"))
     extra = found.where("pin = 'secondary'").unionByName(t1).unionByName(t2.select("query_id", "chunk_id", F.lit("table2").alias("pin"), F.lit(0).alias("ord")))
     extra = extra.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     primary = found.where("pin = 'primary'").unionByName(form_pins.select("query_id", "chunk_id", F.lit("primary").alias("pin"), F.lit(0).alias("ord")))
     return primary.unionByName(extra.select("query_id", "chunk_id", "pin", "ord"))
 
 
-#: The second table is a handful of rules by law; this bounds what J4 broadcasts.
+#: The second table is a handful of rules by law; up to so many are broadcast (J4), more are
+#: dealt to blocks of about so many.
 MAX_RULES = 1000
 
 
+def _with_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every question of asked with every rule."""
+    n = rules.count()
+    if n <= MAX_RULES:
+        return asked.crossJoin(F.broadcast(rules))
+    blocks = -(-n // MAX_RULES)
+    dealt = rules.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
+    return asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+
 def merge_candidates(hits: DataFrame, pinned: DataFrame) -> DataFrame:
     """query_id, chunk_id, distance, pos (from 0), is_primary, secondary_no (from 1, in pin
     order). Order: an absent primary pin, hits by distance, rules, secondary pins; each chunk
