@@ -3,66 +3,67 @@
 A line is the set of its words. Words are ordered by rarity; two lines can reach the
 similarity only if they share a word of their prefixes (the few rarest words of each). That
 join on words is cut further by the lengths of the lines, the positions of the shared word
-and a parity bitmap, and what is left is verified by the exact Jaccard similarity. A later
-line needs one earlier match only, so all joins are semi-joins: a group of similar lines
-never makes all of its pairs.
+and parity bitmaps, and what is left is verified by the exact Jaccard similarity. A later
+line needs one earlier match only, so all joins on words are semi-joins: a group of similar
+lines never makes all of its pairs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionspark.llm.scratch import dropped, stored
+from sectionspark.llm.scratch import dropped, stored, unused
 
 #: Counters of the frequencies that order the words.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 17
 #: Parts of 64 bits in the bitmaps that candidates are compared by; a power of 2.
 WIDE = 4
-#: Up to so many removed lines their places are broadcast; more are joined by a shuffle. Up to
-#: so many ids that several rows have are broadcast; with more, all rows get a digest.
+#: Up to so many lines their places are broadcast; more are joined by a shuffle. Up to so many
+#: ids that several rows have are broadcast; with more, all rows get a digest.
 BROADCAST_LINES = 1_000_000
 
 
-def _words(line: Column) -> Column:
-    """Runs between white space, and empty ones. Most lines have blanks only, and a split at
-    one character needs no pattern."""
-    low = F.lower(line)
-    return F.when(line.rlike(r"[\t\n\x0B\f\r]"), F.split(low, r"\s+")).otherwise(F.split(low, " "))
+def _lines(text: Column) -> Column:
+    """The lines of a text in lower case, with blanks for all white space inside them. Few
+    texts hold other white space, and a search for it is cheaper than a pattern."""
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in "\t\x0b\f\r"])
+    return F.split(F.lower(F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)), "\n")
 
 
-def _frequencies(docs: DataFrame, text_col: str) -> list[int]:
-    """Occurrences of all words of all texts in COUNTERS hashed counters, as ranks of 16 bits
-    at the top of a long. They order the words; no result depends on their errors."""
-    words = docs.select(F.explode(_words(F.replace(text_col, F.lit("\n"), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
-    out = [0] * COUNTERS
-    for at, n in words.groupBy("at").count().collect():  # COUNTERS rows at most
-        out[at] = n
-    for rank, at in enumerate(sorted(range(COUNTERS), key=lambda i: (out[i], i))):
-        out[at] = rank - COUNTERS // 2
-    return out
+def _ranks(base: DataFrame) -> str:
+    """Occurrences of the words of all lines in COUNTERS hashed counters, as ranks from 0 to 99
+    (two for each doubling). They order the words; no result depends on their errors."""
+    words = base.select(F.explode(_lines(F.col("t"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    at = words.select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
+    rank = F.least(F.floor(F.log2("count") * 2), F.lit(99)).cast("int")
+    out = ["0"] * COUNTERS
+    for i, r in at.groupBy("at").count().select("at", rank).collect():  # COUNTERS rows at most
+        out[i] = str(r)
+    return ",".join(out)
 
 
-def _codes(line: Column, ranks: list[int]) -> Column:
-    """The distinct words of a line, rarest first: a rank in 16 bits over 48 bits of hash (the
-    rank stands for the other 16, so the code is as good as the whole hash)."""
-    table = F.expr(f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)")  # folded into a constant
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(COUNTERS - 1).cast("int")), F.lit(0)), 48)
-    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 16))))
+def _codes(line: Column, ranks: str) -> Column:
+    """The distinct words of a line, rarest first: a rank in 8 bits over 56 bits of hash (the
+    rank stands for the other 8, so the code is nearly as good as the whole hash)."""
+    table = F.expr(f"cast(split('{ranks}', ',') as array<bigint>)")  # folded into a constant of a fixed size
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rank = lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56)
+    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _parity(codes: str, part: int | None = None) -> Column:
+def _parity(codes: str | Column, shift: int = 0) -> Column:
     """64 bits, each the parity of the words that hash to it; of two sets at least as many
-    words differ as bits do. part: takes the words of one of WIDE parts, by other bits."""
-    flip = lambda acc, c, at: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(c, at).bitwiseAND(63).cast("int")))
-    zero = F.lit(0).cast("bigint")
-    if part is None:
-        return F.aggregate(codes, zero, lambda acc, c: flip(acc, c, 0))
-    return F.aggregate(F.filter(codes, lambda c: F.shiftrightunsigned(c, 12).bitwiseAND(WIDE - 1) == part), zero, lambda acc, c: flip(acc, c, 6))
+    words differ as bits do."""
+    bits = lambda c: (F.shiftrightunsigned(c, shift) if shift else c).bitwiseAND(63).cast("int")
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits(c))))
+
+
+def _n(of: str) -> Column:
+    return F.shiftright(F.col(f"{of}.nq"), 32)
 
 
 def _earlier(x: str, y: str, key: list[str]) -> Column:
@@ -70,22 +71,27 @@ def _earlier(x: str, y: str, key: list[str]) -> Column:
     return (a < b) | ((a == b) & _earlier(x, y, key[1:])) if key[1:] else a < b
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the key of a document: _i, the id (the least long for null), and, if any id
-    has several rows, _g, a digest of the text where it has, else 0."""
-    docs = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))))
-    shared = stored(docs.groupBy("_i").count().where("count > 1").select("_i", F.lit(True).alias("_shared")), "shared-ids")
-    n, digest = shared.count(), F.xxhash64(id_col, text_col)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the key of a document: i, the id (the least long for null), and, if any id
+    has several rows, g, a digest of the text where it has, else 0; and the names of these
+    columns, which docs doesn't use."""
+    name = {c: unused(docs, f"_{c}") for c in "ig"}
+    shared = unused(docs, "_shared")
+    docs = docs.withColumn(name["i"], F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))))
+    several = docs.groupBy(F.col(name["i"]).alias("i")).count().where("count > 1")
+    several = stored(several.select(F.col("i").alias(name["i"]), F.lit(True).alias(shared)), "shared-ids")
+    n, digest = several.count(), F.xxhash64(id_col, text_col)
     if not n:
-        return docs
+        return docs, {"i": name["i"]}
     if n > BROADCAST_LINES:
-        return docs.withColumn("_g", digest)
-    return docs.join(F.broadcast(shared), "_i", "left").withColumn("_g", F.when(F.col("_shared"), digest).otherwise(0)).drop("_shared")
+        return docs.withColumn(name["g"], digest), name
+    docs = docs.join(F.broadcast(several), name["i"], "left")
+    return docs.withColumn(name["g"], F.when(F.col(shared), digest).otherwise(0)).drop(shared), name
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """All rows and columns of ``docs`` with the text's later lines removed, plus n_lines and
-    n_removed (columns of these names are replaced).
+    n_removed (columns of these names are replaced; no other name clashes).
 
     Lines end at line feeds. Their words are lower-cased runs between white space. A line is
     removed if an earlier line, by (id, digest of the text, place in the text), has a Jaccard
@@ -93,83 +99,100 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part. Lines without words stay and match nothing. A null text stays null, with no lines;
     null ids sort first. Rows that share an id (or have none) and differ in their texts are
     different documents; rows equal in both are one, in which a line of the same place is
-    never earlier than itself. Words are told apart by 48 bits of a hash, texts of one id by
-    64.
+    never earlier than itself. A very long text is one row with more lines, a very long line
+    one set with more words. An empty table gives an empty result. Words are told apart by 64
+    bits of a hash (56 when lines are compared), texts of one id by 64.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = _keyed(docs, id_col, text_col)
-    doc = [c for c in ("i", "g") if f"_{c}" in keyed.columns]  # of a document
-    key = [*doc, "p"]  # of a line
-    base = keyed.select(*(F.col(f"_{c}").alias(c) for c in doc), F.col(text_col).alias("t"))
-    tables = _frequencies(base, "t")
+    keyed, name = _keyed(docs, id_col, text_col)
+    key = [*name, "p"]  # of a line
+    base = keyed.select(*(F.col(column).alias(c) for c, column in name.items()), F.col(text_col).alias("t"))
+    ranks = _ranks(base)
     # a test on the codes would be computed a second time below them, so the text is tested
-    lines = base.select(*doc, F.posexplode(F.split("t", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\S"))
-    sets = lines.select(*key, _codes(F.col("line"), tables).alias("codes"))
+    lines = base.select(*name, F.posexplode(_lines(F.col("t"))).alias("p", "line")).where(F.trim("line") != "")
+    sets = lines.select(*key, _codes(F.col("line"), ranks).alias("codes"))
     n = F.size("codes")
     # 32 bits of a word are enough to find candidates
     rare = F.transform(F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda c: c.bitwiseAND((1 << 31) - 1).cast("int"))
-    table = sets.select(*key, n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
+    # u is the line's number in the stored table
+    table = sets.select(*key, F.monotonically_increasing_id().alias("u"), n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
     table = stored(table, "lines")
 
     # one row for each different set: its first line
-    first = table.groupBy("s1", "s2").agg(F.min(F.struct(*key, "n", "b", "rare")).alias("f")).select("f.*")
-    prefix = first.select(*key, "n", "b", F.posexplode("rare").alias("q", "k"))
-    t, u = percent, 100 + percent  # overlap o of n1 and n2 words: o / (n1 + n2 - o) >= t / 100
-
-    def near(x: str, y: str, order: Column) -> Column:
-        nx, ny, qx, qy = (F.col(f"{a}.{c}") for c in "nq" for a in (x, y))
+    first = table.groupBy("s1", "s2").agg(F.min(F.struct(*key, "u", "n", "b", "rare")).alias("f")).select("f.u", "f.n", "f.b", "f.rare")
+    # n and the position q of a word as one number
+    prefix = first.select("u", "n", "b", F.posexplode("rare").alias("q", "k")).select("u", "b", "k", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("q")).alias("nq"))
+    t, s = percent, 100 + percent  # overlap o of n1 and n2 words: o / (n1 + n2 - o) >= t / 100
+
+    def near(order: Column, *maps: str) -> Column:
+        """x and y share a word, and no filter rules them out."""
+        x, y = "x", "y"
+        nx, ny = _n(x), _n(y)
+        apart = reduce(add, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in maps])
+        qx, qy = (F.col(f"{a}.nq").bitwiseAND((1 << 32) - 1) for a in (x, y))
         return (
             (F.col(f"{x}.k") == F.col(f"{y}.k")) & order
+            & (apart * s <= (nx + ny) * (100 - t))
             & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * t)
-            & (F.least(nx - qx, ny - qy) * u >= (nx + ny) * t)
-            & (F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))) * u <= (nx + ny) * (100 - t))
+            & (F.least(nx - qx, ny - qy) * s >= (nx + ny) * t)
         )
 
     # words of lines that have a candidate, earlier or later, at that word
-    other = ~reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key])
-    open_ = stored(prefix.alias("y").join(prefix.alias("x"), near("x", "y", other), "left_semi"), "candidates")
-    wanted = open_.select(*key).distinct()
-    hint = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
-    texts = base.join(hint(wanted.select(*doc).distinct()), doc, "left_semi")
-    again = texts.select(*doc, F.posexplode(F.split("t", "\n")).alias("p", "line")).join(hint(wanted), key, "left_semi")
-    codes = again.select(*key, _codes(F.col("line"), tables).alias("codes"))
-    codes = stored(codes.select(*key, "codes", F.array(*[_parity("codes", part) for part in range(WIDE)]).alias("wide")).dropDuplicates(key), "candidate-words")
-    maps = codes.select(*key, "wide")
-    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.wide")[j].bitwiseXOR(F.col(f"{b}.wide")[j])) for j in range(WIDE)), F.lit(0))
-    shared = lambda a, b: F.size(F.array_intersect(f"{a}.codes", f"{b}.codes"))
-    alike = lambda nx, ny: apart("x", "y") * u <= (nx + ny) * (100 - t)
-    exact = shared("x", "y") * u >= (F.size("x.codes") + F.size("y.codes")) * t
-
-    # most later lines match the first candidate of a word; the others meet all of them. Wider
-    # bitmaps leave few pairs whose words must be brought together
-    lead = open_.groupBy("k").agg(F.min(F.struct(*key, "n")).alias("lead"))
-    pairs = open_.alias("y").join(lead, "k").where(_earlier("lead", "y", key)).select(*(f"y.{c}" for c in (*key, "n")), *(F.col(f"lead.{c}").alias(f"x{c}") for c in (*key, "n"))).distinct()
-
-    def both(rows: DataFrame, held: DataFrame, column: str) -> DataFrame:
-        x = held.select(*(F.col(c).alias(f"x{c}") for c in key), F.struct(column).alias("x"))
-        return rows.join(x, [f"x{c}" for c in key]).join(held.select(*key, F.struct(column).alias("y")), key)
-
-    pairs = both(pairs, maps, "wide").where(alike(F.col("xn"), F.col("n"))).select(*key, *(f"x{c}" for c in key))
-    easy = stored(both(pairs, codes, "codes").where(exact).select(*key).distinct(), "matched-lines")
-    hard = open_.join(easy, key, "left_anti").join(maps, key)
-    facing = open_.join(maps, key)
-    near_wide = near("x", "y", _earlier("x", "y", key)) & alike(F.col("x.n"), F.col("y.n"))
-    hard = stored(hard.alias("y").join(facing.alias("x"), near_wide, "left_semi"), "open-lines")
-    facing = facing.join(hard.select("k").distinct(), "k", "left_semi")
-    matched = hard.join(codes.drop("wide"), key).alias("y").join(facing.join(codes.drop("wide"), key).alias("x"), near_wide & exact, "left_semi").select(*key).union(easy)
+    other = F.col("x.u") != F.col("y.u")
+    open_ = stored(prefix.alias("y").join(prefix.alias("x"), near(other, "b"), "left_semi"), "candidates")
+    wanted = stored(open_.select("u", "b").distinct(), "candidate-lines")
+    n_wanted = wanted.count()
+    near_by = lambda df: F.broadcast(df) if n_wanted <= BROADCAST_LINES else df
+
+    # the same with wider bitmaps leaves few words, nearly all of lines that match
+    wide = [f"b{j}" for j in range(WIDE)]
+    places = table.select(*key, "u").join(near_by(wanted), "u").groupBy(*name).agg(F.collect_list(F.struct("p", "u", "b")).alias("places"))
+    texts = base.join(near_by(places), list(name)).select(*name, "places", _lines(F.col("t")).alias("lines"))
+    picked = F.transform("places", lambda at: F.struct(at["p"].alias("p"), at["u"].alias("u"), at["b"].alias("b"), F.get("lines", at["p"]).alias("line")))
+    again = texts.select(*name, F.explode(picked).alias("at")).select(*name, "at.*")
+    again = again.dropDuplicates(["u"]) if "g" in name else again  # rows equal in id and text
+    maps = again.select(*key, "u", "b", _codes(F.col("line"), ranks).alias("codes"))
+    maps = maps.select("*", *(_parity(F.filter("codes", lambda c: c.bitwiseAND(64 * (WIDE - 1)) == 64 * j)).alias(b) for j, b in enumerate(wide[1:], 1)))  # noqa: B023
+    maps = stored(maps.withColumn("b0", reduce(Column.bitwiseXOR, map(F.col, wide[1:]), F.col("b"))).drop("b"), "candidate-words")
+    facing = open_.select("u", "k", "nq").join(near_by(maps.select("u", *wide)), "u")
+    close = stored(facing.alias("y").join(facing.alias("x"), near(other, *wide), "left_semi"), "close-lines")
+    dropped(open_)
+    codes = stored(maps.join(near_by(close.select("u").distinct()), "u", "left_semi").select("u", *key, "codes"), "close-words")
+    dropped(maps)
+    raw = close
+    close = close.join(near_by(codes.select("u", *key)), "u")
+    words, codes = codes, codes.select("u", "codes")
+
+    # most later lines match the first candidate of a word; the others meet all of them
+    earlier = near(_earlier("x", "y", key), *wide)
+    lead = close.groupBy("k").agg(F.min(F.struct(*key, "u", "nq", *wide)).alias("lead")).select("k", "lead.*")
+    pairs = close.alias("y").join(lead.alias("x"), earlier).select(F.col("y.u").alias("w"), F.col("x.u").alias("v")).distinct()
+    exact = F.size(F.array_intersect("x.codes", "y.codes")) * s >= (F.size("x.codes") + F.size("y.codes")) * t
+    pairs = pairs.join(codes.alias("x"), F.col("v") == F.col("x.u")).select("w", "x.codes")
+    easy = stored(pairs.alias("x").join(codes.alias("y"), F.col("w") == F.col("y.u")).where(exact).select("y.u").distinct(), "matched-lines")
+    hard = close.join(easy, "u", "left_anti")
+    hard = stored(hard.alias("y").join(close.alias("x"), earlier, "left_semi"), "open-lines")
+    # a row for a line and word, with the line's words
+    facing = close.join(hard.select("k").distinct(), "k", "left_semi").join(codes, "u")
+    matched = hard.join(codes, "u").alias("y").join(facing.alias("x"), earlier & exact, "left_semi").select("u").union(easy)
+    matched = table.join(near_by(matched.distinct()), "u", "left_semi").select(*key)
 
     # all lines of a set but its first go, and the firsts that match an earlier line
-    firsts = table.groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("f"))
-    copies = table.join(firsts, ["s1", "s2"]).where(F.struct(*key) != F.col("f")).select(*key)
+    several = stored(table.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"), "repeated-lines")
+    few = several.count() <= BROADCAST_LINES
+    repeated = table.join(F.broadcast(several) if few else several, ["s1", "s2"]).select("s1", "s2", *key)
+    firsts = repeated.groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("f"))
+    copies = repeated.join(F.broadcast(firsts) if few else firsts, ["s1", "s2"]).where(F.struct(*key) != F.col("f")).select(*key)
     gone = stored(copies.union(matched).distinct(), "removed-lines")
-    for used in (table, open_, codes, easy, hard):
+    for used in (table, several, wanted, words, raw, easy, hard):
         dropped(used)
-    places = gone.groupBy(*(F.col(c).alias(f"_{c}") for c in doc)).agg(F.collect_set("p").alias("_gone"))
+    _gone = unused(keyed, "_gone")
+    places = gone.groupBy(*(F.col(c).alias(column) for c, column in name.items())).agg(F.collect_set("p").alias(_gone))
     if gone.count() <= BROADCAST_LINES:
         places = F.broadcast(places)
-    out = keyed.join(places, [f"_{c}" for c in doc], "left").select(*docs.columns, "_gone")
+    out = keyed.join(places, list(name.values()), "left").select(*docs.columns, _gone)
     split = F.split(F.col(text_col), "\n")
-    kept = F.concat_ws("\n", F.filter(split, lambda line, at: ~F.array_contains("_gone", at)))
+    kept = F.concat_ws("\n", F.filter(split, lambda line, at: ~F.array_contains(_gone, at)))
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))
-    out = out.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+    out = out.withColumn("n_removed", F.when(F.col(_gone).isNull(), 0).otherwise(F.size(_gone)))
+    return out.withColumn(text_col, F.when(F.col(_gone).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)).drop(_gone)

@@ -29,11 +29,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet and returns them as read from there."""
+#: Rows of an Arrow batch, unless the session sets another number: texts of a few KB make a few
+#: MB then, which bounds what a Python worker and the JVM beside it hold at once.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stored(df: DataFrame, name: str, keep: bool = False, **options: object) -> DataFrame:
+    """Writes the rows as Parquet and returns them as read from there; with ``keep``, release
+    leaves the table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _written.append(path)
+    df.write.options(**options).parquet(path)
+    if not keep:
+        _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
