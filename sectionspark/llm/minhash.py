@@ -16,19 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionspark.llm.components import components
-from sectionspark.llm.scratch import stored
+from sectionspark.llm.scratch import bound_batches, stored
 from sectionspark.llm.textbatch import Chunk, chunks, mix64, run_hashes, runs, segment_sums
 
 #: Words in a shingle; a text with fewer words is one shingle.
 WORDS = 5
-#: Document frequencies are kept for hashed shingles, in so many counters (4 bytes each).
+#: Document frequencies are kept for hashed shingles, in so many counters (8 bytes each).
 COUNTERS, SLICES = 1 << 20, 64
 #: Bands and samples in a band: a pair at 0.8 is missed with 0.3 %, one at 0.9 with 3 in 10**5.
 BANDS, ROWS = 8, 3
 #: Up to so many candidate documents (8 bytes each) their ids are broadcast to fetch texts.
 BROADCAST_IDS = 2_000_000
-#: Rows in a block when all pairs of a group are verified, and pairs for each candidate
-#: document, on average, up to which that is done at once.
+#: Rows in a block when all pairs of a bucket are verified, and pairs for each candidate
+#: document, on average, above which turns of single comparisons come first. Both ways verify
+#: pairs that share a bucket, and end when none of different classes is left: the classes
+#: don't depend on where one way ends and the other begins.
 BLOCK, PAIRS_A_TURN = 128, 2000
 
 _WORD = np.zeros(256, bool)
@@ -143,7 +145,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     out, n = np.zeros((SLICES, COUNTERS // SLICES), np.int64), 0
     for k, seen, raw in got:
         out[k], n = np.frombuffer(raw, "<i8"), seen
-    return out.ravel().astype(np.int32), n
+    return out.ravel(), n
 
 
 def weighted_jaccard(a_keys: np.ndarray, a_w: np.ndarray, b_keys: np.ndarray, b_w: np.ndarray) -> float:
@@ -174,13 +176,16 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
 
     Members of a band's bucket meet its first member. While very many pairs of different
     classes are left in the buckets, a turn pairs each member outside its bucket's largest
-    class with one member of that and one of another class; what is left then is verified
-    whole, block by block, so no candidate link is lost.
+    class with one member of that and one of another class; the pairs that are left in a bucket
+    then are verified whole, block by block, so no candidate link is lost and none is found
+    that shares no bucket. A very long text is one set of more shingles, held whole by a task.
+    An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folded = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.lower(text_col).alias("text"))
     counts, n_docs = document_frequencies(folded)
-    model = spark.sparkContext.broadcast((counts, n_docs))  # COUNTERS x 4 bytes
+    model = spark.sparkContext.broadcast((counts, n_docs))  # COUNTERS x 8 bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n_docs = model.value
@@ -288,22 +293,27 @@ def _classes(folded: DataFrame, texts: DataFrame, members: DataFrame, threshold:
         if news:
             found = _merged(found, linked(fresh))
         done = done.union(fresh)
-    groups = components(rest.select(F.col("id").alias("u"), F.col("lead").alias("v")))
-    return _merged(found, _block_links(groups, sets, threshold))
+    return _merged(found, _block_links(rest, sets, threshold))
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return stored(components(links.union(found.select(F.col("id").alias("u"), F.col("component").alias("v")))), "classes")
 
 
-def _block_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links that connect what all pairs inside each group (id, component) would. A group is
-    dealt to pairs of blocks of BLOCK rows, each verified by one task with matrix products; a
-    task returns each row's smallest relative there, never the pairs."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int")
-    rows = groups.join(sizes, "component").join(sets, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "id", "k", "w")
+def _block_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect what all pairs of different classes inside each bucket would. rest:
+    band, key, id, its class c and the bucket's largest class, main. A bucket is dealt to blocks
+    of about BLOCK rows, those of the largest class apart from the others, as they need not
+    meet each other; each pair of blocks is verified by one task with matrix products, which
+    returns each row's smallest relative there, never the pairs."""
+    bucket, outside = ["band", "key"], F.col("c") != F.col("main")
+    blocks = lambda rows: F.ceil(F.count_if(rows) / BLOCK).cast("int")
+    sizes = rest.groupBy(bucket).agg(blocks(outside).alias("mixed"), blocks(~outside).alias("pure"))
+    deal = lambda n: F.pmod(F.xxhash64(F.lit("block"), "id"), n).cast("int")
+    mine = F.when(outside, deal(F.col("mixed"))).otherwise(F.col("mixed") + deal(F.col("pure")))
+    last = F.col("mixed") - 1 + F.when(outside, F.col("pure")).otherwise(0)
+    rows = rest.join(sizes, bucket).select(*bucket, "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.join(sets, "id").select(*bucket, F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "id", "k", "w")
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -324,7 +334,7 @@ def _block_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFr
         some = root != np.arange(len(ids))
         return pa.table({"u": ids[some], "v": ids[root][some]})
 
-    return rows.groupBy("component", "b0", "b1").applyInArrow(verify, "u bigint, v bigint")
+    return rows.groupBy(*bucket, "b0", "b1").applyInArrow(verify, "u bigint, v bigint")
 
 
 def similar_pairs(k: list[np.ndarray], w: list[np.ndarray], threshold: float) -> np.ndarray:
