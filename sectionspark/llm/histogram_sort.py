@@ -13,10 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectionspark.llm.scratch import stored
+from sectionspark.llm.scratch import stored, unused
 
-#: Cells into which one exchange deals at most; each is sorted by one task, with spill.
-MAX_CELLS = 4096
+#: Cells into which one exchange deals at most; each is sorted by one task, with spill. At
+#: 100 TB that makes cells of 1.5 GB.
+MAX_CELLS = 1 << 16
+#: Candidate boundaries that a round counts, about.
+MOST_BINS = 1 << 18
 
 
 @dataclass
@@ -28,20 +31,26 @@ class Splitters:
     total: int
 
 
-def less(k1: Column, k2: Column, bound: tuple[int, int]) -> Column:
-    return (k1 < F.lit(bound[0])) | ((k1 == F.lit(bound[0])) & (k2 < F.lit(bound[1])))
+def numbers(values: list[int]) -> Column:
+    """A constant array, given as one string so that the plan has one node for it."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
 def cell_of(k1: Column, k2: Column, bounds: list[tuple[int, int]]) -> Column:
-    """The number of bounds at or below a key, by a binary tree of comparisons."""
+    """The number of bounds at or below a key, by a binary search in their sorted list."""
+    steps = [1 << i for i in range(len(bounds).bit_length())][::-1]
+    if not steps:
+        return F.lit(0)
+    # filled up to a power of two, less one, by bounds above every key
+    filled = [*bounds, *[((1 << 63) - 1, (1 << 63) - 1)] * (2 * steps[0] - 1 - len(bounds))]
+    b1, b2 = (numbers([b[i] for b in filled]) for i in (0, 1))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(less(k1, k2, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def advance(at: Column, step: Column) -> Column:
+        own = F.get(b1, at + step - 1)
+        below = (own < k1) | ((own == k1) & (F.get(b2, at + step - 1) <= k2))
+        return F.when(below, at + step).otherwise(at)
 
-    return tree(0, len(bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), advance)
 
 
 #: k2 of a boundary that lies before every row with its k1.
@@ -65,7 +74,7 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerances: list[float
     active = {(None, first[0], first[1], 0): list(range(len(targets)))}
     while active:
         spans = list(active)
-        per = bins if len(spans) > 1 else max(4096, 16 * len(targets))
+        per = max(4, min(bins, MOST_BINS // len(spans))) if len(spans) > 1 else max(4096, 4 * len(targets))
         counted = _count(keys, spans, per)
         nexts: dict[tuple, list[int]] = {}
         for s, span in enumerate(spans):
@@ -106,12 +115,12 @@ def _count(keys: DataFrame, spans: list[tuple], per: int) -> dict[int, list[tupl
         key = F.col("k2") if inside else F.col("k1")
         starts = [(x[1], x[2]) if inside else (x[2], LOWEST) for x in own]
         at = cell_of(F.col("k1"), F.col("k2"), starts) - 1
-        held = F.array(*[F.array(*[F.lit(v).cast("decimal(38,0)") for v in (x[2], -(-(x[3] - x[2] + 1) // per), x[3])]) for x in own])
-        rows = keys.withColumn("at", at).where("at >= 0").withColumn("span", F.element_at(held, F.col("at") + 1))
+        of = lambda values: F.get(numbers(values), F.col("at")).cast("decimal(38,0)")
+        rows = keys.withColumn("at", at).where("at >= 0")
         if inside:
-            rows = rows.where(F.element_at(F.array(*[F.lit(x[1]) for x in own]), F.col("at") + 1) == F.col("k1"))
-        wide = key.cast("decimal(38,0)")
-        rows = rows.where(wide <= F.col("span")[2]).withColumn("bin", F.floor((wide - F.col("span")[0]) / F.col("span")[1]).cast("int"))
+            rows = rows.where(of([x[1] for x in own]) == F.col("k1"))
+        wide, width = key.cast("decimal(38,0)"), [-(-(x[3] - x[2] + 1) // per) for x in own]
+        rows = rows.where(wide <= of([x[3] for x in own])).withColumn("bin", F.floor((wide - of([x[2] for x in own])) / of(width)).cast("int"))
         for r in rows.groupBy("at", "bin").agg(F.sum("size"), F.min(key), F.max(key)).collect():
             out.setdefault(own[r[0]][0], []).append(tuple(r)[1:])
     return {s: sorted(rows) for s, rows in out.items()}
@@ -127,19 +136,22 @@ def _ranges(keys: DataFrame, spans: dict[tuple, list[int]]) -> dict[tuple, list[
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005, cell_bytes: int = 256 << 20) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``_size``, ``_shard`` and ``_slot``.
+    """All rows and columns of ``docs`` plus ``_size``, ``_shard`` and ``_slot`` (columns of
+    these names are replaced; no other name clashes).
 
     Law: near equal bytes. A row weighs its UTF-8 bytes plus 8 (null text: 8). Rows are
     ordered by (hash of the text, id), so equal texts stand together and share a shard,
     unless a splitter must fall inside a group that is larger than the tolerance (a share of
     a shard's bytes). ``_slot`` counts from 0 without gaps inside each shard, in that order.
     Null ids sort first; rows equal in text and id take neighbouring slots in any order.
-    An empty table gives an empty result.
+    A very long text is one row that may make its shard the larger. An empty table gives an
+    empty result.
 
     Each shard is dealt out as several cells of about ``cell_bytes`` (at most MAX_CELLS in
     all), so no task sorts a whole shard; slots of a cell start at the exact row count of
     the cells before it.
     """
+    docs = docs.drop("_size", "_shard", "_slot")
     k1 = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)
     k2 = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST + 1))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 8
@@ -149,15 +161,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     part = total / (shards * per)
     tolerances = [min(tolerance * per, 0.4) * part if i % per == 0 else 0.1 * part for i in range(1, shards * per)]
     cut = find_splitters(keys, [part * i for i in range(1, shards * per)], tolerances)
-    cell = cell_of(F.col("_k1"), F.col("_k2"), cut.bounds)
+    _k1, _k2, _cell = (unused(docs, c) for c in ("_k1", "_k2", "_cell"))
     counts = {r[0]: r[1] for r in keys.groupBy(cell_of(F.col("k1"), F.col("k2"), cut.bounds).alias("c")).count().collect()}
     before, base = [], 0
     for c in range(shards * per):
         base = 0 if c % per == 0 else base
         before.append(base)
         base += counts.get(c, 0)
-    start = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("_cell") + 1)
-    order = Window.partitionBy("_cell").orderBy("_k1", "_k2")
-    out = docs.withColumns({"_k1": k1, "_k2": k2, "_size": size}).withColumn("_cell", cell)
-    out = out.withColumn("_slot", F.row_number().over(order) - 1 + start)
-    return out.withColumn("_shard", F.floor(F.col("_cell") / per).cast("int")).drop("_k1", "_k2", "_cell")
+    order = Window.partitionBy(_cell).orderBy(_k1, _k2)
+    out = docs.withColumns({_k1: k1, _k2: k2, "_size": size}).withColumn(_cell, cell_of(F.col(_k1), F.col(_k2), cut.bounds))
+    out = out.withColumn("_slot", F.row_number().over(order) - 1 + F.get(numbers(before), F.col(_cell)))
+    return out.withColumn("_shard", F.floor(F.col(_cell) / per).cast("int")).drop(_k1, _k2, _cell)

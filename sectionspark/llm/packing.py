@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionspark.llm.histogram_sort import LOWEST, MAX_CELLS, cell_of, find_splitters
-from sectionspark.llm.scratch import stored
+from sectionspark.llm.scratch import bound_batches, stored
 
 #: Hash buckets of a document vector, dimensions after projection, bits for each of them.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
 #: Pieces whose ids a worker keeps at most; then it starts anew.
 MAX_WORDS = 600_000
 #: Words handled at once, and tokens that one sorted cell holds, about.
-MOST_AT_ONCE, CELL_TOKENS = 500_000, 4 << 20
+MOST_AT_ONCE, CELL_TOKENS = 250_000, 1 << 20
 
 
 # The split pattern of the tokenizer file; the class of letters is that of the
@@ -36,6 +36,8 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[
 #: Texts with other characters are cut at white space only. What is admitted has one form
 #: under NFC, one lower case and the class (letter, digit, other) that PIECES gives it.
 UNSAFE = re.compile(r"[^\t\n\v\f\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]|<\|")
+#: A text that a tokenizer of another split or case gives other ids.
+PROBE = "It's  WE'LL x9 12,345 (a-b)\n\nÉtude naïve: ßtraße!? they'd--go"
 _loaded: dict[str, _Vocabulary] = {}
 
 
@@ -47,6 +49,9 @@ class _Vocabulary:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        encode = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        if encode(PROBE) != [i for w in PIECES.findall(PROBE.lower()) for i in encode(w)]:
+            raise ValueError(f"{file} doesn't cut texts as PIECES does")
         self.axes = np.random.default_rng(3).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
         self.clear()
 
@@ -151,12 +156,14 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
 
     Every document is its ids and end_id (a null text is empty). Along the order (Hilbert
     key, id) all ids are laid end to end and cut every ``length``, so only the last sequence
-    is padded. Rows equal in key and id follow each other in any order; repeated rows are
+    is padded. A very long text is tokenised whole by one task and cut like others. Rows equal
+    in key and id (null ids come first) follow each other in any order; repeated rows are
     packed as often as they come. Cells of the order are found by exact histograms of the
     token counts and each is sorted and packed by one task that knows where it starts; so a
-    large group of copies is dealt to many tasks. An empty table gives no pieces.
+    large group of copies is dealt to many tasks. An empty table gives no pieces; other columns
+    of ``docs`` are not looked at.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
