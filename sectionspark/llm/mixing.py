@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionspark.llm.scratch import stored
@@ -18,12 +18,11 @@ from sectionspark.llm.scratch import stored
 #: Costs of the first, second, third ... pass over the same words: convex, so that no words
 #: are repeated while fresh ones could fill a quota.
 PASS_COSTS = (0, 1, 3, 6, 10, 15, 21, 28)
-#: Buckets of the seeded order in one round of the search for a part of a pattern.
-BUCKETS = 4096
 #: Turns that fill what the first cut of a pattern leaves with smaller documents.
 FILLS = 3
-#: Patterns that the driver takes at most; more are refused, as the flow is solved there.
-MAX_PATTERNS = 20_000
+#: Patterns that the driver takes at most, and those among them whose sources overlap with
+#: others; more are refused, as the flow is solved there.
+MAX_PATTERNS, MAX_OVERLAPS = 1_000_000, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -121,9 +120,13 @@ def mix(docs: DataFrame, members: Column, weights, size: Column | None = None, t
     the word count that the flow leaves; FILLS more turns fill the rest with documents of at
     most half its size. The order is cut by two exact histograms, never by a sort of a whole
     source, so a source with a third of all rows is no special case.
-    Documents without words take nothing. Rows equal in id and size are taken alike; an
-    empty table gives an empty result.
+    Documents without words take nothing. Rows equal in id and size (null ids too) are taken
+    alike; very long texts are documents like others; an empty table gives an empty result.
+    max_passes is at most len(PASS_COSTS). A source that no document shares with another is
+    mixed by itself; up to MAX_OVERLAPS patterns of shared sources go through the flow.
     """
+    if not 1 <= max_passes <= len(PASS_COSTS):
+        raise ValueError(f"max_passes is 1 to {len(PASS_COSTS)}")
     spark = docs.sparkSession
     words = word_count(F.col("text")) if size is None else size
     mark = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col("size")), 24)  # 40 bits
@@ -141,7 +144,17 @@ def mix(docs: DataFrame, members: Column, weights, size: Column | None = None, t
             sizes[s] = sizes.get(s, 0) + n
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     targets = capped_targets(sizes, dict(zip(order, weights(order))), total_share * sum(patterns.values()), max_passes)
-    flow = min_cost_flow({p: n for p, n in patterns.items() if n}, targets, max_passes)
+    # a pattern of one source that is in no other pattern fills that source's quota alone
+    met: dict = {}
+    for p in patterns:
+        for s in p:
+            met[s] = met.get(s, 0) + 1
+    alone = {p for p in patterns if len(p) == 1 and met[p[0]] == 1}
+    if len(patterns) - len(alone) > MAX_OVERLAPS:
+        raise ValueError(f"more than {MAX_OVERLAPS} membership patterns with shared sources")
+    shared = {s: t for s, t in targets.items() if (s,) not in alone}
+    flow = min_cost_flow({p: n for p, n in patterns.items() if n and p not in alone}, shared, max_passes)
+    flow |= {p: min(max_passes * patterns[p], round(targets[p[0]])) for p in alone}
 
     # how many whole passes each pattern makes, and below which mark it is taken once more
     plan = {p: (flow.get(p, 0) // n, flow.get(p, 0) % n) if n else (0, 0) for p, n in patterns.items()}
@@ -185,12 +198,13 @@ def _boundary(table: DataFrame, bucket: Column, rest: dict[int, int], below: dic
     if not rest:
         return {}, {}
     out, sums = {}, dict(below)
-    wanted = table.where(F.col("at").isin(list(rest)))
-    for at, b, n in sorted(tuple(r) for r in wanted.groupBy("at", bucket.alias("b")).agg(F.sum("size")).collect()):
-        if at in out:
-            continue
-        if sums.get(at, 0) + n > rest[at]:
-            out[at] = b
-        else:
-            sums[at] = sums.get(at, 0) + n
+    left = table.sparkSession.createDataFrame([(at, n - sums.get(at, 0)) for at, n in sorted(rest.items())], "at int, left bigint")
+    sizes = table.join(F.broadcast(left), "at").groupBy("at", "left", bucket.alias("b")).agg(F.sum("size").alias("n"))
+    # at most 4096 buckets of a pattern meet in its window; one row of it leaves
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("b"))
+    over = F.when(F.col("upto") > F.col("left"), F.struct("b", (F.col("upto") - F.col("n")).alias("before")))
+    for at, total, edge in sizes.withColumn("upto", upto).groupBy("at").agg(F.sum("n"), F.min(over)).collect():
+        sums[at] = sums.get(at, 0) + (total if edge is None else edge["before"])
+        if edge is not None:
+            out[at] = edge["b"]
     return out, sums
