@@ -126,8 +126,10 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """query_id, rank (from 1), id, score: the k nearest rows found for each query, by
     Euclidean distance in double precision, ties to the smaller id.
 
-    Rows whose vector is null, zero or holds null or non-finite components take no part;
-    repeated ids count as one vector; a query never finds its own id. The codebooks are
+    Rows whose vector is null, zero or holds null or non-finite components take no part, nor do
+    rows without an id; repeated ids count as one vector (the smallest); a query never finds its
+    own id; of unequal lengths, the shorter vector counts as filled with zeros. Other columns of
+    ``table`` are not looked at; an empty table gives an empty result. The codebooks are
     fitted on at most MAX_FIT rows, chosen by a hash of the id; every row is coded. All rows
     meet all queries in blocks of about ROWS x QUERIES; a block folds equal vectors, scans the
     codes and reranks RERANK different vectors for each query, and those that the scan cannot
@@ -166,14 +168,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         x, codes = x[ones], codes[ones]
         half = (x**2).sum(1).astype(np.float32) / 2
         q_ids, q = queries["id"].to_numpy(), matrix(queries["x"])
+        x, q = (np.pad(m, ((0, 0), (0, max(x.shape[1], q.shape[1]) - m.shape[1]))) for m in (x, q))
         got = []
         for lo in range(0, len(q), 64):
             approx = book.value.scan(q[lo : lo + 64], codes) - half
             for i in range(len(approx)):
                 own = approx[i]
                 near = np.flatnonzero(own >= np.partition(own, -RERANK)[-RERANK]) if len(own) > RERANK else np.arange(len(own))
-                width = min(x.shape[1], q.shape[1])
-                d = np.sqrt(((x[near, :width] - q[lo + i, :width]) ** 2).sum(1))
+                d = np.sqrt(((x[near] - q[lo + i]) ** 2).sum(1))
                 # each different vector stands for its copies by their smallest ids
                 first = np.lexsort((ids[ones[near]], d))[: k + 1]
                 rows_ = np.concatenate([copies[cuts[v] : cuts[v + 1]] for v in near[first]])

@@ -18,16 +18,20 @@ from sectionspark.llm.components import components
 from sectionspark.llm.scratch import stored
 from sectionspark.llm.vectors import matrix, one_per_id, unit, usable
 
-#: Pivots: PIVOT_RATE times the root of the row count, within these bounds.
-PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 16, 2048
+#: Pivots: PIVOT_RATE times the root of the row count, within these bounds; the upper one is
+#: reached at 10**9 rows and keeps what is broadcast below 64 MB at 128 dimensions.
+PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 16, 1 << 16
 #: Pivots that describe a vector, and those that a pair must share to be verified.
 NEAREST, SHARED = 8, 2
-#: Rows of a list that meet in one block; longer lists are dealt to pairs of blocks.
-BLOCK = 1024
+#: Rows of a list that meet in one block; longer lists are dealt to pairs of blocks. Pairs
+#: that are verified at once.
+BLOCK, AT_ONCE = 1024, 1 << 16
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
-    """One row for each vector: id, n_links, component_id, kept.
+    """One row for each id: id, n_links, component_id, kept. Rows without an id are left out, as
+    they have none to report; an empty table gives an empty result, and other columns of
+    ``table`` are not looked at.
 
     Two vectors link if their groups are equal and not null and their cosine is at least the
     threshold, in double precision. Vectors that are null, zero or hold null or non-finite
@@ -83,9 +87,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         np.put_along_axis(holds, index.reshape(near.shape), 1, axis=1)
         earlier = holds[:, used < pivot]
         links = (holds[a] @ holds[b].T >= shared) & (earlier[a] @ earlier[b].T == 0)
-        links &= x[a] @ x[b].T >= threshold
         if b0 == b1:
             np.fill_diagonal(links, False)
+        # only pairs that share enough pivots are verified
+        i, j = np.nonzero(links)
+        for lo in range(0, len(i), AT_ONCE):
+            p, q = i[lo : lo + AT_ONCE], j[lo : lo + AT_ONCE]
+            links[p, q] = (x[a[p]] * x[b[q]]).sum(1) >= threshold
         n = np.zeros(len(ids), np.int64)
         n[a] += links.sum(1)
         if b0 != b1:

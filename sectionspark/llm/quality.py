@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectionspark.llm.scratch import bound_batches
 from sectionspark.llm.textbatch import IS_SPACE, CHUNK_BYTES, Chunk, chunks, runs, run_hashes, segment_sums, words
 
 #: Labelled rows that the trees are fitted on, at most about, chosen by a hash of the id.
@@ -155,8 +156,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, usable: Column | None = None) -> Trees:
     """Fits on at most about ``max_labelled`` labelled rows out of those that ``usable``
-    admits (default: not held out). Null labels take no part; with labels of one kind only,
-    or none, the score is constant."""
+    admits (default: not held out). Null labels and ids take no part; with labels of one kind
+    only, or none (an empty table), the score is constant. Repeated rows and several labels of
+    one id count as often as the join brings them; of ``docs`` and ``labels`` only the named
+    columns are read."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull())
     known = known.where(~held_out("id") if usable is None else usable)
     total = known.count()
@@ -179,8 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_quality(docs: DataFrame, trees: Trees, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The ``keep`` columns (default: all) plus quality_score (0 to 1); a null text counts as
-    empty. A column of that name is replaced."""
+    empty. A column of that name is replaced. Rows are scored one by one, whatever their ids
+    and however often they come; a very long text is measured whole by one task. An empty table
+    gives an empty result."""
     docs = docs.drop("quality_score")
+    bound_batches(docs.sparkSession)
     kept = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # TREES * 2 ** (DEPTH + 1) nodes
     schema = docs.select(*kept, F.lit(0.0).alias("quality_score")).schema

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionspark.llm.scratch import new_path
+from sectionspark.llm.scratch import bound_batches, new_path, stored
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 #: Up to so many misses (8 bytes each) their ids are broadcast; more are joined by a shuffle.
@@ -47,9 +47,12 @@ def token_counts(docs: DataFrame, counter: Callable, cache_path: str | None = No
     ``cache_path`` (a Parquet folder; by default a new one in the shared folder); each digest
     that is missing there is encoded once and appended. A rerun after a failure finds what
     was appended; a digest appended twice by two runs at once counts once. Equal texts share
-    one encoding. An empty table gives an empty result.
+    one encoding. Repeated and null ids are rows like others, each with its own counts; a very
+    long text is encoded whole by one task. An empty table gives an empty result; other columns
+    of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = cache_path or new_path(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
@@ -58,9 +61,9 @@ def token_counts(docs: DataFrame, counter: Callable, cache_path: str | None = No
     cache = lambda: spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == counter.version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     # one row of the table stands for each missing digest; ids may repeat or be null
     spot = F.struct(F.xxhash64(F.col(id_col), F.col("digest")).alias("spot"))
-    misses = keyed.join(cache(), "digest", "left_anti").groupBy("digest").agg(F.min(spot)["spot"].alias("spot"))
-    misses.write.parquet(chosen := new_path(spark, "token-misses"))
-    misses = spark.read.schema("digest binary, spot bigint").parquet(chosen).select("spot")
+    # grouped before the join, so a digest of many rows is one row there
+    misses = keyed.groupBy("digest").agg(F.min(spot)["spot"].alias("spot")).join(cache(), "digest", "left_anti")
+    misses = stored(misses.select("spot"), "token-misses")
     if misses.count() <= BROADCAST_MISSES:
         misses = F.broadcast(misses)
     todo = keyed.withColumn("spot", F.xxhash64(F.col(id_col), F.col("digest"))).join(misses, "spot", "left_semi").select("digest", "text")
