@@ -202,3 +202,42 @@ def test_pivot_links(vectors, monkeypatch, block):
 def test_empty_documents(make_docs):
     assert line_dedup.dedup_lines(make_docs([])).count() == 0
     assert minhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_clashing_names(spark):
+    """Extra columns with names that the operators use inside come out as they went in."""
+    from sectionspark.llm import histogram_sort
+
+    rows = [(1, "a b c d e\nx y", "i1", "g1", 7, True, 1, 2, 3), (2, "a b c d e\nz", "i2", "g2", 8, False, 4, 5, 6), (2, "q", "i3", "g3", 9, None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _i string, _g string, _gone int, _shared boolean, _K1 int, _k2 int, _cell int")
+    extra = [c for c in docs.columns if c != "text"]
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted(map(str, out.select(extra).collect())) == sorted(map(str, docs.select(extra).collect()))
+    assert {r["_i"]: r["text"] for r in out.collect()} == {"i1": "a b c d e\nx y", "i2": "z", "i3": "q"}
+    out = histogram_sort.shard_documents(docs, 2)
+    assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_two_texts_of_one_id(spark):
+    """Each text of an id is a document: what links is the text that is similar, not the id."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, want = [], []
+    for i in range(12):
+        base = [word() for _ in range(120)]
+        near, far = list(base), [word() for _ in range(120)]
+        near[60] = word()
+        rows += [(1000 + i, " ".join(base)), (i, " ".join(near)), (i, " ".join(far))]
+        want.append((" ".join(near), " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.text_classes(docs)
+    from pyspark.sql import functions as F
+
+    classes = {}
+    for row in docs.select("doc_id", "text", F.xxhash64("text").alias("text_digest")).join(got, ["doc_id", "text_digest"]).collect():
+        classes[row["text"]] = (row["class_id"], row["kept"])
+    assert len(classes) == 36 and all(classes[a][0] == classes[b][0] for a, b in want)
+    assert sum(kept for _, kept in classes.values()) == 24  # a pair is one class, each far text another

@@ -13,10 +13,8 @@ from sectionspark.llm import language_id, quality, queries
 DATA = "/root/testdata/sf0.01"
 
 
-def ppm_by_hand(texts, most_codes=language_id.MAX_CODES):
+def ppm_by_hand(texts):
     """Counts of contexts as in a plain tree; cost(text) walks it byte by byte."""
-    seen = Counter(b for t in texts for b in t.encode())
-    frequent = sorted(seen, key=lambda b: (-seen[b], b))[: most_codes - 2]
     counts = defaultdict(Counter)
     for t in texts:
         data = [None] * 3 + list(t.encode())
@@ -28,7 +26,7 @@ def ppm_by_hand(texts, most_codes=language_id.MAX_CODES):
         c = counts[context]
         if c[symbol]:
             return c[symbol] / (sum(c.values()) + len(c))
-        lower = probability(context[1:], symbol) if context else (1 / (len(frequent) + 1)) / (1 if symbol in seen else 256 - len(frequent))
+        lower = probability(context[1:], symbol) if context else 1 / 256
         return lower * (len(c) / (sum(c.values()) + len(c)) if c else 1)
 
     def cost(text):
@@ -38,22 +36,24 @@ def ppm_by_hand(texts, most_codes=language_id.MAX_CODES):
     return cost
 
 
-def test_exact_code_lengths(spark):
-    texts = ["the cat sat on the mat " * 3, "the dog and the cat, and the mat"] * 2
-    docs = spark.createDataFrame([(i * 3, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+def test_exact_code_lengths(spark, monkeypatch):
     from pyspark.sql import functions as F
 
+    # all bytes, contexts met once, and two languages that know different contexts
+    texts = {"en": ["the cat sat on the mat " * 3, "the dog and the cat, and the mat", "once"], "xx": ["".join(map(chr, range(1, 256))), "ça va, là-bas"]}
+    docs = spark.createDataFrame([(i * 3, t, lang) for lang in texts for i, t in enumerate(texts[lang])], "doc_id long, text string, lang string")
     model = language_id.train(docs, usable=F.lit(True))
-    cost = ppm_by_hand(texts)
-    asked = ["the cat", "a zebra!", "", "tttt the", "ü"]
-    # contexts seen once are left out of the tree, so compare where all were seen twice
-    assert language_id.code_lengths(model, pa.array(asked))[:, 0] == pytest.approx([cost(t) for t in asked], rel=1e-5)
+    asked = ["the cat", "a zebra!", "", "tttt the", "ü", None, "once upon the mat\x00 là " * 40]
+    want = [[cost(t or "") for cost in map(ppm_by_hand, texts.values())] for t in asked]
+    assert language_id.code_lengths(model, pa.array(asked)) == pytest.approx(np.array(want), rel=1e-5)
+    monkeypatch.setattr(language_id, "AT_ONCE", 50)  # long texts are cut, and cost the same
+    assert language_id.code_lengths(model, pa.array(asked)) == pytest.approx(np.array(want), rel=1e-5)
 
 
 def test_odd_texts(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     out = language_id.identify(docs, language_id.train(docs))
-    assert out.columns == [*docs.columns, "lang_pred", "lang_score"]
+    assert out.columns == [*docs.columns, "lang_pred", "lang_score", "lang_bits"]
     for r in out.collect():
         known = any(map(str.isalpha, r["text"] or ""))
         assert (r["lang_pred"] in ("en", "de")) == known and (known or (r["lang_pred"], r["lang_score"]) == ("und", 0.0)) and 0 <= r["lang_score"] <= 1

@@ -66,6 +66,27 @@ def test_mix(make_docs, odd_rows):
     assert [tuple(r) for r in mixing.mix(docs, F.array("source"), queries.weights_5_2_1).orderBy("doc_id", "taken").collect()] == sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[4]))
 
 
+def test_many_bounds(spark):
+    """More cells than one expression tree could hold."""
+    from bisect import bisect_right
+
+    bounds = sorted({(v * v % 100_003, v % 7 - 3) for v in range(6000)})
+    keys = [(v * 7 % 100_003, v % 9 - 4) for v in range(0, 90_000, 45)] + bounds[:50] + [(-1, 0), (1 << 60, 0)]
+    table = spark.createDataFrame(keys, "k1 long, k2 long")
+    got = table.select("k1", "k2", histogram_sort.cell_of(F.col("k1"), F.col("k2"), bounds).alias("c")).collect()
+    assert all(r["c"] == bisect_right(bounds, (r["k1"], r["k2"])) for r in got) and len(got) == len(keys)
+
+
+def test_many_sources(spark):
+    """More sources than the flow takes: those that share no document need none."""
+    n = mixing.MAX_OVERLAPS + 500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    rows = mixing.mix(docs, F.array("source"), lambda sources: [1] * len(sources)).agg(F.count("*"), F.sum("taken"), F.min("taken"), F.max("target")).first()
+    assert tuple(rows) == (n, 3 * n, 3, 3.0)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, F.array("source"), lambda sources: [1] * len(sources), max_passes=9)
+
+
 def test_targets_by_hand():
     got = mixing.capped_targets({"a": 10, "b": 100, None: 90, "e": 0}, {"a": 5, "b": 2, None: 1, "e": 5}, 200, 3)
     assert got == {"a": 30.0, "b": pytest.approx(170 * 2 / 3), None: pytest.approx(170 / 3), "e": 0.0}

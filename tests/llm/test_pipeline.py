@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from sectionspark.llm import line_dedup, minhash, mixing, queries
+from sectionspark.llm import language_id, line_dedup, minhash, mixing, queries
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,10 @@ def test_stages(spark, make_docs, odd_rows, tmp_path):
         kept.append(spark.read.parquet(path))
     assert all(d.columns == columns for d in kept[:-1])
     ids = [Counter(r[0] for r in d.select("doc_id").collect()) for d in kept]
-    # language: only null texts and texts without a letter go
-    assert ids[1] == Counter(i for i, t, *_ in rows if any(map(str.isalpha, t or "")))
+    # language: only null texts, texts without a letter and texts of no learned language go
+    bits = {r["doc_id"]: r["lang_bits"] for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert ids[1] == Counter(i for i, t, *_ in rows if any(map(str.isalpha, t or "")) and bits[i] <= P.MOST_BITS)
+    assert set(ids[0]) - set(ids[1]) == {80, 81, 82, 84, 85} and bits[84] > P.MOST_BITS  # 84: letters that no other text has
     # lines: all documents stay, with the operator's texts and their lengths
     assert ids[2] == ids[1]
     want = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(kept[1]).collect()}
