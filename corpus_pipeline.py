@@ -15,17 +15,28 @@ from sectionspark.llm import language_id, line_dedup, minhash, mixing, packing,
 BROADCAST_IDS = 2_000_000
 
 
+#: Bits a byte above which a text is of no learned language: half as many again as raw bytes
+#: take. Texts of a learned language take about 3, bytes that no training text held about 25.
+MOST_BITS = 12
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter."""
+    """Drops documents of no language: null texts, texts without a letter, and texts of none of
+    the learned languages, whose code length is over MOST_BITS a byte under all of them (where
+    nothing was learned, texts with a letter stay). Rows are judged one by one, whatever their ids;
+    an empty table gives an empty result."""
     scratch.release(spark)
     columns = docs.columns
     model = language_id.train(docs)
     found = language_id.identify(docs, model, keep=columns)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*columns)
+    kept = F.col("text").rlike(r"\p{L}") & (F.coalesce("lang_bits", F.lit(0.0)) <= MOST_BITS)
+    return found.where(kept).select(*columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that match an earlier line; every document stays, with what is left."""
+    """Removes lines that match an earlier line; every document stays, with what is left, and
+    n_chars follows the text. Nulls, long texts, ties, repeated rows and extra columns are met
+    as ``line_dedup.dedup_lines`` states; an empty table gives an empty result."""
     scratch.release(spark)
     columns = docs.columns
     out = line_dedup.dedup_lines(docs)
@@ -38,7 +49,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id; rows
     without an id come first. Rows that share an id and differ in their texts are different
-    documents, rows equal in both are one and stay or go together."""
+    documents, rows equal in both are one and stay or go together. Texts without words are
+    classes of their own; an empty table gives an empty result."""
     scratch.release(spark)
     classes = scratch.stored(minhash.text_classes(docs), "classes")
     gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "text_digest")
@@ -49,7 +61,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: not at all, once or repeatedly."""
+    """Takes each document as often as the mix does: not at all, once or repeatedly. Rows that
+    share an id are taken as the one of them that is taken most; documents without words are
+    not taken; a null source is a source of its own; an empty table gives an empty result."""
     scratch.release(spark)
     taken = mixing.mix(docs, F.array("source"), queries.weights_5_2_1).select("doc_id", F.col("repeats").alias("_repeats"))
     taken = scratch.stored(taken.where("_repeats > 0").groupBy("doc_id").agg(F.max("_repeats").alias("_repeats")), "taken")
@@ -60,7 +74,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents; returns a row for each piece of a sequence."""
+    """Packs all documents, repeated rows as often as they come; returns a row for each piece of
+    a sequence. A null text is its end id alone; an empty table gives an empty result."""
     scratch.release(spark)
     import public_tokenizers
 
@@ -80,10 +95,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are written to the shared folder and read by the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = scratch.new_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stored = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", keep=True)
+        if last is not None:
+            scratch.dropped(last)
+        docs = last = stored
     scratch.release(spark)
     return docs

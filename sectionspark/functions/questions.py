@@ -2,59 +2,86 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sectionspark.functions.rules import FAMOUS, RULES
+from sectionspark.functions import rules as R
 
 #: One cheap test that any rule needs: a digit or one of the words' stems.
-ANY_RULE = r"(?i)\d|fir|ipc|crpc|bns|u\s*/\s*s|charge|challan|remand|bail|maintenance|sedition|snatching|service|organi|terror|lynching|dowry|hit|marry|rape|murder|kidnap|theft|conspiracy|stalk|voyeur|acid|traffick|panch|abscond|offender|curfew|thana|chowki|cognizable"
+ANY_RULE = r"(?iU)\d|fir|ipc|crpc|bns|u\s*/\s*s|charge|challan|remand|bail|maintenance|sedition|snatching|service|organi|terror|lynching|dowry|hit|marry|rape|murder|kidnap|theft|conspiracy|stalk|voyeur|acid|traffick|panch|abscond|offender|curfew|thana|chowki|cognizable"
+#: The same for the rules on jargon.
+ANY_JARGON = "(?iU)" + "|".join(f"(?:{p})" for p, _ in R.JARGON)
+# How a section with its source, a bare section, a form and bail are named.
 SECTION_WITH_SOURCE = r"(?i)\b(BNS|BNSS)\s+(?:(?:section|sec\.?)\s+)?(\d{1,3}[A-Za-z]?)\b"
 BARE_SECTION = r"\b(?:[Ss]ection|[Ss]ec\.?)\s+(\d+[A-Za-z]?)\b"
 FORM = r"(?i)\bform\s+(?:no\.?\s*)?(\d+)\b"
 BAIL = r"(?i)\b(cognizable|bailable|bail|non-bailable|non bailable)\b"
 
 
+def _unicode(pattern: str) -> str:
+    """The pattern with Unicode digits, white space and word ends."""
+    return "(?U)" + pattern
+
+
 def expansions(q: Column) -> Column:
     """Q1-Q5: the distinct additions in rule order; a back-reference rule adds one for each
-    match."""
-    parts = []
-    for pattern, words in RULES:
-        found = f"(?i){pattern}"
-        if "{1}" in words:
-            lead = F.lit(words.replace("{1}", ""))
-            parts.append(F.transform(F.regexp_extract_all(q, F.lit(found), 1), _after(lead)))
-        else:
-            parts.append(F.when(q.rlike(found), F.array(F.lit(words))))
+    match. White space, digits and word ends are those of Unicode."""
+    parts = [
+        *_plain(q, R.FIR), _numbered(q, "IPC", R.IPC), *_plain(q, R.cases()), _numbered(q, "CrPC", R.CRPC),
+        *_plain(q, R.ABBREVIATIONS), F.when(q.rlike(ANY_JARGON), F.array_compact(F.array(*_plain(q, R.JARGON, False)))),
+    ]
     none = F.array().cast("array<string>")
     return F.when(q.rlike(ANY_RULE), F.array_distinct(F.flatten(F.array(*[F.coalesce(p, none) for p in parts])))).otherwise(none)
 
 
+def _plain(q: Column, rules: tuple, lists: bool = True) -> list[Column]:
+    """What each rule adds, as lists or as words (null where it doesn't match)."""
+    out = []
+    for pattern, words in rules:
+        if "{1}" in words:
+            out.append(F.transform(F.regexp_extract_all(q, F.lit(f"(?iU){pattern}"), 1), _after(F.lit(words.replace("{1}", "")))))
+        else:
+            out.append(F.when(q.rlike(f"(?iU){pattern}"), F.array(F.lit(words)) if lists else F.lit(words)))
+    return out
+
+
 def _after(lead: Column):
     return lambda n: F.concat(lead, n)
 
 
+def _numbered(q: Column, code: str, rules: tuple) -> Column:
+    """The rules of all section numbers that stand after the code or before it on a line: the
+    numbers are read once, and a small table of the rules is looked up."""
+    after = F.regexp_extract_all(q, F.lit(rf"(?iU)\b{code}\s+(?:sec(?:tion)?\s+)?(\d+[a-z]?)\b"), 1)
+    before = F.regexp_extract_all(q, F.lit(rf"(?iU)\b(\d+[a-z]?)\b(?=[^\n]*\b{code}\b)"), 1)
+    found = F.transform(F.concat(after, before), F.upper)
+    table = F.array(*[F.struct(F.lit(re.sub(r"\[(.).\]", r"\1", n)).alias("n"), F.lit(words).alias("words")) for n, words in rules])
+    return F.when(F.size(found) > 0, F.transform(F.filter(table, lambda r: F.array_contains(found, r["n"])), lambda r: r["words"]))
+
+
 def expand(q: Column) -> Column:
     return F.when(q.isNotNull(), F.concat_ws(" ", q, expansions(q)))
 
 
 def form_number(q: Column) -> Column:
     """Q6."""
-    return F.regexp_extract(q, FORM, 1).try_cast("int")
+    return _number(F.regexp_extract(q, _unicode(FORM), 1))
 
 
 def _number(c: Column) -> Column:
-    return F.regexp_extract(c, r"^(\d+)", 1).try_cast("int")
+    return F.translate(F.regexp_extract(c, r"(?U)^(\d+)", 1), "०१२३४५६७८९", "0123456789").try_cast("int")
 
 
 def section_source(q: Column) -> Column:
     """Q7: BNS or BNSS if a section is named with its source, else null."""
-    return F.upper(F.nullif(F.regexp_extract(q, SECTION_WITH_SOURCE, 1), F.lit("")))
+    return F.upper(F.nullif(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 1), F.lit("")))
 
 
 def section_number(q: Column) -> Column:
     """Q7, else Q8 (case-sensitive): the number without a trailing letter."""
-    return F.coalesce(_number(F.regexp_extract(q, SECTION_WITH_SOURCE, 2)), _number(F.regexp_extract(q, BARE_SECTION, 1)))
+    return F.coalesce(_number(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 2)), _number(F.regexp_extract(q, _unicode(BARE_SECTION), 1)))
 
 
 def section_sources(q: Column) -> Column:
@@ -64,11 +91,11 @@ def section_sources(q: Column) -> Column:
 
 def famous_section(q: Column) -> Column:
     """Q9: the section that a bare old number most likely means, null if none or the same."""
-    table = F.create_map(*[F.lit(v) for pair in FAMOUS.items() for v in pair])
+    table = F.create_map(*[F.lit(v) for pair in R.FAMOUS.items() for v in pair])
     mapped = F.try_element_at(table, section_number(q))
     return F.when(section_source(q).isNull() & (mapped != section_number(q)), mapped)
 
 
 def bail_intent(q: Column) -> Column:
     """Q10."""
-    return q.rlike(BAIL)
+    return q.rlike(_unicode(BAIL))

@@ -105,8 +105,12 @@ def _case(number: str, accused: bool, under: bool) -> str:
     return rf"\b(?:{'|'.join(ways)})\b"
 
 
+def cases() -> tuple[tuple[str, str], ...]:
+    return tuple((_case(n, a, u), words) for n, a, u, words in CASES)
+
+
 #: All rules in order; the patterns hold no look-around, so other engines run them too.
 RULES: tuple[tuple[str, str], ...] = (
-    *FIR, *((_code("IPC", n), words) for n, words in IPC), *((_case(n, a, u), words) for n, a, u, words in CASES),
+    *FIR, *((_code("IPC", n), words) for n, words in IPC), *cases(),
     *((_code("CrPC", n), words) for n, words in CRPC), *ABBREVIATIONS, *JARGON,
 )

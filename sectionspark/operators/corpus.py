@@ -1,13 +1,25 @@
-"""The corpus: union of all kinds of chunks with sequential ids; records of the index."""
+"""The corpus: all kinds of chunks built from lines and words, with sequential ids; records
+and vectors of the index."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionspark.functions.labels import embed_text, flat_metadata
+from sectionspark.operators.chunking import BNS, BNSS, form_chunks, rule_rows, section_chunks
+from sectionspark.operators.search import embed_batches
+from sectionspark.operators.split import apply_splitters, compounding_chunks
+from sectionspark.operators.wordtable import table_rows
+from sectionspark.sources.tables import index_count, write_index
+
+#: Buckets of documents inside which ids are counted up by one task each.
+BUCKETS = 200
+# Where the rows of the first table come from.
+TABLE1 = {"source_pdf": "BNSS", "schedule": "First Schedule", "table": "Table I — Offences Under the Bharatiya Nyaya Sanhita"}
 
 
 def union_corpus(parts: list[DataFrame]) -> DataFrame:
@@ -17,21 +29,54 @@ def union_corpus(parts: list[DataFrame]) -> DataFrame:
 
 
 def stamp_ids(corpus: DataFrame, order: list[str]) -> DataFrame:
-    """chunk_id from 1 in the order (part_ord, doc_id, *order). Rows are numbered inside
-    (part_ord, doc_id); the small table of counts gives each group its offset."""
+    """chunk_id from 1 in the order (part_ord, doc_id, *order), null ids first. Rows are
+    numbered inside (part_ord, doc_id); the small table of counts gives each group its offset,
+    over documents inside a bucket and then over buckets. Buckets end at quantiles of the ids,
+    so they hold like numbers of documents however the ids lie, and no window holds more."""
     group = ["part_ord", "doc_id"]
     counts = corpus.groupBy(*group).agg(F.count("*").alias("n"))
-    # offsets over documents inside a part, then over parts: no window holds all documents
-    bucket = F.floor(F.col("doc_id") / 10_000)
-    by_bucket = counts.groupBy("part_ord", bucket.alias("b")).agg(F.sum("n").alias("n"))
-    before = by_bucket.select("part_ord", "b", (F.sum("n").over(Window.orderBy("part_ord", "b").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    inside = counts.withColumn("b", bucket).withColumn("inside", F.sum("n").over(Window.partitionBy("part_ord", "b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = inside.join(before, ["part_ord", "b"]).select(*group, (F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("offset"))
+    ends = counts.agg(F.percentile_approx("doc_id", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("ends")).withColumn("one", F.lit(1))
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.coalesce(F.size(F.filter("ends", lambda e: e <= F.col("doc_id"))), F.lit(0)))
+    counts = counts.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one").select(*group, "n", bucket.alias("b"))
+    by_bucket = counts.groupBy("part_ord", "b").agg(F.sum("n").alias("n"))  # at most BUCKETS + 1 rows a part
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = by_bucket.select("part_ord", "b", so_far(Window.orderBy("part_ord", "b")).alias("before"))
+    inside = counts.withColumn("inside", so_far(Window.partitionBy("part_ord", "b").orderBy("doc_id")))
+    offsets = inside.join(F.broadcast(before), ["part_ord", "b"]).select(*(F.col(c).alias(f"_{c}") for c in group), (F.col("before") + F.col("inside")).alias("_offset"))
     numbered = corpus.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return numbered.join(offsets, group).withColumn("chunk_id", F.col("offset") + F.col("_n")).drop("_n", "offset")
+    same = (F.col("part_ord") == F.col("_part_ord")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    return numbered.join(offsets, same).withColumn("chunk_id", F.col("_offset") + F.col("_n")).drop("_n", "_offset", "_part_ord", "_doc_id")
+
+
+def build_corpus(lines: DataFrame, words: DataFrame | None = None, rule_pages: DataFrame | None = None, form_lines: DataFrame | None = None) -> DataFrame:
+    """All chunks with part_ord and chunk_id, in the order BNS sections, BNSS sections,
+    compounding rows, first table, second table, forms.
+
+    lines: LINES, optionally with the repaired line as ``fixed``; words: WORDS of the first
+    table's pages; rule_pages: doc_id, source, page, text of the second table's pages;
+    form_lines: LINES of the forms. Sections go through the splitters; compounding rows take
+    their offences from the first table. Nulls and empty texts give no chunk.
+    """
+    bns, bnss = (apply_splitters(section_chunks(lines.where(F.col("source") == name), rules)) for name, rules in (("BNS", BNS), ("BNSS", BNSS)))
+    parts = [bns, bnss]
+    if words is not None:
+        table1 = table_rows(words).withColumns({k: F.lit(v) for k, v in TABLE1.items()}).drop("row")
+        at = table1.withColumn("pos", F.struct("doc_id", "pos"))
+        parts += [compounding_chunks(bnss.where("section_number = 359"), at), table1]
+    parts += [rule_rows(rule_pages)] if rule_pages is not None else []
+    parts += [form_chunks(form_lines)] if form_lines is not None else []
+    corpus = union_corpus(parts)
+    return stamp_ids(corpus, [c for c in ("pos", "part_no", "row_no") if c in corpus.columns])
 
 
 def index_records(chunks: DataFrame) -> DataFrame:
     """Document and flat metadata of each chunk; vectors come from embed_batches."""
     meta = flat_metadata()
     return chunks.select(*(c.alias(n) for n, c in meta.items()), embed_text().alias("document"))
+
+
+def build_index(chunks: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] = embed_batches) -> int:
+    """Records of all chunks with their vectors, written over the index at ``path``; returns
+    how many it holds then."""
+    write_index(encode(index_records(chunks)), path)
+    return index_count(chunks.sparkSession.read.parquet(path))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectionspark.operators.rank import CRPC_PAIRS, IPC_PAIRS
+
 BLOCKED = "could not generate"
 
 
@@ -95,11 +97,52 @@ def coverage(chunks: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
+# Questions on the second table; topics (what is asked, the section that an answer
+# should name); questions on bail; old sections asked for (their successors are the prompt's).
+TABLE2_QUESTIONS = (
+    "What offences are covered in Table II of BNSS First Schedule?", "What is the bail amount prescribed in BNSS First Schedule Table II?",
+    "What does Table II of BNSS say about bailable offences?",
+)
+TOPICS = (
+    ("What is the punishment for murder?", "103"), ("What is the punishment for rape under BNS?", "64"), ("What is the punishment for theft?", "303"),
+    ("What is the punishment for robbery?", "309"), ("What is the difference between robbery and dacoity?", "310"), ("What is the punishment for cheating?", "318"),
+    ("What is dowry death under BNS?", "80"), ("What is the law on cruelty by husband?", "85"), ("What is defamation under BNS?", "356"),
+    ("What is kidnapping under BNS?", "137"), ("What is abduction under BNS?", "138"), ("What is extortion under BNS?", "308"),
+    ("What is criminal breach of trust?", "316"), ("What is criminal conspiracy under BNS?", "61"), ("What is the punishment for attempt to murder?", "109"),
+    ("What is stalking under BNS?", "78"), ("What is voyeurism under BNS?", "77"), ("What is acid attack under BNS?", "124"),
+    ("What is human trafficking under BNS?", "143"), ("What is organised crime under BNS?", "111"), ("What is a terrorist act under BNS?", "113"),
+    ("What replaced sedition under BNS?", "152"), ("What is hit and run law under BNS?", "106"), ("What is the law on mob lynching?", "103"),
+    ("What are the offences related to assault?", "74"), ("What is mischief under BNS?", "324"), ("What is hurt and grievous hurt?", "114"),
+    ("What is wrongful confinement under BNS?", "126"), ("What is trespass under BNS?", "329"), ("What is forgery under BNS?", "336"),
+    ("What is the procedure for filing an FIR?", "173"), ("What is a zero FIR?", "173"), ("What is anticipatory bail?", "482"),
+    ("What is the procedure for bail in a bailable offence?", "480"), ("What is remand under BNSS?", "187"), ("What is the procedure when a person is arrested?", "35"),
+    ("What is a charge sheet?", "193"), ("What is default bail?", "187"), ("What is anticipatory bail under BNSS?", "482"),
+    ("What is compounding of offences under BNSS?", "359"), ("What is the procedure for recording a confession?", "183"), ("What is the power of High Court under BNSS?", "528"),
+    ("What is a proclaimed offender?", "84"), ("What is the procedure for summoning an accused?", "63"), ("What is a warrant of arrest?", "72"),
+    ("What is the procedure for search and seizure?", "185"), ("How does a Magistrate take cognizance?", "210"), ("What is the procedure for a trial?", "228"),
+    ("What is Section 144 BNSS?", "163"),
+    ("Is murder bailable under BNS?", "non-bailable"), ("Is rape a non-bailable offence?", "non-bailable"), ("Is theft cognizable under BNS?", "cognizable"),
+    ("Is dacoity cognizable and non-bailable?", "non-bailable"), ("Is cheating a bailable offence?", "bailable"), ("What offences are in Table II of BNSS?", ""),
+)
+ASKED_IPC = ("302", "376", "420", "498A", "304B", "307", "379", "395", "124A", "120B")
+ASKED_CRPC = ("154", "437", "438", "167", "41", "173", "164")
+
+
+def fixed_questions() -> list[tuple[str, str, str]]:
+    """Path, question, keyword of the questions that hold for every corpus."""
+    out = [("table2", q, "") for q in TABLE2_QUESTIONS] + [("topic", q, k) for q, k in TOPICS]
+    for code, asked, pairs in (("IPC", ASKED_IPC, IPC_PAIRS), ("CrPC", ASKED_CRPC, CRPC_PAIRS)):
+        out += [("topic", f"What replaced {code} Section {n}?", str(dict(pairs)[n])) for n in asked]
+    return out
+
+
 def generated_questions(covered: DataFrame) -> DataFrame:
-    """Path, question, keyword for each row of coverage."""
+    """Path, question, keyword for each row of coverage, and the fixed questions. An empty
+    keyword asks for an answer only."""
     c = F.col
-    question = F.when(c("path") == "section", F.format_string("What does %s Section %s say?", "source_pdf", "key")).when(
+    question = F.when(c("path") == "section", F.format_string("What is %s Section %s?", "source_pdf", "key")).when(
         c("path") == "table1", F.format_string("Is BNS Section %s cognizable and bailable?", "key")
-    ).otherwise(F.format_string("What is the definition of %s under %s?", "key", "source_pdf"))
-    keyword = F.when(c("path") == "definition", F.lower(F.substring_index("key", " ", 1))).otherwise(c("key"))
-    return covered.select("path", question.alias("question"), keyword.alias("keyword"))
+    ).otherwise(F.format_string('What is the definition of "%s" under %s?', "key", "source_pdf"))
+    keyword = F.when(c("path") == "definition", F.lower(F.substring_index("key", " ", 1))).otherwise("")
+    own = covered.select("path", question.alias("question"), keyword.alias("keyword"))
+    return own.union(covered.sparkSession.createDataFrame(fixed_questions(), "path string, question string, keyword string"))

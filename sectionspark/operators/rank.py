@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionspark.functions.labels import citation, context_entry
 
 # Number lists and rules of the prompt.
-IPC_PAIRS = "302-103 304-106 304B-80 306-108 307-109 308-110 354-74 376-64 379-303 392-309 395-310 406-316 420-318 427-324 498A-85 499-356 120B-61 124A-152 153A-196"
-CRPC_PAIRS = "41-35 154-173 156-175 161-180 164-183 167-187 173-193 320-359 437-480 438-482 482-528"
+IPC_PAIRS = (
+    ("302", 103), ("304", 106), ("304B", 80), ("306", 108), ("307", 109), ("308", 110), ("354", 74), ("376", 64), ("379", 303), ("392", 309),
+    ("395", 310), ("406", 316), ("420", 318), ("427", 324), ("498A", 85), ("499", 356), ("120B", 61), ("124A", 152), ("153A", 196),
+)
+CRPC_PAIRS = (("41", 35), ("154", 173), ("156", 175), ("161", 180), ("164", 183), ("167", 187), ("173", 193), ("320", 359), ("437", 480), ("438", 482), ("482", 528))
 INSTRUCTIONS = (
     "You answer questions on the BNS and the BNSS from the excerpts below. Cite act, section number and title.",
     "Sections that replaced others (use only these):",
-    "; ".join(f"IPC {a} is BNS {b}" for a, b in (p.split("-") for p in IPC_PAIRS.split())),
-    "; ".join(f"CrPC {a} is BNSS {b}" for a, b in (p.split("-") for p in CRPC_PAIRS.split())),
+    "; ".join(f"IPC {a} is BNS {b}" for a, b in IPC_PAIRS),
+    "; ".join(f"CrPC {a} is BNSS {b}" for a, b in CRPC_PAIRS),
     "Never guess a section number. Describe procedures in plain English. Name whether an offence is cognizable and bailable where the excerpts say so.",
     "Say that the sections don't hold enough information only if they have nothing to do with the question.",
 )
@@ -27,17 +31,17 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), "")
 
 
-def overlap_score(question: Column, document: Column) -> Column:
+def overlap_score(asked: Column, has: Column) -> Column:
     """The default score: the share of the question's words that the document has."""
-    asked = tokens(question)
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(document))) / F.size(asked)).otherwise(0.0)
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, has)) / F.size(asked)).otherwise(0.0)
 
 
 def score_pairs(candidates: DataFrame, scorer: Callable | None = None) -> DataFrame:
     """Adds rerank_score of (query_used, document). ``scorer``: makes, once in each task, a
     function of two lists of texts; the default uses built-in functions."""
     if scorer is None:
-        return candidates.withColumn("rerank_score", overlap_score(F.col("query_used"), F.col("document")))
+        words = candidates.withColumns({"_asked": tokens(F.col("query_used")), "_has": tokens(F.col("document"))})
+        return words.withColumn("rerank_score", overlap_score(F.col("_asked"), F.col("_has"))).drop("_asked", "_has")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
@@ -70,27 +74,42 @@ def citations(top: DataFrame) -> DataFrame:
     return top.groupBy("query_id").agg(F.array_distinct(_in_order(citation())).alias("citations"))
 
 
+def _context() -> Column:
+    return F.array_join(_in_order(context_entry(F.col("rank"))), "\n\n---\n\n")
+
+
+#: What stands before the context, the question and the end of a prompt.
+FRAME = ("\n".join(INSTRUCTIONS) + "\n\nCONTEXT (retrieved legal sections):\n", "\n\nQUESTION: ", "\n\nAnswer based strictly on the context above. Cite section numbers.")
+
+
+def _prompt(context: Column, question: Column) -> Column:
+    return F.concat(F.lit(FRAME[0]), context, F.lit(FRAME[1]), question, F.lit(FRAME[2]))
+
+
 def prompts(top: DataFrame) -> DataFrame:
-    """query_id and prompt, with the question as it was asked."""
-    blocks = top.groupBy("query_id", "question").agg(F.array_join(_in_order(context_entry(F.col("rank"))), "\n\n---\n\n").alias("context"))
-    text = F.concat(F.lit("\n".join(INSTRUCTIONS) + "\n\nCONTEXT (retrieved legal sections):\n"), "context", F.lit("\n\nQUESTION: "), "question", F.lit("\n\nAnswer based strictly on the context above. Cite section numbers."))
-    return blocks.select("query_id", "context", text.alias("prompt"))
+    """query_id, context and prompt, with the question as it was asked."""
+    blocks = top.groupBy("query_id", "question").agg(_context().alias("context"))
+    return blocks.select("query_id", "context", _prompt(F.col("context"), F.col("question")).alias("prompt"))
 
 
 def answer_records(top: DataFrame, model: str = "none", generate: Callable | None = None) -> DataFrame:
     """query_id, answer, citations, chunks_used, model_used, query_used. ``generate``: makes,
     once in each task, a function of a list of prompts; without one the answer is null."""
     used = _in_order(F.struct("chunk_id", "document", "distance", "rerank_score"))
-    records = top.groupBy("query_id", "query_used").agg(F.array_distinct(_in_order(citation())).alias("citations"), used.alias("chunks_used"))
-    answered = prompts(top).select("query_id", "prompt")
+    parts = [F.array_distinct(_in_order(citation())).alias("citations"), used.alias("chunks_used")]
+    if generate is not None:  # one grouping gives the prompt too
+        parts.append(_context().alias("context"))
+    records = top.groupBy("query_id", "query_used", "question").agg(*parts)
     if generate is None:
-        answered = answered.select("query_id", F.lit(None).cast("string").alias("answer"))
+        records = records.withColumn("answer", F.lit(None).cast("string"))
     else:
+        records = records.withColumn("prompt", _prompt(F.col("context"), F.col("question"))).drop("context")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             answer = generate()
             for b in batches:
-                yield pd.DataFrame({"query_id": b["query_id"], "answer": answer(b["prompt"].tolist())})
+                got = answer(b.column(b.schema.get_field_index("prompt")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, "answer"])
 
-        answered = answered.mapInPandas(run, "query_id bigint, answer string")
-    return records.join(answered, "query_id").select("query_id", "answer", "citations", "chunks_used", F.lit(model).alias("model_used"), "query_used")
+        records = records.mapInArrow(run, records.withColumn("answer", F.lit("")).schema)
+    return records.select("query_id", "answer", "citations", "chunks_used", F.lit(model).alias("model_used"), "query_used")

@@ -54,10 +54,9 @@ MAX_RULES = 1000
 def _with_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
     """Every question of asked with every rule."""
     n = rules.count()
-    if n <= MAX_RULES:
-        return asked.crossJoin(F.broadcast(rules))
-    blocks = -(-n // MAX_RULES)
+    blocks = max(1, -(-n // MAX_RULES))
     dealt = rules.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
+    dealt = F.broadcast(dealt) if n <= MAX_RULES else dealt
     return asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +16,20 @@ NO_HIT = "No relevant legal sections found for your query. Try rephrasing or rem
 
 
 def hashed_encoder(dimensions: int = 384) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic encoder for where no model is at hand: hashed character trigrams."""
+    """A deterministic encoder for where no model is at hand: hashed character trigrams, all
+    texts of a batch at once."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), np.float32)
-        for row, text in zip(out, texts):
-            padded = f"  {(text or '').lower()} "
-            for i in range(len(padded) - 2):
-                h = zlib.crc32(padded[i : i + 3].encode())
-                row[h % dimensions] += 1 if h & 1 << 31 else -1
+        padded = [f"  {(text or '').lower()} " for text in texts]
+        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        rows = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+        inside = rows[2:] == rows[:-2]  # no trigram crosses texts
+        with np.errstate(over="ignore"):
+            h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + c[2:]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        at = rows[2:][inside] * dimensions + ((h[inside] >> np.uint64(8)) % np.uint64(dimensions)).astype(np.int64)
+        sign = 1 - 2 * (h[inside] >> np.uint64(63)).astype(np.float64)
+        out = np.bincount(at, sign, len(padded) * dimensions).reshape(len(padded), dimensions).astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return encode
@@ -50,7 +54,9 @@ def cosine_topk(questions: DataFrame, index: DataFrame, k: int = 20) -> DataFram
     index: chunk_id, embedding, optionally source. Null or zero vectors take no part.
 
     Index rows and questions are dealt to blocks that meet pairwise; a block returns its own
-    k best, so what is shuffled at the end is k rows for each question and block.
+    k best, so what is shuffled at the end is k rows for each question and block. Questions
+    with a filter meet the rows of their source only: rows go to a block for each source and,
+    if any question asks for all sources, to one for all.
     """
     def table(df, id_col, group):
         given = F.col(group).cast("string") if group in df.columns else F.lit(None).cast("string")
@@ -58,6 +64,10 @@ def cosine_topk(questions: DataFrame, index: DataFrame, k: int = 20) -> DataFram
         return rows.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
     q, c = table(questions, "query_id", "source_filter"), table(index, "chunk_id", "source")
+    some, every_source = (q.where(f"g is {x} null").limit(1).count() > 0 for x in ("not", ""))
+    named = lambda: F.concat(F.lit("="), "g")
+    q = q.select("id", "v", F.coalesce(named(), F.lit("")).alias("g"))
+    c = c.select("id", "v", F.explode(F.array_compact(F.array(F.lit("" if every_source else None), named() if some else F.lit(None)))).alias("g"))
     shards, blocks = -(-max(1, c.count()) // ROWS), -(-max(1, q.count()) // QUESTIONS)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -66,19 +76,17 @@ def cosine_topk(questions: DataFrame, index: DataFrame, k: int = 20) -> DataFram
     def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(rows):
-            ids, source = rows["id"].to_numpy(), rows["g"].to_numpy(object)
-            x = np.array(rows["v"].tolist())
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for query, v, wanted in zip(asked["id"], asked["v"], asked["g"]):
-                among = np.flatnonzero(source == wanted) if isinstance(wanted, str) else np.arange(len(ids))
-                d = 1 - x[among] @ (v / np.linalg.norm(v))
+            ids, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for query, v in zip(asked["id"], asked["v"]):
+                d = 1 - x @ (v / np.linalg.norm(v))
                 near = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
                 near = np.flatnonzero(d <= d[near].max()) if len(near) else near  # ties at the k-th too
-                order = near[np.lexsort((ids[among][near], d[near]))[:k]]
-                out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[among][order], "distance": d[order]}))
+                order = near[np.lexsort((ids[near], d[near]))[:k]]
+                out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[order], "distance": d[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []}).astype({"query_id": "int64", "chunk_id": "int64"})
 
-    local = q.groupBy("s", "b").cogroup(c.groupBy("s", "b")).applyInPandas(best, "query_id bigint, chunk_id bigint, distance double")
+    local = q.groupBy("g", "s", "b").cogroup(c.groupBy("g", "s", "b")).applyInPandas(best, "query_id bigint, chunk_id bigint, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -43,7 +43,7 @@ def boundary_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_costs(D.table(spark, sf_dir, "documents"), most=20_000).select("word", "n", "rank", F.round("cost", 6).alias("cost"))
+    return word_costs(D.table(spark, sf_dir, "documents")).select("word", "n", "rank", F.round("cost", 6).alias("cost"))
 
 
 def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,9 @@ def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1, T5, T6 on every planted line."""
-    lines = _planted(spark, sf_dir, "BNS").withColumn("section", T.find_section(F.col("raw"), 358))
-    title = T.title_case_if_upper(F.upper(F.substring("raw", 1, 12)))
-    return lines.select("doc_id", "line_no", "section", T.extract_title(F.col("raw"), F.col("section")).alias("title"), F.when(F.substring("raw", 1, 12).rlike("^[A-Za-z ]+$"), title).alias("title_case"))
+    lines = [_planted(spark, sf_dir, source).withColumn("section", T.find_section(F.col("raw"), most)) for source, most in (("BNS", 358), ("BNSS", 531))]
+    title = F.when(F.col("raw").rlike("^[A-Za-z ]+$"), T.title_case_if_upper(F.upper("raw")))
+    return lines[0].union(lines[1]).select("doc_id", "line_no", "section", T.extract_title(F.col("raw"), F.col("section")).alias("title"), title.alias("title_case"))
 
 
 def joined_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +123,9 @@ def compounding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1, U2 over sections and forms of the planted lines."""
-    sections = C.section_chunks(_planted(spark, sf_dir, "BNS"), C.BNS)
+    sections = [C.section_chunks(_planted(spark, sf_dir, source), rules) for source, rules in (("BNS", C.BNS), ("BNSS", C.BNSS))]
     forms = C.form_chunks(D.lines(spark, sf_dir).withColumn("raw", F.expr(D.FORM_LINE)))
-    out = stamp_ids(union_corpus([sections, forms]), ["pos"])
+    out = stamp_ids(union_corpus([*sections, forms]), ["pos"])
     return out.select("chunk_id", "part_ord", "doc_id", F.col("pos.line_no").alias("line_no"), "section_number", "form_number")
 
 
@@ -196,6 +196,7 @@ _FORMS = f"""with {_LINES}, kept as (select doc_id, line_no, {_scrub('r')} as li
   forms as (select doc_id, segment, max(case when num is not null then line_no end) as line_no, max(num) as form_number, max(case when num is not null then line end) as form_title,
     string_agg(case when num is null then line end, ' ' order by line_no) as content from b where segment > 0 group by 1, 2)"""
 _BNS_SQL = _chunks_sql("BNS", 358, C.BNS.chapter, _BNS_SUB)
+_BNSS_SQL = _chunks_sql("BNSS", 531, C.BNSS.chapter, _BNSS_SUB)
 _MARKED = "case when line_no % 9 = 4 then ' ' || (line_no % 500) when line_no % 9 = 7 then 'mgipmrnd ' || raw else raw end"
 _PART = D.in_duckdb
 _OPEN = {s: p.replace("(?=", "(") for s, p in X.OPENER.items()}
@@ -204,12 +205,13 @@ SQL = {
     "read_lines": f"with {_LINES} select doc_id, (doc_id % 250 + 1)::int as page, line_no, raw from lines where source = 'BNS' or doc_id % 250 + 1 between 1 and 157",
     "scrub_lines": f"with {_LINES} select doc_id, line_no, {_scrub('m')} as line from (select doc_id, line_no, {_MARKED} as m from lines) x where {_scrub('m')} <> ''",
     "boundary_spacing": f"with {_LINES} select doc_id, line_no, {_spacing('t')} as fixed from (select doc_id, line_no, regexp_replace(regexp_replace(raw, ' ([A-Z])', '\\1', 'g'), ', ', ',', 'g') || ' 12a(3)Ab;c––d' as t from lines) x",
-    "frequent_words": "select word, n, rank, round(ln(rank * ln(count(*) over () + 1.0)), 6) as cost from (select word, count(*) as n, row_number() over (order by count(*) desc, word) as rank from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) a group by word) b where rank <= 20000",
-    "heading_fields": f"""with {_LINES}, planted as (select doc_id, line_no, {D.PLANTED['BNS']} as raw from lines where source = 'BNS'), a as (select *, {_section('raw', 358)} as section, upper(substr(raw, 1, 12)) as u from planted)
-      select doc_id, line_no, section, {_title('raw', 'section')} as title, case when regexp_matches(substr(raw, 1, 12), '^[A-Za-z ]+$') then array_to_string(list_transform(string_split(u, ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') end as title_case from a""",
+    "frequent_words": "select word, n, rank, round(ln(rank * ln(count(*) over () + 1.0)), 6) as cost from (select word, count(*) as n, row_number() over (order by count(*) desc, word) as rank from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) a group by word) b",
+    "heading_fields": f"""with {_LINES}, planted as (select doc_id, line_no, {D.PLANTED['BNS']} as raw, true as bns from lines where source = 'BNS' union all select doc_id, line_no, {D.PLANTED['BNSS']}, false from lines where source = 'BNSS'),
+      a as (select *, case when bns then {_section('raw', 358)} else {_section('raw', 531)} end as section, upper(raw) as u from planted)
+      select doc_id, line_no, section, {_title('raw', 'section')} as title, case when regexp_matches(raw, '^[A-Za-z ]+$') then array_to_string(list_transform(string_split(u, ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') end as title_case from a""",
     "joined_runs": "select doc_id, len(regexp_extract_all(text, '[a-z]{20,}')) as runs from documents where regexp_matches(text, '[a-z]{20,}')",
     "section_chunks_bns": _BNS_SQL,
-    "section_chunks_bnss": _chunks_sql("BNSS", 531, C.BNSS.chapter, _BNSS_SUB),
+    "section_chunks_bnss": _BNSS_SQL,
     "form_chunks": _FORMS + r" select doc_id, line_no, form_number, form_title, content from forms where regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') <> ''",
     "rule_rows": f"""with pages as (select doc_id, {_RULE_TEXT} as text from documents), blocks as (select doc_id, substr(text, instr(text, {_q(C.RULE_MARK)})) as block from pages where instr(text, {_q(C.RULE_MARK)}) > 0),
       l as (select doc_id, {_TRIM.format('raw')} as line, line_no from (select doc_id, unnest(string_split(block, chr(10))) as raw, generate_subscripts(string_split(block, chr(10)), 1) as line_no from blocks) x),
@@ -222,7 +224,8 @@ SQL = {
       u as (select chunk_id, many and len(good) > 0 as is_cut, section_title as t, unnest(case when many and len(good) > 0 then good else [content] end) as content, generate_subscripts(case when many and len(good) > 0 then good else [content] end, 1) - 1 as part_no from g),
       v as (select *, case when is_cut then nullif({_TRIM.format(f"regexp_extract(content, {_q(X.TERM)}, 1)")}, '') end as definition_term from u)
       select chunk_id, part_no, definition_term, case when not is_cut then t when definition_term is null then 'Definitions' else 'Definition of "' || definition_term || '"' end as section_title, content from v""",
-    "corpus_ids": f"""with s as ({_BNS_SQL}), f as ({_FORMS} select * from forms where coalesce(content, '') <> ''), u as (select 0 as part_ord, doc_id, line_no, section_number, null::int as form_number from s union all select 1, doc_id, line_no, null, form_number from f)
+    "corpus_ids": f"""with s as ({_BNS_SQL}), t as ({_BNSS_SQL}), f as ({_FORMS} select * from forms where coalesce(content, '') <> ''),
+      u as (select 0 as part_ord, doc_id, line_no, section_number, null::int as form_number from s union all select 1, doc_id, line_no, section_number, null from t union all select 2, doc_id, line_no, null, form_number from f)
       select row_number() over (order by part_ord, doc_id, line_no) as chunk_id, * from u""",
 }
 _THREE = f"""cut as (select *, regexp_extract(content, {_q('^((?s).*?)' + X.ANCHORS[0])}, 1) as one, regexp_extract(content, {_q('((?s)' + X.ANCHORS[0] + '.*?)' + X.ANCHORS[1])}, 1) as two, regexp_extract(content, {_q('((?s)' + X.ANCHORS[1] + '.*)$')}, 1) as three from d),

@@ -6,6 +6,8 @@ expressions that Spark SQL and DuckDB both read; ``{name}`` stands for a table.
 
 from __future__ import annotations
 
+from tempfile import mkdtemp
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ WORDS = """
 select l_orderkey as doc_id, cast(l_linenumber % 2 as int) as page, cast(792 as double) as page_height,
   case when j = 0 then cast(l_partkey % 350 + 1 as string) || case when l_suppkey % 2 = 0 then '(1)' else '' end else l_returnflag || l_linestatus || cast(j as string) end as text,
   cast(j * 97 + l_suppkey % 7 + case when l_linenumber % 3 = 2 and j = 0 then 95 else 0 end as double) as x0, cast(50 + l_linenumber * 24 + (l_partkey * (j + 1)) % 9 as double) as top
-from {lineitem} cross join (select 0 as j union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) js where l_orderkey % 5 = 0"""
+from {lineitem} cross join (select 0 as j union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) js"""
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
@@ -87,5 +89,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(pages(spark, sf_dir))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share, overwritten by each run; a temporary one if the
+    session names none, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-queries-")
+    return f"{folder.rstrip('/')}/query-{name}"
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows with the vector that their id, modulo the number of vectors, stands for."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_at"), "embedding")
+    return rows.withColumn("_at", F.col(id_col) % vectors.count()).join(vectors, "_at").drop("_at")
+
+
 def in_duckdb(text: str, *tables: str) -> str:
     return text.format(**{t: t for t in tables})

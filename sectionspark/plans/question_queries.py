@@ -9,10 +9,12 @@ from sectionspark.functions import questions as Q
 from sectionspark.functions.labels import citation
 from sectionspark.functions.rules import FAMOUS, RULES
 from sectionspark.operators import rank as R
-from sectionspark.operators.corpus import index_records
+from sectionspark.operators.answer import answer_batch, candidates, expanded
+from sectionspark.operators.corpus import build_index, index_records
 from sectionspark.operators.retrieve import merge_candidates, pins, with_intent
-from sectionspark.operators.search import cosine_topk, embed_batches, no_hit_answers, similarity_percent
+from sectionspark.operators.search import NO_HIT, cosine_topk, embed_batches, similarity_percent
 from sectionspark.plans import derived as D
+from sectionspark.sources.tables import read_chunks, write_chunks
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +23,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged candidates with question, query_used and the index's columns."""
-    asked, index, hits = D.questions(spark, sf_dir), _index(spark, sf_dir), D.hits(spark, sf_dir)
-    merged = merge_candidates(hits, pins(with_intent(asked), index, hits))
-    expanded = asked.select("query_id", "question", Q.expand(F.col("question")).alias("query_used"))
-    return merged.join(expanded, "query_id").join(index, "chunk_id")
+    return candidates(expanded(D.questions(spark, sf_dir)), _index(spark, sf_dir), D.hits(spark, sf_dir))
 
 
 def _top(spark: SparkSession, sf_dir: str, keep_k: int = 5) -> DataFrame:
@@ -35,14 +34,14 @@ def section_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: question, expansion and the citation of its primary pin."""
     asked, index, hits = D.questions(spark, sf_dir), _index(spark, sf_dir), D.hits(spark, sf_dir)
     pinned = pins(with_intent(asked), index, hits).where("pin = 'primary'")
-    out = asked.join(pinned, "query_id").join(index, "chunk_id")
-    return out.select("query_id", "question", Q.expand(F.col("question")).alias("query_used"), "chunk_id", citation().alias("citation"))
+    out = expanded(asked).join(pinned, "query_id").join(index, "chunk_id")
+    return out.select("query_id", "question", "query_used", "chunk_id", citation().alias("citation"))
 
 
 def expand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = D.table(spark, sf_dir, "conversations").where("role = 'user'").select((-F.col("conv_id") * 1000 - F.col("turn")).alias("query_id"), F.col("text").alias("question"))
     both = D.questions(spark, sf_dir).select("query_id", "question").union(turns)
-    return both.select("query_id", Q.expand(F.col("question")).alias("query_used"))
+    return expanded(both).select("query_id", "query_used")
 
 
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +67,25 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.prompts(_top(spark, sf_dir)).select("query_id", "context", F.length("prompt").alias("prompt_length"))
+    return R.prompts(_top(spark, sf_dir)).select("query_id", "context", "prompt")
 
 
 def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for every question, with hits or without."""
-    asked, hits = D.questions(spark, sf_dir), D.hits(spark, sf_dir)
-    records = R.answer_records(_top(spark, sf_dir)).select("query_id", "answer", F.size("citations").alias("n_citations"), F.size("chunks_used").alias("n_chunks"), "query_used")
-    none = no_hit_answers(asked.select("query_id", Q.expand(F.col("question")).alias("query_used")), hits)
-    return records.union(none.select("query_id", "answer", F.size("citations"), F.lit(0), "query_used"))
+    """R11 on vectors of the embeddings table: a record for every question, with hits of its
+    source filter or without."""
+    index = D.with_vectors(spark, sf_dir, _index(spark, sf_dir), "chunk_id")
+    out = answer_batch(D.questions(spark, sf_dir), index, fetch_k=6, encode=lambda asked: D.with_vectors(spark, sf_dir, asked, "query_id"))
+    ids = F.transform("chunks_used", lambda c: c["chunk_id"].cast("string"))
+    return out.select("query_id", "answer", F.array_join("citations", " | ").alias("citations"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias("chunks"), "query_used")
+
+
+def written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus is written and read back, its records are written as an index and
+    counted by the folders of the index."""
+    path = D.shared_path(spark, "index")
+    write_chunks(D.chunks(spark, sf_dir), f"{path}-chunks")
+    build_index(read_chunks(spark, f"{path}-chunks"), path, lambda records: records.withColumn("embedding", F.array(F.lit(0.5).cast("float"))))
+    return spark.read.parquet(path).groupBy("source_pdf", "chunk_type").agg(F.count("*").alias("n"), F.sum(F.length("document")).alias("letters"), F.min("chunk_id").alias("first"))
 
 
 def cosine_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +109,7 @@ def encoded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_topk(embed_batches(asked.select("query_id", "document")), index, 20).select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = (section_answers, expand_questions, question_intents, pinned_chunks, merged_candidates, reranked_top, citations, prompts, batch_answers, cosine_top20, cosine_top10_filtered, encoded_search)
+QUERIES = (section_answers, expand_questions, question_intents, pinned_chunks, merged_candidates, reranked_top, citations, prompts, batch_answers, written_index, cosine_top20, cosine_top10_filtered, encoded_search)
 
 # ---- the same in SQL ----
 
@@ -172,7 +181,7 @@ flat as (select query_id, chunk_id, case when a[1] = 9 then 0 else a[1] end as g
 merged as (select query_id, chunk_id, distance, row_number() over (partition by query_id order by grp, case when grp = 1 then distance else 0.0 end, ord, chunk_id) - 1 as pos, is_primary,
   case when s is not null then row_number() over (partition by query_id order by s nulls last, chunk_id) end as secondary_no from flat)"""
 _TOKENS = "list_filter(list_distinct(regexp_split_to_array(lower({}), '[^a-z0-9]+')), lambda w: w <> '')"
-_TOP = _MERGED + f""",
+_RANKED = f""",
 scored as (select *, case when len(qt) > 0 then len(list_intersect(qt, dt))::double / len(qt) else 0.0 end as score from (
   select m.*, x.question, x.query_used, d.document, d.citation, d.source_pdf, d.title, case when d.ct = 'section' then d.section_number::varchar else coalesce(d.bns_section, '') end as num,
     {_TOKENS.format('x.query_used')} as qt, {_TOKENS.format('d.document')} as dt from merged m join {_expanded('questions')} x using (query_id) join meta d using (chunk_id)) t),
@@ -185,7 +194,14 @@ top as (select *, r as rank from r3 where r <= 5),
 cited as (select query_id, string_agg(citation, ' | ' order by rank) as citations, count(*) as n from (select query_id, citation, min(rank) as rank from top group by 1, 2) g group by 1),
 contexts as (select query_id, any_value(question) as question, any_value(query_used) as query_used, count(*) as n,
   string_agg('[' || rank || '] ' || source_pdf || case when num <> '' then ' Section ' || num else '' end || case when title <> '' then ' — ' || title else '' end || chr(10) || document, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from top group by 1)"""
-_FIXED_LENGTH = len("\n".join(R.INSTRUCTIONS) + "\n\nCONTEXT (retrieved legal sections):\n" + "\n\nQUESTION: " + "\n\nAnswer based strictly on the context above. Cite section numbers.")
+_TOP = _MERGED + _RANKED
+#: The same with hits of the nearest vectors: each distinct question and filter is searched once.
+_NEAREST = f"""hits as (with asked as (select question, source_filter, min(query_id) as one from questions group by 1, 2),
+  near as (select one, chunk_id, distance from (select a.one, c.chunk_id, 1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as distance,
+      row_number() over (partition by a.one order by 1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), c.chunk_id) as k
+    from asked a join embeddings q on q.vec_id = a.one % (select count(*) from embeddings) join chunks c on a.source_filter is null or a.source_filter = c.source_pdf join embeddings v on v.vec_id = c.chunk_id % (select count(*) from embeddings)) z where k <= 6)
+  select query_id, chunk_id, distance from questions join asked on questions.question = asked.question and questions.source_filter is not distinct from asked.source_filter join near using (one))"""
+_ANSWERS = (_MERGED + _RANKED).replace(f"hits as ({D.in_duckdb(D.HITS, *_T)})", _NEAREST)
 _COSINE = "(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]))"
 
 SQL = {
@@ -196,9 +212,10 @@ SQL = {
     "merged_candidates": _MERGED + " select * from merged",
     "reranked_top": _TOP + " select query_id, rank, chunk_id, round(score, 6) as rerank_score from top",
     "citations": _TOP + " select query_id, citations from cited",
-    "prompts": _TOP + f" select query_id, context, {_FIXED_LENGTH} + length(context) + length(question) as prompt_length from contexts",
-    "batch_answers": _TOP + f""" select c.query_id, null::varchar as answer, cited.n as n_citations, c.n as n_chunks, c.query_used from contexts c join cited using (query_id)
-      union all select query_id, '{"No relevant legal sections found for your query. Try rephrasing or removing the source filter."}', 0, 0, query_used from {_expanded('questions')} x where query_id not in (select query_id from hits)""",
+    "prompts": _TOP + f" select query_id, context, {_quoted(R.FRAME[0])} || context || {_quoted(R.FRAME[1])} || question || {_quoted(R.FRAME[2])} as prompt from contexts",
+    "batch_answers": _ANSWERS + f""" select query_id, null::varchar as answer, cited.citations, (select string_agg(chunk_id, ',' order by rank) from top where top.query_id = c.query_id) as chunks, c.query_used from contexts c join cited using (query_id)
+      union all select query_id, {_quoted(NO_HIT)}, '', '', query_used from {_expanded('questions')} x where query_id not in (select query_id from hits)""",
+    "written_index": _BASE + " select source_pdf, ct as chunk_type, count(*) as n, sum(length(document))::bigint as letters, min(chunk_id) as first from meta group by 1, 2",
     "cosine_top20": f"select query_id, rank, chunk_id, round(distance, 6) as distance from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from (select q.vec_id as query_id, c.vec_id as chunk_id, {_COSINE} as distance from embeddings q cross join embeddings c where q.vec_id % 10 = 0) a) b where rank <= 20",
     "cosine_top10_filtered": f"select query_id, rank, chunk_id, round_even((1 - round(distance, 6)) * 100, 1) as percent from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from (select q.vec_id as query_id, c.vec_id as chunk_id, {_COSINE} as distance from embeddings q join embeddings c on q.vec_id % 20 <> 0 or q.label = c.label where q.vec_id % 10 = 0) a) b where rank <= 10",
 }

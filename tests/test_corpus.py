@@ -9,8 +9,8 @@ from sectionspark.functions import text as T
 from sectionspark.functions.labels import embed_text, flat_metadata
 from sectionspark.operators import chunking as C
 from sectionspark.operators import split as X
-from sectionspark.operators.corpus import index_records, stamp_ids, union_corpus
-from sectionspark.operators.segmentation import Segmenter, split_joined_words, word_costs
+from sectionspark.operators.corpus import build_corpus, build_index, index_records, stamp_ids, union_corpus
+from sectionspark.operators.segmentation import cheapest, split_joined_words, word_costs
 from sectionspark.operators.wordtable import column_of, table_rows, with_lines
 from sectionspark.sources import tables as S
 
@@ -147,9 +147,9 @@ def test_records_and_round_trips(spark, tmp_path):
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcAB1,.- ", max_size=30))
-def test_segmenter_keeps_letters(line):
-    fixed = Segmenter({"ab": 1.0, "c": 2.0, "abc": 5.0}).line(line)
-    assert fixed.replace(" ", "").lower() == line.replace(" ", "").lower()
+def test_cheapest_split_keeps_letters(line):
+    assert "".join(cheapest(line, {"ab": 1.0, "c": 2.0, "abc": 5.0}, 9.0)) == line
+    assert cheapest("abcxyab", {"ab": 1.0, "c": 2.0, "abc": 5.0}, 9.0) == ["ab", "c", "xy", "ab"]
 
 
 def test_segmentation(spark):
@@ -158,3 +158,50 @@ def test_segmentation(spark):
     rows = spark.createDataFrame([(1, "inthe imprisonmentforlife"), (2, "Sanhita,unless Itshall"), (3, None), (4, "FORLIFESHALL")], "i int, raw string")
     got = [r[0] for r in split_joined_words(rows, costs).orderBy("i").select("fixed").collect()]
     assert got[0] == "in the imprisonment for life" and got[1].startswith("Sanhita, ") and got[1].endswith("It shall") and got[2] is None and got[3] == "For Life Shall"
+    odd = spark.createDataFrame([(1, ""), (2, "  "), (3, "(a) x-y, \t don't"), (4, "(a) x-y, \t don't"), (5, "zzz" * 30)], "i int, raw string")
+    got = [r[0] for r in split_joined_words(odd, costs).orderBy("i").select("fixed").collect()]
+    assert got == ["", "", "( a) x- y, don' t", "( a) x- y, don' t", "zzz" * 30]
+    assert split_joined_words(odd.limit(0), costs).count() == 0 and word_costs(texts.limit(0)).count() == 0
+
+
+def test_word_costs_rank_all_words(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = spark.createDataFrame([(" ".join([w] * (i % 5 + 1)),) for i, w in enumerate(words)], "text string")
+    want = sorted(words, key=lambda w: (-(words.index(w) % 5 + 1), w))
+    assert [r["word"] for r in word_costs(texts).orderBy("rank").collect()] == want
+
+
+def test_line_ends(spark):
+    rows = [(1, "BNS", 1, "a\r\nb\fc\x85d\u2028e\x0b\n"), (2, "BNS", 1, ""), (3, "BNS", 1, None), (4, "BNS", 1, "\n\nx")]
+    got = S.read_lines(spark.createDataFrame(rows, "doc_id long, source string, page int, text string")).orderBy("doc_id", "line_no").collect()
+    want = [(i, n, line) for i, _, _, t in rows for n, line in enumerate((t or "").splitlines())]
+    assert [(r["doc_id"], r["line_no"], r["raw"]) for r in got] == want
+
+
+def test_ids_of_sparse_documents(spark):
+    rows = [(p, None if d == 0 else d * 10**15 % 7919 * 10**11, n) for p in (0, 1) for d in range(40) for n in range(3)]
+    out = stamp_ids(spark.createDataFrame(rows, "part_ord int, doc_id long, pos int"), ["pos"]).collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert [tuple(r)[:3] for r in sorted(out, key=lambda r: r["chunk_id"])] == want and sorted(r["chunk_id"] for r in out) == list(range(1, len(rows) + 1))
+
+
+def test_corpus_and_index_from_end_to_end(spark, tmp_path):
+    bns = lines(spark, [(1, "CHAPTER I"), (1, "PRELIMINARY"), (1, '2. Definitions (1) "act" denotes a series of acts; (2) "court" means a court of law'), (1, "Punishment 103.(1) Whoever commits murder shall be punished")])
+    text = "Compounding 359.(1) The offences 115(2) The person hurt (2) The offences punishable below 303(2) The owner of it (3) When an offence is compoundable"
+    bnss = lines(spark, [(1, "CHAPTER II"), (1, "COURTS"), (1, text)], "BNSS").withColumn("doc_id", F.lit(2).cast("bigint"))
+    words = spark.createDataFrame([(3, 1, 792.0, t, x, 100.0) for t, x in (("303(2)", 50.0), ("Theft", 100.0), ("Fine", 200.0), ("Cognizable", 290.0), ("Bailable", 380.0), ("Magistrate", 460.0))], S.WORDS)
+    pages = spark.createDataFrame([(4, "BNSS", 9, C.RULE_MARK + "\nIf punishable with death")], "doc_id long, source string, page int, text string")
+    forms = lines(spark, [(1, "FORM No. 7"), (1, "Bond of a person")], "BNSS").withColumn("doc_id", F.lit(5).cast("bigint"))
+    corpus = build_corpus(bns.union(bnss), words, pages, forms)
+    rows = corpus.orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in rows] == list(range(1, len(rows) + 1))
+    got = [(r["part_ord"], r["section_number"], r["definition_term"], r["compounding_section"], r["bns_section"], r["form_number"]) for r in rows]
+    assert got == [(0, 2, "act", None, None, None), (0, 2, "court", None, None, None), (0, 103, None, None, None, None), (1, 359, None, None, None, None), (1, 359, None, None, None, None), (1, 359, None, None, None, None),
+        (2, 359, None, "115(2)", None, None), (2, 359, None, "303(2)", None, None), (3, None, None, None, "303(2)", None), (4, None, None, None, None, None), (5, None, None, None, None, 7)]
+    assert [r["compounding_offence"] for r in rows if r["part_ord"] == 2] == ["offence", "Theft"] and rows[9]["rule"] == "If punishable with death"
+    S.write_chunks(corpus.drop("pos"), str(tmp_path / "chunks"))
+    for _ in range(2):  # a second build replaces the first
+        assert build_index(S.read_chunks(spark, str(tmp_path / "chunks")), str(tmp_path / "index")) == len(rows)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert {(r["chunk_type"], r["n"]) for r in index.groupBy("chunk_type").agg(F.count("*").alias("n")).collect()} == {("section", 8), ("table1", 1), ("table2", 1), ("form", 1)}
+    assert {len(r["embedding"]) for r in index.select("embedding").collect()} == {384}

@@ -58,7 +58,7 @@ def _plain(question):
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["IPC", "302", "CrPC", "154", "of", "Section", "sec.", "u/s", "murder", "FIR", "zero", "dhara", "498A", "bail", "x"]), max_size=7), min_size=1, max_size=20))
+@given(st.lists(st.lists(st.sampled_from(["IPC", "302", "CrPC", "154", "of", "Section", "sec.", "u/s", "murder", "FIR", "zero", "dhara", "498A", "bail", "x", "३०२", "75"]), max_size=7), min_size=1, max_size=20))
 def test_same_as_a_plain_loop(expand, many):
     asked = [" ".join(w) for w in many]
     assert expand(asked) == [_plain(q) for q in asked]

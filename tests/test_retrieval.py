@@ -91,9 +91,42 @@ def test_answer_checks(spark):
 
 
 def test_stream_of_questions(spark, tmp_path):
+    from sectionspark.operators.answer import answer_batch
+    from sectionspark.operators.corpus import index_records
+    from sectionspark.sources.tables import CHUNKS
     from sectionspark.streaming.answers import answer_stream
 
+    empty = spark.createDataFrame([], CHUNKS)
+    chunk = spark.createDataFrame([(1, "BNS", 103, "Murder", "whoever commits murder")], "chunk_id long, source_pdf string, section_number int, section_title string, content string")
+    index = embed_batches(index_records(empty.unionByName(chunk, allowMissingColumns=True)))
     spark.createDataFrame([(1, "IPC 302"), (2, "x")], "query_id long, question string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("query_id long, question string").parquet(str(tmp_path / "in"))
-    answer_stream(stream, lambda b: b.select("query_id"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    answer_stream(stream, lambda b: answer_batch(b, index), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = {r["query_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {1, 2} and got[1]["query_used"].startswith("IPC 302 BNS Section 103 murder") and got[1]["citations"] == ["BNS Section 103 — Murder"]
+
+
+def test_batch_answers_by_hand(spark):
+    """The whole job against a plain walk over its steps, with a filter, pins and a miss."""
+    from sectionspark.operators.answer import answer_batch
+    from sectionspark.operators.corpus import index_records
+    from sectionspark.sources.tables import CHUNKS
+
+    names = CHUNKS.replace("`", "").split(", ")
+    fields = [n.split(" ")[0] for n in names]
+    chunks = [
+        {"chunk_id": 1, "source_pdf": "BNS", "section_number": 103, "section_title": "Murder", "content": "whoever commits murder"}, {"chunk_id": 2, "source_pdf": "BNS", "section_number": 303, "section_title": "Theft", "content": "whoever commits theft"},
+        {"chunk_id": 3, "source_pdf": "BNSS", "section_number": 173, "section_title": "Information", "content": "information report to the police station"}, {"chunk_id": 4, "source_pdf": "BNSS", "table": "Table II", "rule": "If punishable with death"},
+        {"chunk_id": 5, "source_pdf": "BNSS", "schedule": "Second Schedule", "form_number": 7, "form_title": "Bond", "content": "bond"},
+    ]
+    rows = index_records(spark.createDataFrame([tuple(c.get(f) for f in fields) for c in chunks], CHUNKS))
+    index = embed_batches(rows).cache()
+    asked = [(1, "What replaced IPC Section 302?", None), (2, "theft", "BNSS"), (3, "Is section 302 bailable?", None), (4, "form 7", "BNS"), (5, "anything", "no such source"), (6, "theft", None)]
+    out = {r["query_id"]: r for r in answer_batch(spark.createDataFrame(asked, "query_id long, question string, source_filter string"), index, fetch_k=2, keep_k=3, generate=lambda: lambda prompts: [p[-80:] for p in prompts], model="m").collect()}
+    assert set(out) == {1, 2, 3, 4, 5, 6} and {r["model_used"] for r in out.values()} == {"m"}
+    assert out[1]["query_used"] == "What replaced IPC Section 302? BNS Section 103 murder Indian Penal Code" and out[1]["citations"][0] == "BNS Section 103 — Murder"
+    assert {c["chunk_id"] for c in out[2]["chunks_used"]} <= {3, 4, 5} and "BNSS Section 173 — Information" in " ".join(out[2]["citations"]) or len(out[2]["chunks_used"]) == 2
+    assert 1 in {c["chunk_id"] for c in out[3]["chunks_used"]} and len(out[3]["chunks_used"]) == 3  # the famous section
+    assert 5 in {c["chunk_id"] for c in out[4]["chunks_used"]}  # a look-up ignores the filter
+    assert out[5]["answer"].startswith("No relevant legal sections") and out[5]["chunks_used"] is None and out[5]["citations"] == []
+    assert out[6]["chunks_used"][0]["chunk_id"] == 2 and out[6]["answer"].endswith("Cite section numbers.")
