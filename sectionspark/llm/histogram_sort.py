@@ -18,6 +18,8 @@ from sectionspark.llm.scratch import stored, unused
 #: Cells into which one exchange deals at most; each is sorted by one task, with spill. At
 #: 100 TB that makes cells of 1.5 GB.
 MAX_CELLS = 1 << 16
+#: Bounds up to which a row's cell is found by branches.
+MOST_BRANCHES = 256
 #: Candidate boundaries that a round counts, about.
 MOST_BINS = 1 << 18
 
@@ -36,11 +38,21 @@ def numbers(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
+def _tree(k1: Column, k2: Column, bounds: list[tuple[int, int]], lo: int, hi: int) -> Column:
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    b1, b2 = map(F.lit, bounds[mid])
+    below = (k1 < b1) | ((k1 == b1) & (k2 < b2))
+    return F.when(below, _tree(k1, k2, bounds, lo, mid)).otherwise(_tree(k1, k2, bounds, mid + 1, hi))
+
+
 def cell_of(k1: Column, k2: Column, bounds: list[tuple[int, int]]) -> Column:
-    """The number of bounds at or below a key, by a binary search in their sorted list."""
+    """The number of bounds at or below a key: a tree of comparisons for a few, which is
+    compiled, and a binary search in their sorted list for many."""
+    if len(bounds) < MOST_BRANCHES:
+        return _tree(k1, k2, bounds, 0, len(bounds))
     steps = [1 << i for i in range(len(bounds).bit_length())][::-1]
-    if not steps:
-        return F.lit(0)
     # filled up to a power of two, less one, by bounds above every key
     filled = [*bounds, *[((1 << 63) - 1, (1 << 63) - 1)] * (2 * steps[0] - 1 - len(bounds))]
     b1, b2 = (numbers([b[i] for b in filled]) for i in (0, 1))

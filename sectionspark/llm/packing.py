@@ -25,7 +25,7 @@ from sectionspark.llm.scratch import bound_batches, stored
 #: Hash buckets of a document vector, dimensions after projection, bits for each of them.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
 #: Pieces whose ids a worker keeps at most; then it starts anew.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 #: Words handled at once, and tokens that one sorted cell holds, about.
 MOST_AT_ONCE, CELL_TOKENS = 250_000, 1 << 20
 
@@ -41,6 +41,19 @@ PROBE = "It's  WE'LL x9 12,345 (a-b)\n\nÉtude naïve: ßtraße!? they'd--go"
 _loaded: dict[str, _Vocabulary] = {}
 
 
+class _Index(dict):
+    """Numbers pieces as they are met; ``new`` has those that were met for the first time."""
+
+    def __init__(self):
+        super().__init__({"": 0})  # stands for the end of a text
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        at = self[piece] = len(self)
+        return at
+
+
 class _Vocabulary:
     """What one worker knows of a tokenizer: ids of the pieces met so far, end to end."""
 
@@ -56,13 +69,13 @@ class _Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}  # stands for the end of a text
+        self.index = _Index()
         self.ids = np.zeros(1, np.uint32)
         self.starts, self.sizes, self.bucket = (np.array([v], np.int64) for v in (0, 1, 0))
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self) -> None:
+        new, self.index.new = self.index.new, []
         got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
@@ -96,10 +109,10 @@ class WordTokenizer:
             pieces.append("")
         if len(v.index) > MAX_WORDS:
             v.clear()
-        if new := list(set(pieces).difference(v.index)):
-            v.learn(new)
-        v.ids[0] = end_id
         at = np.fromiter(map(v.index.__getitem__, pieces), np.int64, len(pieces))
+        if v.index.new:
+            v.learn()
+        v.ids[0] = end_id
         n = np.fromiter(map(len, split), np.int64, len(split)) + 1
         size = v.sizes[at]
         ends = np.cumsum(size)
@@ -188,6 +201,7 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
     dealt = rows.withColumn("cell", cell_of(F.col("k1"), F.col("k2"), cut.bounds)).repartition("cell").sortWithinPartitions("cell", "k1", "k2")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()  # what this worker learned of the tokenizer, which no later step needs
         cell, at = None, 0
         for batch in batches:
             got: list[tuple] = []
