@@ -55,11 +55,11 @@ def _codes(line: Column, ranks: str) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _parity(codes: str | Column, shift: int = 0) -> Column:
+def _parity(codes: str | Column) -> Column:
     """64 bits, each the parity of the words that hash to it; of two sets at least as many
     words differ as bits do."""
-    bits = lambda c: (F.shiftrightunsigned(c, shift) if shift else c).bitwiseAND(63).cast("int")
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits(c))))
+    masks = F.expr(f"cast(split('{','.join(str(1 << i) for i in range(63))},{-(1 << 63)}', ',') as array<bigint>)")
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(masks[c.bitwiseAND(63)]))
 
 
 def _n(of: str) -> Column:

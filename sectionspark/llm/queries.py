@@ -98,5 +98,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing)}
 
 
+#: Line dedup as a join on the words of prefixes (rarest words first), then the exact similarity.
+_LINE_DEDUP = r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents),
+s as (select doc_id, p, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> ''))) as ws from l),
+sets as (select ws, len(ws) as n, min((doc_id, p)) as f from s where len(ws) > 0 group by ws),
+words as (select f, n, unnest(ws) as w from sets), rare as (select w, count(*) as c from words group by w),
+prefix as (select * from (select f, n, w, row_number() over (partition by f order by c, w) as q from words join rare using (w)) t where q <= n - (n * 80 + 99) // 100 + 1),
+pairs as (select distinct x.f as x, y.f as y from prefix x join prefix y on x.w = y.w and x.f < y.f and x.n * 100 >= y.n * 80 and y.n * 100 >= x.n * 80),
+near as (select distinct y from pairs join sets a on a.f = x join sets b on b.f = y where len(list_intersect(a.ws, b.ws)) * 180 >= (a.n + b.n) * 80),
+gone as (select doc_id, p from s join sets using (ws) where (doc_id, p) <> f or f in (select y from near)),
+kept as (select l.doc_id, string_agg(line, chr(10) order by l.p) filter (gone.p is null) as t, count(*) as n_lines, count(gone.p) as n_removed from l left join gone on l.doc_id = gone.doc_id and l.p = gone.p group by 1)
+select d.doc_id, case when d.text is not null then coalesce(t, '') end as text, coalesce(n_lines, 0)::int as n_lines, coalesce(n_removed, 0)::int as n_removed from documents d left join kept on d.doc_id = kept.doc_id"""
+#: All pairs of a label; the components are the closure of their links.
+_PIVOT_DEDUP = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+ok as (select * from v where label is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+c as (select a as vec_id, min(b) as least from reach group by 1), n as (select a as vec_id, count(*) as n_links from links group by 1)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id, vec_id <= coalesce(c.least, vec_id) as kept
+from v left join c using (vec_id) left join n using (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: the others hash, tokenise, sample or learn."""
+    return {"op1_line_dedup": _LINE_DEDUP, "op7_pivot_dedup": _PIVOT_DEDUP}

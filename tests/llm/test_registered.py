@@ -33,6 +33,20 @@ def test_op1(spark):
         assert r["n_lines"] - r["n_removed"] == len(kept[r["doc_id"]]) or text is None
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{LARGER}/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, LARGER)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, (tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())))
+
+
 def vectors(spark):
     rows = spark.read.parquet(f"{LARGER}/embeddings.parquet").collect()
     return {r["vec_id"]: (np.array(r["embedding"], float), r["label"]) for r in rows if r["embedding"] and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])}
