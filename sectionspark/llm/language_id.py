@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectionspark.llm.scratch import bound_batches
-from sectionspark.llm.textbatch import chunks, segment_sums
+from sectionspark.llm.textbatch import chunks, segment_sums, tidy
 
 #: Longest context in bytes.
 ORDER = 3
@@ -88,7 +88,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                     keys, n = np.unique(grams[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["label", "gram", "n"])
 
-    grams = sample.mapInArrow(count, "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    grams = sample.mapInArrow(tidy(count), "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     return fit(languages, np.array(grams["label"].to_pylist(), object), grams["gram"].to_numpy(), grams["n"].to_numpy())
 
 
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] | None = None, te
             found = [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(bits, pa.float64(), mask=~letters)]
             yield pa.RecordBatch.from_arrays([*columns, *found], names=schema.names)
 
-    return source.mapInArrow(predict, schema)
+    return source.mapInArrow(tidy(predict), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sectionspark.llm.components import components
 from sectionspark.llm.scratch import bound_batches, stored
-from sectionspark.llm.textbatch import Chunk, chunks, mix64, run_hashes, runs, segment_sums
+from sectionspark.llm.textbatch import Chunk, chunks, mix64, run_hashes, runs, segment_sums, tidy
 
 #: Words in a shingle; a text with fewer words is one shingle.
 WORDS = 5
@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()]), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=["slice", "n", "counts"])
 
     schema = "slice int, n bigint, counts binary"
-    got = docs.select(text_col).mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
+    got = docs.select(text_col).mapInArrow(tidy(count), schema).repartition(SLICES, "slice").mapInArrow(tidy(add), schema).collect()
     out, n = np.zeros((SLICES, COUNTERS // SLICES), np.int64), 0
     for k, seen, raw in got:
         out[k], n = np.frombuffer(raw, "<i8"), seen
@@ -201,7 +201,7 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "d1", "d2", "size", "bands"])
 
     folded = folded if null_ids else folded.where("id is not null")
-    signed = folded.mapInArrow(sign, "id bigint, t bigint, d1 bigint, d2 bigint, size bigint, bands array<bigint>")
+    signed = folded.mapInArrow(tidy(sign), "id bigint, t bigint, d1 bigint, d2 bigint, size bigint, bands array<bigint>")
     signed = signed.groupBy("id", "t").agg(F.min(F.struct("d1", "d2", "size", "bands")).alias("s"), (F.count("*") > 1).alias("repeated")).select("id", "t", "repeated", "s.*")
     signed = stored(signed, "signatures")
     worded = signed.where("size > 0")
@@ -245,7 +245,7 @@ def _classes(folded: DataFrame, texts: DataFrame, members: DataFrame, threshold:
     if repeated:  # of rows equal in id and text, one
         once = own.where("repeated").groupBy("id").agg(F.first("text").alias("text"))
         texts = own.where("not repeated").select("id", "text").union(once)
-    sets = texts.mapInArrow(weigh, "id bigint, k binary, w binary")
+    sets = texts.mapInArrow(tidy(weigh), "id bigint, k binary, w binary")
     sets = stored(sets, "weighted-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def _classes(folded: DataFrame, texts: DataFrame, members: DataFrame, threshold:
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("v"), F.col("k").alias("kv"), F.col("w").alias("wv")), "v")
         both = left.join(sets.select(F.col("id").alias("u"), F.col("k").alias("ku"), F.col("w").alias("wu")), "u")
-        return stored(both.select("u", "v", "ku", "wu", "kv", "wv").mapInArrow(compare, "u bigint, v bigint, similarity double"), "similarities")
+        return stored(both.select("u", "v", "ku", "wu", "kv", "wv").mapInArrow(tidy(compare), "u bigint, v bigint, similarity double"), "similarities")
 
     pair = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).select(*pair).distinct()

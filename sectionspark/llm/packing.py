@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sectionspark.llm.histogram_sort import LOWEST, MAX_CELLS, cell_of, find_splitters
 from sectionspark.llm.scratch import bound_batches, stored
+from sectionspark.llm.textbatch import tidy
 
 #: Hash buckets of a document vector, dimensions after projection, bits for each of them.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
                 packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_keys(vectors)), pa.array(n), packed.cast(pa.binary())], names=["id", "k1", "size", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokenise, "id bigint, k1 bigint, size bigint, ids binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(tokenise), "id bigint, k1 bigint, size bigint, ids binary")
     rows = stored(rows, "token-ids").withColumn("k2", F.coalesce("id", F.lit(LOWEST + 1)))
     total = rows.agg(F.sum("size")).first()[0] or 0
     cells = max(1, min(MAX_CELLS, -(-total // CELL_TOKENS)))
@@ -222,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
             if got:
                 yield _pieces(got)
 
-    return dealt.select("id", "size", "cell", "ids").mapInArrow(lay, "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary").withColumnRenamed("id", id_col)
+    return dealt.select("id", "size", "cell", "ids").mapInArrow(tidy(lay), "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary").withColumnRenamed("id", id_col)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:

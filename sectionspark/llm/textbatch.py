@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,23 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over the batches of a task, that gives what it freed back to the
+    system at its end: Spark keeps workers for later tasks, and the allocators of Arrow and of
+    the C library keep what they have."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return tidied
+
+
 @dataclass
 class Chunk:
     """Rows lo..hi of a batch: their bytes end to end; row i is data[starts[i]:starts[i + 1]]."""
