@@ -94,8 +94,15 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack(_table(spark, sf_dir, "documents"), WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing, op13_hard_negatives)}
 
 
 #: Line dedup as a join on the words of prefixes (rarest words first), then the exact similarity.
@@ -120,7 +127,17 @@ c as (select a as vec_id, min(b) as least from reach group by 1), n as (select a
 select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id, vec_id <= coalesce(c.least, vec_id) as kept
 from v left join c using (vec_id) left join n using (vec_id)"""
 
+#: All scores of all anchors.
+_HARD_NEGATIVES = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding::double[], lambda x: floor(256 * x)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, v.vec_id as id, a.label = v.label as same, list_dot_product(a.e, v.e)::bigint as score from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as n from s where same) t where n <= 5),
+w as (select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from w where rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: the others hash, tokenise, sample or learn."""
-    return {"op1_line_dedup": _LINE_DEDUP, "op7_pivot_dedup": _PIVOT_DEDUP}
+    return {"op1_line_dedup": _LINE_DEDUP, "op7_pivot_dedup": _PIVOT_DEDUP, "op13_hard_negatives": _HARD_NEGATIVES}
