@@ -94,6 +94,29 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack(_table(spark, sf_dir, "documents"), WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that op11 repairs, dealt by a checksum of each row's key."""
+    blank = F.lit(" ")
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    rows = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), (F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectionspark.llm.conversation_repair import digests, repair_conversations
+
+    turns = _table(spark, sf_dir, "conversations")
+    report, repaired = repair_conversations(damaged(turns))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(digests(repaired), F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    counts = (F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectionspark.llm.hard_negatives import hard_negatives
 
@@ -102,7 +125,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing, op11_conversation_repair, op13_hard_negatives)}
 
 
 #: Line dedup as a join on the words of prefixes (rarest words first), then the exact similarity.
