@@ -117,6 +117,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sectionspark.llm.scratch import new_path
+    from sectionspark.llm.token_files import ByteTokenizer, read_documents, write_token_files
+
+    path = new_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json")), path, end_id=2)
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectionspark.llm.hard_negatives import hard_negatives
 
@@ -125,7 +136,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing, op11_conversation_repair, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_mixing, op4_histogram_sort, op5_minhash_dedup, op6_token_counts, op7_pivot_dedup, op8_quality, op9_language_id, op10_hilbert_packing, op11_conversation_repair, op12_token_files, op13_hard_negatives)}
 
 
 #: Line dedup as a join on the words of prefixes (rarest words first), then the exact similarity.
