@@ -11,6 +11,7 @@ from sectionspark.functions.questions import expand
 from sectionspark.operators import rank as R
 from sectionspark.operators.retrieve import merge_candidates, pins, with_intent
 from sectionspark.operators.search import cosine_topk, embed_batches, no_hit_answers
+from sectionspark.sources.workspace import stored
 
 
 def expanded(questions: DataFrame) -> DataFrame:
@@ -50,11 +51,15 @@ def answer_batch(
     questions: query_id, question, optionally source_filter (null: all sources; look-ups
     ignore it); index: flat metadata, document, embedding. ``encode`` fills ``embedding`` of
     questions as it was filled in the index; ``scorer`` and ``generate`` are the slots of
-    ``score_pairs`` and ``answer_records``. Questions without hits get the fixed answer.
+    ``score_pairs`` and ``answer_records``. Questions without hits get the fixed answer and empty
+    arrays. Of questions that share an id the smallest is answered. Expansions and hits are
+    written once and read by all that needs them.
     """
-    asked = expanded(questions)
-    hits = vector_hits(asked, index, fetch_k, encode)
+    given = F.col("source_filter") if "source_filter" in questions.columns else F.lit(None).cast("string")
+    one = questions.groupBy("query_id").agg(F.min(F.struct("question", given.alias("source_filter"))).alias("one"))
+    asked = stored(expanded(one.select("query_id", "one.*")), "expanded")
+    hits = stored(vector_hits(asked, index, fetch_k, encode), "hits")
     top = R.guaranteed_top(R.score_pairs(candidates(asked, index, hits), scorer), keep_k)
     records = R.answer_records(top, model, generate)
     none = no_hit_answers(asked.select("query_id", "query_used"), hits, model)
-    return records.unionByName(none, allowMissingColumns=True)
+    return records.unionByName(none)

@@ -14,7 +14,8 @@ from sectionspark.operators.chunking import BNS, BNSS, form_chunks, rule_rows, s
 from sectionspark.operators.search import embed_batches
 from sectionspark.operators.split import apply_splitters, compounding_chunks
 from sectionspark.operators.wordtable import table_rows
-from sectionspark.sources.tables import index_count, write_index
+from sectionspark.sources.tables import write_index
+from sectionspark.sources.workspace import deleted, stored
 
 #: Buckets of documents inside which ids are counted up by one task each.
 BUCKETS = 200
@@ -75,8 +76,48 @@ def index_records(chunks: DataFrame) -> DataFrame:
     return chunks.select(*(c.alias(n) for n, c in meta.items()), embed_text().alias("document"))
 
 
+def _digested(chunks: DataFrame) -> DataFrame:
+    """Records with the digest that tells whether one has changed."""
+    records = index_records(chunks)
+    return records.withColumn("digest", F.sha2(F.to_json(F.struct(*records.columns)), 256))
+
+
 def build_index(chunks: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] = embed_batches) -> int:
     """Records of all chunks with their vectors, written over the index at ``path``; returns
-    how many it holds then."""
-    write_index(encode(index_records(chunks)), path)
-    return index_count(chunks.sparkSession.read.parquet(path))
+    how many were written, counted by the writing tasks. ``encode`` adds embedding to records;
+    ``vector_store.encode_once`` serves where most texts were seen before."""
+    return write_index(encode(_digested(chunks)), path)
+
+
+#: What the folders of an index are made of.
+FOLDER = ("source_pdf", "chunk_type")
+
+
+def update_index(chunks: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] = embed_batches) -> list[tuple[str, str]]:
+    """S5 for a corpus that changed in part: brings the index of ``build_index`` at ``path`` to the
+    records of ``chunks`` and returns the folders (source_pdf, chunk_type) that changed. Records
+    are compared by id and digest. Folders that hold a new, changed or lost record are written
+    anew, those that hold none any more are deleted, all others keep their files, so jobs that
+    read them go on. Only records of changed folders are encoded."""
+    spark = chunks.sparkSession
+    named = lambda df: [F.coalesce(df[c], F.lit("")).alias(c) for c in FOLDER]  # noqa: E731  an empty name is read as null
+    records = stored(_digested(chunks), "records")
+    old = spark.read.parquet(path)
+    keys = lambda df, sign: df.select(*named(df), "chunk_id", "digest", F.lit(sign).alias("n"))
+    unlike = keys(records, 1).unionAll(keys(old, -1)).groupBy(*FOLDER, "chunk_id", "digest").agg(F.sum("n").alias("n")).where("n <> 0")
+    changed = unlike.select(*FOLDER).distinct()
+    live = records.select(*named(records)).distinct().withColumn("live", F.lit(True))
+    folders = changed.join(live, list(FOLDER), "left").collect()  # a row for each changed folder
+    names = [(f["source_pdf"], f["chunk_type"]) for f in folders]
+    gone = [n for n, f in zip(names, folders) if not f["live"]]
+    lost = []
+    if gone:  # where their files lie, before any file is replaced
+        files = old.select(*named(old), F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"))
+        lost = files.join(F.broadcast(spark.createDataFrame(gone, ", ".join(f"{c} string" for c in FOLDER))), list(FOLDER), "left_semi").select("folder").distinct().collect()
+    if len(gone) < len(names):
+        fresh = spark.createDataFrame([n for n in names if n not in gone], "_source string, _type string")
+        same = (F.coalesce("source_pdf", F.lit("")) == F.col("_source")) & (F.coalesce("chunk_type", F.lit("")) == F.col("_type"))
+        write_index(encode(records.join(F.broadcast(fresh), same, "left_semi")), path, only_given=True)
+    for row in lost:
+        deleted(spark, row["folder"])
+    return sorted(names)

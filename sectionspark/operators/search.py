@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and questions that meet in one task.
-ROWS, QUESTIONS = 16_384, 1024
+from sectionspark.sources.workspace import stored
+
+#: Index rows that a task holds, rows of a cell at least (about), bytes of the probes at most.
+ROWS, LEAST_CELL, PROBE_BYTES = 16_384, 256, 64 << 20
 NO_HIT = "No relevant legal sections found for your query. Try rephrasing or removing the source filter."
 
 
@@ -48,45 +50,180 @@ def embed_batches(rows: DataFrame, text_col: str = "document", factory: Callable
     return rows.mapInArrow(run, rows.withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows in double precision, shorter ones filled with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _widened(x: np.ndarray, width: int) -> np.ndarray:
+    return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1, keepdims=True))
+
+
+#: Distances that the matrix product gives are this exact, and lengths of chords.
+NEAR, CHORD = 1e-9, 1e-6
+
+
+class _Cells:
+    """The coarse partition that all tasks know: unit vectors of a sample of the index (probes,
+    with their sources), the first of which are centres, and what each centre's cell holds:
+    rows, the longest chord from the centre to one of them, a mask of their sources."""
+
+    def __init__(self, probes: np.ndarray, sources: list[str | None], n_centres: int):
+        self.probes, self.sources = probes / _norms(probes), np.array(sources, object)
+        self.centres = self.probes[:n_centres]
+        self.rows, self.radius, self.mask = np.zeros(n_centres, np.int64), np.zeros(n_centres), np.zeros(n_centres, np.int64)
+
+    def chords(self, x: np.ndarray, to: np.ndarray) -> np.ndarray:
+        width = max(x.shape[1], to.shape[1])
+        x, to = _widened(x / _norms(x), width), _widened(to, width)
+        return np.sqrt(np.maximum(2 - 2 * (x @ to.T), 0))
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row, and the chord to it."""
+        d = self.chords(x, self.centres)
+        at = d.argmin(1)
+        return at, d[np.arange(len(d)), at]
+
+    def visits(self, x: np.ndarray, wanted: list[str | None], bits: np.ndarray, k: int) -> np.ndarray:
+        """Which cells may hold one of the k nearest of each question: by the triangle rule, no
+        row of a cell is nearer than the chord to its centre less its radius, and k probes show
+        how far the k nearest are at most."""
+        d = self.chords(x, self.probes)
+        fits = np.array([[w is None] for w in wanted]) | (np.array(wanted, object)[:, None] == self.sources[None, :])
+        far = np.full(len(x), np.inf)
+        if d.shape[1] >= k:
+            far = np.partition(np.where(fits, d, np.inf), k - 1, axis=1)[:, k - 1]
+        near = d[:, : len(self.centres)] - self.radius <= far[:, None] + CHORD
+        return near & (self.rows > 0) & ((bits[:, None] == 0) | (bits[:, None] & self.mask != 0))
+
+
+def _nearest(k: int) -> Callable:
+    """A function over sorted batches (cell, slice; asks: index rows first; id, g, v) that gives
+    the k nearest rows of each question in each slice of a cell. It holds the rows of one
+    slice; questions stream past them."""
+
+    def answers(held: list, ids: np.ndarray, wanted: list, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row_ids, g, x, norm = held
+        width = max(x.shape[1], v.shape[1])
+        x, v = _widened(x, width), _widened(v, width)
+        of = _norms(v)
+        for lo in range(0, len(ids), 256):
+            near = (v[lo : lo + 256] / of[lo : lo + 256]) @ (x / norm).T
+            for i, w in enumerate(wanted[lo : lo + 256]):
+                if w is not None:
+                    near[i, g != w] = -np.inf
+            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+            out = []
+            for i, n in enumerate(near):
+                at = np.flatnonzero(n >= max(least[i] - NEAR, -2))
+                # of the two vectors alone, so equal vectors tie wherever they stand
+                d = 1 - (x[at] * v[lo + i]).sum(1) / (norm[at, 0] * of[lo + i, 0])
+                best = np.lexsort((row_ids[at], d))[:k]
+                out.append((np.full(len(best), ids[lo + i]), row_ids[at][best], d[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "chunk_id", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, held = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("cell", "slice")])
+            asks, ids, g = batch.column("asks").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(), batch.column("g").to_pylist()
+            x = matrix(batch.column("v"))
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if lo == hi:
+                    continue
+                if tuple(keys[lo]) != cell:
+                    cell, parts, held = tuple(keys[lo]), [], None
+                if not asks[lo]:
+                    parts.append((ids[lo:hi], np.array(g[lo:hi], object), x[lo:hi]))
+                    continue
+                if parts:
+                    width = max(p[2].shape[1] for p in parts)
+                    rows = np.concatenate([_widened(p[2], width) for p in parts])
+                    held, parts = [np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), rows, _norms(rows)], []
+                if held:
+                    yield from answers(held, ids[lo:hi], g[lo:hi], x[lo:hi])
+
+    return run
+
+
+HITS = "query_id bigint, chunk_id bigint, distance double"
+
+
 def cosine_topk(questions: DataFrame, index: DataFrame, k: int = 20) -> DataFrame:
     """V2, V3: query_id, chunk_id, distance (1 - cosine, in double precision), rank; ties to
-    the smaller chunk_id. questions: query_id, embedding, optionally source_filter (null: all);
-    index: chunk_id, embedding, optionally source. Null or zero vectors take no part.
-
-    Index rows and questions are dealt to blocks that meet pairwise; a block returns its own
-    k best, so what is shuffled at the end is k rows for each question and block. Questions
-    with a filter meet the rows of their source only: rows go to a block for each source and,
-    if any question asks for all sources, to one for all.
+    the smaller chunk_id, for any number of partitions. questions: query_id, embedding,
+    optionally source_filter (null: all); index: chunk_id, embedding, optionally source.
+    Vectors that are null, zero or hold null or non-finite components take no part, shorter
+    vectors count as filled with zeros; questions of one id are answered together.
+
+    Both tables are evaluated once and written. Index rows go to the nearest of about a root of
+    their number of centres, and are shuffled once: a cell goes, in slices of ROWS, to tasks
+    that hold a slice each, and questions go to the cells that may hold one of their k
+    nearest, so the result is exact (``_Cells``). What all tasks know is the sample of probes, of
+    PROBE_BYTES at most.
     """
-    def table(df, id_col, group):
+    spark = index.sparkSession
+
+    def table(df: DataFrame, id_col: str, group: str) -> DataFrame:
         given = F.col(group).cast("string") if group in df.columns else F.lit(None).cast("string")
-        rows = df.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"), given.alias("g"))
-        return rows.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-
-    q, c = table(questions, "query_id", "source_filter"), table(index, "chunk_id", "source")
-    some, every_source = (q.where(f"g is {x} null").limit(1).count() > 0 for x in ("not", ""))
-    named = lambda: F.concat(F.lit("="), "g")
-    q = q.select("id", "v", F.coalesce(named(), F.lit("")).alias("g"))
-    c = c.select("id", "v", F.explode(F.array_compact(F.array(F.lit("" if every_source else None), named() if some else F.lit(None)))).alias("g"))
-    shards, blocks = -(-max(1, c.count()) // ROWS), -(-max(1, q.count()) // QUESTIONS)
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q, c = q.withColumn("b", deal(blocks)).withColumn("s", every(shards)), c.withColumn("s", deal(shards)).withColumn("b", every(blocks))
-
-    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(rows):
-            ids, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for query, v in zip(asked["id"], asked["v"]):
-                d = 1 - x @ (v / np.linalg.norm(v))
-                near = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
-                near = np.flatnonzero(d <= d[near].max()) if len(near) else near  # ties at the k-th too
-                order = near[np.lexsort((ids[near], d[near]))[:k]]
-                out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[order], "distance": d[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []}).astype({"query_id": "int64", "chunk_id": "int64"})
-
-    local = q.groupBy("g", "s", "b").cogroup(c.groupBy("g", "s", "b")).applyInPandas(best, "query_id bigint, chunk_id bigint, distance double")
+        wide = F.col("v").cast("array<double>")
+        sound = F.exists(wide, lambda x: x != 0) & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        bit = F.when(F.col("g").isNull(), 0).otherwise(F.expr("shiftleft(1L, cast(pmod(xxhash64(g), 63) as int))"))
+        return df.select(F.col(id_col).cast("bigint").alias("id"), F.col("embedding").alias("v"), given.alias("g")).where(sound).withColumn("bit", bit.cast("bigint"))
+
+    asked, rows = stored(table(questions, "query_id", "source_filter"), "asked"), stored(table(index, "chunk_id", "source"), "vectors")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n or asked.isEmpty():
+        return spark.createDataFrame([], f"{HITS}, rank int")
+    most = max(1, PROBE_BYTES // (8 * width))
+    n_centres = min(most, -(-n // LEAST_CELL), isqrt(n) + 1)
+    probes = rows.orderBy(F.xxhash64("id"), "id").limit(min(most, max(n_centres, 50 * k))).select("v", "g").toArrow()
+    known = spark.sparkContext.broadcast(_Cells(matrix(probes.column("v")), probes.column("g").to_pylist(), n_centres))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, chord = known.value.assign(matrix(b.column("v"))) if b.num_rows else (np.zeros(0, np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64()), pa.array(chord, pa.float64())], names=[*b.schema.names, "cell", "chord"])
+
+    vector = rows.schema["v"].dataType.simpleString()
+    rows = stored(rows.mapInArrow(assign, f"id bigint, v {vector}, g string, bit bigint, cell bigint, chord double"), "cells")
+    figures = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("chord").alias("r"), F.bit_or("bit").alias("m")).collect()  # a row for each centre
+    cells = known.value
+    for f in figures:
+        cells.rows[f["cell"]], cells.radius[f["cell"]], cells.mask[f["cell"]] = f["n"], f["r"], f["m"]
+    known = spark.sparkContext.broadcast(cells)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                at, cell = np.nonzero(known.value.visits(matrix(part.column("v")), part.column("g").to_pylist(), part.column("bit").to_numpy(), k))
+                slices = -(-known.value.rows[cell] // ROWS)
+                at, cell = np.repeat(at, slices), np.repeat(cell, slices)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(slices) - slices, slices)
+                for to in range(0, len(at), 4096):
+                    some = slice(to, to + 4096)
+                    taken = [part.column(c).take(pa.array(at[some])) for c in ("id", "v", "g")]
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[some], pa.int64()), pa.array(place[some], pa.int64())], names=["id", "v", "g", "cell", "slice"])
+
+    asked_vector = asked.schema["v"].dataType.simpleString()
+    asked = asked.mapInArrow(visit, f"id bigint, v {asked_vector}, g string, cell bigint, slice bigint")
+    large = {f["cell"]: -(-f["n"] // ROWS) for f in figures if f["n"] > ROWS}  # n / ROWS of them at most
+    cut = F.create_map(*(F.lit(x).cast("bigint") for pair in large.items() for x in pair))[F.col("cell")] if large else F.lit(1)
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce(cut, F.lit(1)).cast("bigint")))
+    doubles = F.col("v").cast("array<double>").alias("v") if vector != asked_vector else F.col("v")
+    both = rows.select("cell", "slice", F.lit(False).alias("asks"), "id", "g", doubles).unionByName(asked.select("cell", "slice", F.lit(True).alias("asks"), "id", "g", doubles))
+    local = both.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks").mapInArrow(_nearest(k), HITS)
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -97,7 +234,8 @@ def similarity_percent(distance: Column) -> Column:
 
 
 def no_hit_answers(questions: DataFrame, hits: DataFrame, model: str = "none") -> DataFrame:
-    """V5: the fixed answer for questions without vector hits. questions: query_id, query_used."""
+    """V5: the fixed answer for questions without vector hits, with empty arrays. questions:
+    query_id, query_used."""
     none = questions.join(hits, "query_id", "left_anti")
-    empty = F.array().cast("array<string>")
-    return none.select("query_id", F.lit(NO_HIT).alias("answer"), empty.alias("citations"), F.lit(model).alias("model_used"), "query_used")
+    used = F.array().cast("array<struct<chunk_id:bigint,document:string,distance:double,rerank_score:double>>")
+    return none.select("query_id", F.lit(NO_HIT).alias("answer"), F.array().cast("array<string>").alias("citations"), used.alias("chunks_used"), F.lit(model).alias("model_used"), "query_used")

@@ -6,8 +6,6 @@ expressions that Spark SQL and DuckDB both read; ``{name}`` stands for a table.
 
 from __future__ import annotations
 
-from tempfile import mkdtemp
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ _TEMPLATES = (
     "'organised crime and theft near thana'", "'What is the weather today?'",
 )
 QUESTIONS = (
-    "select query_id, case t " + " ".join(f"when {i} then {q}" for i, q in enumerate(_TEMPLATES)) + " end as question, case when query_id % 7 = 0 then 'BNS' end as source_filter "
+    "select query_id, case t " + " ".join(f"when {i} then {q}" for i, q in enumerate(_TEMPLATES)) + " end as question, case when query_id % 21 = 0 then 'IPC' when query_id % 7 = 0 then 'BNS' end as source_filter "
     f"from (select o_orderkey as query_id, o_custkey % 16 as t, cast({_NUMBER} as string) as n, cast(o_custkey % 58 + 1 as string) as f from {{orders}}) x"
 )
 _KIND = "case when p_partkey < 40 and p_partkey % 10 = 9 then 't2' when p_partkey % 10 in (6, 7) then 't1' when p_partkey % 10 = 8 then 'fm' else 'sc' end"
@@ -89,13 +87,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(pages(spark, sf_dir))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share, overwritten by each run; a temporary one if the
-    session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-queries-")
-    return f"{folder.rstrip('/')}/query-{name}"
-
-
 def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, id_col: str) -> DataFrame:
     """Rows with the vector that their id, modulo the number of vectors, stands for."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_at"), "embedding")

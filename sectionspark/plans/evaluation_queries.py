@@ -9,6 +9,7 @@ from sectionspark.operators import evaluate as E
 from sectionspark.operators.corpus import index_records
 from sectionspark.plans import derived as D
 from sectionspark.sources.tables import write_report
+from sectionspark.sources.workspace import new_path
 
 _CASES = """select d.doc_id as case_id, d.source as category, d.lang as style, case when d.doc_id % 13 = 0 then 'Could not generate an answer' when d.doc_id % 11 = 0 then substr(text, 1, 15) else text end as answer,
   case when d.doc_id % 3 = 0 then 'the' when l.quality = 1 then 'Er' else 'zzz' end as k1, case when d.doc_id % 5 = 0 then 'LES' else 'e' end as k2 from {documents} d join {labels} l on d.doc_id = l.doc_id"""
@@ -34,7 +35,7 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores by category, written as a JSON report and read back."""
     scores = category_scores(spark, sf_dir)
-    path = D.shared_path(spark, "report")
+    path = new_path(spark, "report")
     write_report(scores, path)
     return spark.read.schema(scores.schema).json(path)
 

@@ -10,11 +10,12 @@ from sectionspark.functions.labels import citation
 from sectionspark.functions.rules import FAMOUS, RULES
 from sectionspark.operators import rank as R
 from sectionspark.operators.answer import answer_batch, candidates, expanded
-from sectionspark.operators.corpus import build_index, index_records
+from sectionspark.operators.corpus import build_index, index_records, update_index
 from sectionspark.operators.retrieve import merge_candidates, pins, with_intent
 from sectionspark.operators.search import NO_HIT, cosine_topk, embed_batches, similarity_percent
 from sectionspark.plans import derived as D
 from sectionspark.sources.tables import read_chunks, write_chunks
+from sectionspark.sources.workspace import new_path
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +80,24 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "answer", F.array_join("citations", " | ").alias("citations"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias("chunks"), "query_used")
 
 
+#: A corpus after a change: one section is amended.
+_AMENDED = "case when chunk_id = 1 then content || ' (amended)' else content end"
+
+
 def written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus is written and read back, its records are written as an index and
-    counted by the folders of the index."""
-    path = D.shared_path(spark, "index")
+    """The corpus is written and read back, its records are written with vectors of
+    the embeddings table and counted; then a chunk changes, and the index is brought up to date."""
+    path = new_path(spark, "index")
+    vectors = lambda records: D.with_vectors(spark, sf_dir, records, "chunk_id")
     write_chunks(D.chunks(spark, sf_dir), f"{path}-chunks")
-    build_index(read_chunks(spark, f"{path}-chunks"), path, lambda records: records.withColumn("embedding", F.array(F.lit(0.5).cast("float"))))
-    return spark.read.parquet(path).groupBy("source_pdf", "chunk_type").agg(F.count("*").alias("n"), F.sum(F.length("document")).alias("letters"), F.min("chunk_id").alias("first"))
+    n = build_index(read_chunks(spark, f"{path}-chunks"), path, vectors)
+    changed = update_index(read_chunks(spark, f"{path}-chunks").withColumn("content", F.expr(_AMENDED)), path, vectors)
+    folders = spark.read.parquet(path).groupBy("source_pdf", "chunk_type").agg(
+        F.count("*").alias("n"), F.sum(F.length("document")).alias("letters"), F.min("chunk_id").alias("first"),
+        F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x))), 3).alias("sizes"),
+    )
+    named = spark.createDataFrame(changed, "source_pdf string, chunk_type string").withColumn("rewritten", F.lit(True))
+    return folders.join(named, ["source_pdf", "chunk_type"], "left").withColumns({"rewritten": F.coalesce("rewritten", F.lit(False)), "written": F.lit(n).cast("bigint")})
 
 
 def cosine_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +227,11 @@ SQL = {
     "prompts": _TOP + f" select query_id, context, {_quoted(R.FRAME[0])} || context || {_quoted(R.FRAME[1])} || question || {_quoted(R.FRAME[2])} as prompt from contexts",
     "batch_answers": _ANSWERS + f""" select query_id, null::varchar as answer, cited.citations, (select string_agg(chunk_id, ',' order by rank) from top where top.query_id = c.query_id) as chunks, c.query_used from contexts c join cited using (query_id)
       union all select query_id, {_quoted(NO_HIT)}, '', '', query_used from {_expanded('questions')} x where query_id not in (select query_id from hits)""",
-    "written_index": _BASE + " select source_pdf, ct as chunk_type, count(*) as n, sum(length(document))::bigint as letters, min(chunk_id) as first from meta group by 1, 2",
+    "written_index": f"""with original as ({D.in_duckdb(D.CHUNKS, *_T)}), chunks as (select * replace ({_AMENDED} as content) from original), {_META},
+      folders as (select source_pdf, ct as chunk_type, count(*) as n, sum(length(document))::bigint as letters, min(chunk_id) as first,
+        round(sum(list_sum(list_transform(e.embedding::double[], lambda x: abs(x)))), 3) as sizes
+        from meta join embeddings e on e.vec_id = chunk_id % (select count(*) from embeddings) group by 1, 2)
+      select *, (source_pdf, chunk_type) = (select (source_pdf, ct) from meta where chunk_id = 1) as rewritten, (select count(*) from meta) as written from folders""",
     "cosine_top20": f"select query_id, rank, chunk_id, round(distance, 6) as distance from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from (select q.vec_id as query_id, c.vec_id as chunk_id, {_COSINE} as distance from embeddings q cross join embeddings c where q.vec_id % 10 = 0) a) b where rank <= 20",
     "cosine_top10_filtered": f"select query_id, rank, chunk_id, round_even((1 - round(distance, 6)) * 100, 1) as percent from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from (select q.vec_id as query_id, c.vec_id as chunk_id, {_COSINE} as distance from embeddings q join embeddings c on q.vec_id % 20 <> 0 or q.label = c.label where q.vec_id % 10 = 0) a) b where rank <= 10",
 }

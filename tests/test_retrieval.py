@@ -128,5 +128,5 @@ def test_batch_answers_by_hand(spark):
     assert {c["chunk_id"] for c in out[2]["chunks_used"]} <= {3, 4, 5} and "BNSS Section 173 — Information" in " ".join(out[2]["citations"]) or len(out[2]["chunks_used"]) == 2
     assert 1 in {c["chunk_id"] for c in out[3]["chunks_used"]} and len(out[3]["chunks_used"]) == 3  # the famous section
     assert 5 in {c["chunk_id"] for c in out[4]["chunks_used"]}  # a look-up ignores the filter
-    assert out[5]["answer"].startswith("No relevant legal sections") and out[5]["chunks_used"] is None and out[5]["citations"] == []
+    assert out[5]["answer"].startswith("No relevant legal sections") and out[5]["chunks_used"] == [] and out[5]["citations"] == []
     assert out[6]["chunks_used"][0]["chunk_id"] == 2 and out[6]["answer"].endswith("Cite section numbers.")
