@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sectionspark.functions import text as T
 from sectionspark.operators import chunking as C
+from sectionspark.operators import segmentation as G
 from sectionspark.operators import split as X
 from sectionspark.operators.corpus import index_records, stamp_ids, union_corpus
 from sectionspark.operators.segmentation import split_joined_words, word_costs
@@ -206,6 +207,28 @@ SQL = {
     "scrub_lines": f"with {_LINES} select doc_id, line_no, {_scrub('m')} as line from (select doc_id, line_no, {_MARKED} as m from lines) x where {_scrub('m')} <> ''",
     "boundary_spacing": f"with {_LINES} select doc_id, line_no, {_spacing('t')} as fixed from (select doc_id, line_no, regexp_replace(regexp_replace(raw, ' ([A-Z])', '\\1', 'g'), ', ', ',', 'g') || ' 12a(3)Ab;c––d' as t from lines) x",
     "frequent_words": "select word, n, rank, round(ln(rank * ln(count(*) over () + 1.0)), 6) as cost from (select word, count(*) as n, row_number() over (order by count(*) desc, word) as rank from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) a group by word) b",
+    "split_words": rf"""with recursive {_LINES}, joined as (select doc_id, line_no, regexp_replace(raw, '([a-z]) ([a-z]{{2,4}}) ', '\1\2 ', 'g') as line from lines),
+      counted as (select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) a group by word),
+      costs as (select word, length(word) as len, ln(row_number() over (order by n desc, word) * ln(count(*) over () + 1.0)) as cost from counted),
+      priced as (select word, len, round(cost * 1000000)::bigint as c from costs), lens as (select distinct len from costs),
+      rest as (select round((max(cost) + ln(count(*) + 2) * 3) * 1000000)::bigint as u from costs),
+      tokens as (select distinct unnest(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ')) as token from (select distinct line from joined)),
+      pieces as (select token, unnest(regexp_extract_all(token, {_q(f'[{G.MARKS}]|[^{G.MARKS}]+')})) as part, generate_subscripts(regexp_extract_all(token, {_q(f'[{G.MARKS}]|[^{G.MARKS}]+')}), 1) as n from tokens),
+      kinds as (select *, upper(part) = part and lower(part) <> part and length(part) > 8 as capitals, substr(part, 2) = lower(substr(part, 2)) or regexp_matches(part, '[a-z]{{8,}}') as small from pieces),
+      marked as (select *, case when length(part) >= 4 and regexp_matches(part, '^\p{{L}}+$') and lower(part) not in ({', '.join(map(_q, sorted(G.NO_SPLIT)))}) and (capitals or (upper(part) <> part and small)) then lower(part) end as run from kinds),
+      runs as (select distinct run from marked where run is not null),
+      ways as (select run, e, list({{'l': len, 'c': c}}) as w from (select run, len, unnest(range(len, length(run) + 1)) as e from runs join lens on len <= length(run)) x join priced p using (len) where substr(run, e - len + 1, len) = word group by 1, 2),
+      dp as (select run, 0::bigint as e, [{{'c': 0::bigint, 's': 0::bigint, 'k': 1}}] as best from runs
+        union all select d.run, d.e + 1, list_append(best, list_sort([{{'c': best[d.e + 1].c + u, 's': d.e, 'k': 0}}] || coalesce(list_transform(w, lambda x: {{'c': best[d.e + 2 - x.l].c + x.c, 's': d.e + 1 - x.l, 'k': 1}}), []))[1])
+        from dp d cross join rest left join ways on ways.run = d.run and ways.e = d.e + 1 where d.e < length(d.run)),
+      walk as (select run, best, e as pos, false as au, []::bigint[] as cuts from dp where e = length(run)
+        union all select run, best, best[pos + 1].s, best[pos + 1].k = 0, case when best[pos + 1].k = 0 and au then cuts else [pos] || cuts end from walk where pos > 0),
+      split as (select run, list_transform(cuts, lambda c, i: substr(run, case when i = 1 then 1 else cuts[i - 1] + 1 end, case when i = 1 then c else c - cuts[i - 1] end)) as words from walk where pos = 0),
+      written as (select token, n, case when run is null then part else array_to_string(list_transform(words, lambda w, i: case when capitals or (i = 1 and upper(part[1:1]) = part[1:1]) then upper(w[1:1]) || lower(w[2:]) else w end), ' ') end as text, regexp_matches(part, {_q(f'^[{G.MARKS}]$')}) and n > 1 as glued from marked left join split using (run)),
+      fixed as (select token, ltrim(string_agg(case when glued then text else ' ' || text end, '' order by n)) as fixed from written group by 1),
+      flat as (select line, unnest(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ')) as token, generate_subscripts(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' '), 1) as pos from (select distinct line from joined)),
+      done as (select line, string_agg(fixed, ' ' order by pos) as fixed from flat join fixed using (token) group by 1)
+      select doc_id, line_no, case when line is not null then coalesce(done.fixed, '') end as fixed from joined left join done using (line)""",
     "heading_fields": f"""with {_LINES}, planted as (select doc_id, line_no, {D.PLANTED['BNS']} as raw, true as bns from lines where source = 'BNS' union all select doc_id, line_no, {D.PLANTED['BNSS']}, false from lines where source = 'BNSS'),
       a as (select *, case when bns then {_section('raw', 358)} else {_section('raw', 531)} end as section, upper(raw) as u from planted)
       select doc_id, line_no, section, {_title('raw', 'section')} as title, case when regexp_matches(raw, '^[A-Za-z ]+$') then array_to_string(list_transform(string_split(u, ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') end as title_case from a""",

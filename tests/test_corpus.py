@@ -1,8 +1,9 @@
 """Cleaning, chunking, tables, splits and ids on small fixtures."""
 
+import math
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sectionspark.functions import text as T
@@ -10,7 +11,7 @@ from sectionspark.functions.labels import embed_text, flat_metadata
 from sectionspark.operators import chunking as C
 from sectionspark.operators import split as X
 from sectionspark.operators.corpus import build_corpus, build_index, index_records, stamp_ids, union_corpus
-from sectionspark.operators.segmentation import cheapest, split_joined_words, word_costs
+from sectionspark.operators.segmentation import UNITS, split_joined_words, split_runs, word_costs
 from sectionspark.operators.wordtable import column_of, table_rows, with_lines
 from sectionspark.sources import tables as S
 
@@ -73,6 +74,8 @@ def test_forms_and_rules(spark):
     assert [(r["form_number"], r["content"], r["form_title"]) for r in got] == [(7, "To the court", "FORM No. 7")]
     page = f"x\n{C.RULE_MARK}\nOffence\nearly\nIf punishable with death\nno bail\n1 2 3 4\nIf punishable less"
     pages = spark.createDataFrame([(1, "BNSS", 189, page), (2, "BNSS", 189, f"{C.RULE_MARK}\nnothing"), (3, "BNSS", 1, "no mark"), (4, "BNSS", 1, None)], "doc_id long, source string, page int, text string")
+    odd = spark.createDataFrame([(1, "BNSS", 1, C.RULE_MARK + "\fIf punishable with death\x0bOffence\x85no bail\u2028If punishable less\r\nfine")], "doc_id long, source string, page int, text string")
+    assert [r["rule"] for r in C.rule_rows(odd).orderBy("pos").collect()] == ["If punishable with death no bail", "If punishable less fine"]
     assert [r["rule"] for r in C.rule_rows(pages).orderBy("doc_id", "pos").collect()] == ["If punishable with death no bail", "If punishable less", f"{C.RULE_MARK}\nnothing"]
 
 
@@ -145,11 +148,33 @@ def test_records_and_round_trips(spark, tmp_path):
     assert embed_text() is not None and "chunk_type" in flat_metadata()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abcAB1,.- ", max_size=30))
-def test_cheapest_split_keeps_letters(line):
-    assert "".join(cheapest(line, {"ab": 1.0, "c": 2.0, "abc": 5.0}, 9.0)) == line
-    assert cheapest("abcxyab", {"ab": 1.0, "c": 2.0, "abc": 5.0}, 9.0) == ["ab", "c", "xy", "ab"]
+def cheapest(run, costs, unknown):
+    """The cheapest split by a plain walk: ties to the earlier begin, then to the unknown letter."""
+    best = [(0, 0, True)]
+    for end in range(1, len(run) + 1):
+        ways = [(best[end - 1][0] + unknown, end - 1, False)]
+        best.append(min(ways + [(best[s][0] + costs[run[s:end]], s, True) for s in range(end) if run[s:end] in costs]))
+    out, end = [], len(run)
+    while end:
+        _, start, known = best[end]
+        while not known and start and not best[start][2]:
+            start = best[start][1]
+        out.append(run[start:end])
+        end = start
+    return out[::-1]
+
+
+def test_runs_are_split_at_least_cost(spark):
+    """Ties, unknown letters, words longer than a window, runs over many blocks of the fold."""
+    r = random.Random(2)
+    words = list(dict.fromkeys("".join(r.choice("abcd") for _ in range(r.choice([1, 2, 2, 3, 4, 5]))) for _ in range(80))) + ["abcd" * 20, "é" * 3]
+    costs = {w: r.choice([1.0, 2.0, 2.5, 3.0]) for w in words}
+    runs = list(dict.fromkeys("".join(r.choice("aabbccddxéz") for _ in range(n)) for n in [1, 2, 3, 5, 8, 13, 30, 64, 65, 66, 255, 256, 257, 700] * 3))
+    runs += ["abcd" * 45, "x" * 3000, "q"]
+    got = {x["run"]: x["words"] for x in split_runs(spark.createDataFrame([(x,) for x in runs], "run string"), spark.createDataFrame(list(costs.items()), "word string, cost double")).collect()}
+    unknown = round((3.0 + math.log(len(costs) + 2) * 3) * UNITS)
+    priced = {w: round(c * UNITS) for w, c in costs.items()}
+    assert got == {x: cheapest(x, priced, unknown) for x in runs}
 
 
 def test_segmentation(spark):
