@@ -36,9 +36,11 @@ def vector_hits(asked: DataFrame, index: DataFrame, fetch_k: int = 20, encode: C
 
 
 def candidates(asked: DataFrame, index: DataFrame, hits: DataFrame) -> DataFrame:
-    """The merged candidates with question, query_used and the index's columns."""
+    """The merged candidates with question, query_used, the index's columns and the words
+    of both texts (_asked, _has), which are taken apart once a question and once a chunk."""
     merged = merge_candidates(hits, pins(with_intent(asked.select("query_id", "question")), index, hits))
-    return merged.join(asked.select("query_id", "question", "query_used"), "query_id").join(index.drop("embedding"), "chunk_id")
+    asked = asked.select("query_id", "question", "query_used", R.tokens(F.col("query_used")).alias("_asked"))
+    return merged.join(asked, "query_id").join(index.drop("embedding").withColumn("_has", R.tokens(F.col("document"))), "chunk_id")
 
 
 def answer_batch(

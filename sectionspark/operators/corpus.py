@@ -33,7 +33,9 @@ def stamp_ids(corpus: DataFrame, order: list[str]) -> DataFrame:
     """chunk_id from 1 in the order (part_ord, doc_id, *order), null ids first. Rows are
     numbered inside (part_ord, doc_id); the small table of counts gives each group its offset,
     over documents inside a bucket and then over buckets. Buckets end at quantiles of the ids,
-    so they hold like numbers of documents however the ids lie, and no window holds more."""
+    so they hold like numbers of documents however the ids lie, and no window holds more. The
+    corpus is written once, so what makes it doesn't run for the counts and again."""
+    corpus = stored(corpus, "corpus")
     group = ["part_ord", "doc_id"]
     counts = corpus.groupBy(*group).agg(F.count("*").alias("n"))
     ends = counts.agg(F.percentile_approx("doc_id", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("ends")).withColumn("one", F.lit(1))

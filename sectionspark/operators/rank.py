@@ -38,9 +38,11 @@ def overlap_score(asked: Column, has: Column) -> Column:
 
 def score_pairs(candidates: DataFrame, scorer: Callable | None = None) -> DataFrame:
     """Adds rerank_score of (query_used, document). ``scorer``: makes, once in each task, a
-    function of two lists of texts; the default uses built-in functions."""
+    function of two lists of texts; the default uses built-in functions, on the words of _asked
+    and _has where a join has brought them."""
     if scorer is None:
-        words = candidates.withColumns({"_asked": tokens(F.col("query_used")), "_has": tokens(F.col("document"))})
+        made = {n: tokens(F.col(c)) for n, c in (("_asked", "query_used"), ("_has", "document")) if n not in candidates.columns}
+        words = candidates.withColumns(made) if made else candidates
         return words.withColumn("rerank_score", overlap_score(F.col("_asked"), F.col("_has"))).drop("_asked", "_has")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +68,7 @@ def guaranteed_top(scored: DataFrame, keep_k: int = 5) -> DataFrame:
 
 
 def _in_order(value: Column) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), value.alias("x")))), lambda s: s["x"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col("rank").alias("r"), value.alias("x")))), lambda s: s["x"])
 
 
 def citations(top: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def _context() -> Column:
     return F.array_join(_in_order(context_entry(F.col("rank"))), "\n\n---\n\n")
 
 
-#: What stands before the context, the question and the end of a prompt.
+# What stands before the context, the question and the end of a prompt.
 FRAME = ("\n".join(INSTRUCTIONS) + "\n\nCONTEXT (retrieved legal sections):\n", "\n\nQUESTION: ", "\n\nAnswer based strictly on the context above. Cite section numbers.")
 
 

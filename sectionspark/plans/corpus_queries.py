@@ -9,7 +9,7 @@ from sectionspark.functions import text as T
 from sectionspark.operators import chunking as C
 from sectionspark.operators import segmentation as G
 from sectionspark.operators import split as X
-from sectionspark.operators.corpus import index_records, stamp_ids, union_corpus
+from sectionspark.operators.corpus import build_corpus, index_records, stamp_ids, union_corpus
 from sectionspark.operators.segmentation import split_joined_words, word_costs
 from sectionspark.operators.wordtable import table_rows
 from sectionspark.plans import derived as D
@@ -130,6 +130,16 @@ def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chunk_id", "part_ord", "doc_id", F.col("pos.line_no").alias("line_no"), "section_number", "form_number")
 
 
+def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1, U2 and all that leads to them: the six kinds of chunks in one corpus, with ids."""
+    lines = D.lines(spark, sf_dir)
+    planted = lines.withColumn("raw", F.when(F.col("source") == "BNS", F.expr(D.WHOLE["BNS"])).otherwise(F.expr(D.WHOLE["BNSS"])))
+    rules = D.pages(spark, sf_dir).withColumn("text", F.expr(_RULE_TEXT))
+    corpus = build_corpus(planted, D.words(spark, sf_dir), rules, lines.withColumn("raw", F.expr(D.FORM_LINE)))
+    text = F.coalesce("content", "rule", "offence").alias("text")
+    return corpus.select("chunk_id", "part_ord", "doc_id", "part_no", "section_number", "section_title", "definition_term", "compounding_section", "compounding_offence", "bns_section", "form_number", text)
+
+
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3-U5."""
     out = index_records(D.chunks(spark, sf_dir))
@@ -138,7 +148,7 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     read_lines, scrub_lines, boundary_spacing, frequent_words, split_words, heading_fields, joined_runs, section_chunks_bns, section_chunks_bnss,
-    form_chunks, rule_rows, word_table, split_definitions, split_anchors, compounding_rows, corpus_ids, index_rows,
+    form_chunks, rule_rows, word_table, split_definitions, split_anchors, compounding_rows, corpus_ids, whole_corpus, index_rows,
 )
 
 # ---- the same in SQL ----
@@ -174,8 +184,8 @@ def _title(line: str, section: str) -> str:
     return f"case when length({title}) between 3 and 79 then {title} end"
 
 
-def _chunks_sql(source: str, most: int, chapter: str, sub: str) -> str:
-    return f"""with {_LINES}, planted as (select doc_id, line_no, {D.PLANTED[source]} as raw from lines where source = '{source}'),
+def _chunks_sql(source: str, most: int, chapter: str, sub: str, planted: dict = D.PLANTED) -> str:
+    return f"""with {_LINES}, planted as (select doc_id, line_no, {planted[source]} as raw from lines where source = '{source}'),
       kept as (select doc_id, line_no, {_scrub('raw')} as line from planted where {_scrub('raw')} <> ''),
       a as (select *, nullif(regexp_extract(line, {_q(chapter)}, 1), '') as chapter, {sub} as sub0, {_section('line', most)} as num0 from kept),
       b as (select *, coalesce(lag(chapter is not null) over (partition by doc_id order by line_no), false) and chapter is null as is_title from a),
@@ -277,3 +287,23 @@ SQL["word_table"] = rf"""with recursive words as ({_PART(D.WORDS, 'lineitem')}),
     from f where trim(f[3]) not in ('1', 'Section', 'Offence', 'Punishment', 'Cognizable', 'Bailable', 'Court', 'cognizable', 'bailable', 'triable', 'THE', 'CLASSIFICATION', 'EXPLANATORY', 'I.')),
   g as (select c.doc_id, c.page, s.row_no, {', '.join(f"coalesce(string_agg(c.text, ' ' order by c.line, c.y, c.x0, c.text) filter (c.col = {i}), '') as {n}" for i, n in enumerate(('bns_section', 'offence', 'punishment', 'cognizable', 'bailable', 'court')))} from c join s on c.doc_id = s.doc_id and c.page = s.page and c.line = s.line group by 1, 2, 3)
   select * from g where regexp_matches(bns_section, '^\d')"""
+
+# all six kinds: sections, split as above, compounding rows, the word table, rules, forms
+_KEYED = "select (part_ord, doc_id, line_no) as chunk_id, source_pdf, section_number, section_title, content from sec where "
+_TABLE1 = "select doc_id * 1000000 + page * 10000 + row_no as chunk_id, bns_section, offence from t1rows where offence <> ''"
+_ROW = "{} as part_ord, {} as doc_id, {} as page, {} as line_no, {}::int as part_no, {} as row_no, {}::int as section_number, {}::varchar as section_title, {}::varchar as definition_term, {}::varchar as compounding_section, {}::varchar as compounding_offence, {}::varchar as bns_section, {}::int as form_number, {} as text"
+_OF_KEY = ("chunk_id[1]", "chunk_id[2]", 1, "chunk_id[3]")
+SQL["whole_corpus"] = f"""with bns as ({_chunks_sql("BNS", 358, C.BNS.chapter, _BNS_SUB, D.WHOLE)}), bnss as ({_chunks_sql("BNSS", 531, C.BNSS.chapter, _BNSS_SUB, D.WHOLE)}),
+  sec as (select 0 as part_ord, 'BNS' as source_pdf, * from bns union all select 1, 'BNSS', * from bnss), t1rows as ({SQL["word_table"]}),
+  defs as ({SQL["split_definitions"].replace(_PART(_DEFS, "part"), _KEYED + "section_number = 2")}),
+  big as ({SQL["split_anchors"].replace(_PART(_ANCHORED, "part"), _KEYED + "section_number = 359 and source_pdf = 'BNSS'")}),
+  micro as ({SQL["compounding_rows"].replace(_PART(_ANCHORED, "part"), _KEYED + "section_number = 359 and source_pdf = 'BNSS'").replace(_PART(D.CHUNKS, "part"), _TABLE1)}),
+  rules as ({SQL["rule_rows"]}), forms as ({SQL["form_chunks"]}),
+  u as (select {_ROW.format("part_ord", "doc_id", 1, "line_no", 0, "null", "section_number", "section_title", "null", "null", "null", "null", "null", "content")} from sec where not (section_number = 2 or section_number = 359 and source_pdf = 'BNSS')
+    union all select {_ROW.format(*_OF_KEY, "part_no", "null", 2, "section_title", "definition_term", "null", "null", "null", "null", "content")} from defs
+    union all select {_ROW.format(*_OF_KEY, "part_no", "null", 359, "section_title", "null", "null", "null", "null", "null", "content")} from big
+    union all select {_ROW.format(2, *_OF_KEY[1:], "part_no", "row_no", 359, "'Compounding — BNS Section ' || compounding_section", "null", "compounding_section", "compounding_offence", "null", "null", "content")} from micro
+    union all select {_ROW.format(3, "doc_id", "page", "row_no", "null", "null", "null", "null", "null", "null", "null", "bns_section", "null", "offence")} from t1rows
+    union all select {_ROW.format(4, "doc_id", 1, "segment", "null", "null", "null", "null", "null", "null", "null", "null", "null", "rule")} from rules
+    union all select {_ROW.format(5, "doc_id", 1, "line_no", "null", "null", "null", "null", "null", "null", "null", "null", "form_number", "content")} from forms)
+  select row_number() over (order by part_ord, doc_id, page, line_no, part_no, row_no) as chunk_id, * exclude (page, line_no, row_no) from u"""

@@ -46,6 +46,10 @@ from (select o_orderkey as query_id, (o_orderkey * 7 + j * 131) % (select count(
 #: A line of a document with headings planted by its number.
 _HEAD = "case when line_no % 12 = 0 then 'CHAPTER ' || substr('IVX', cast(line_no % 3 + 1 as int), 1) when line_no % 12 = 6 then {sub} || substr(lower(raw), 1, 60) when line_no % 3 = 2 then 'Note ' || cast(line_no % {most} + 1 as string) || '. (1) A' || raw else raw end"
 PLANTED = {"BNS": _HEAD.format(sub="'Of '", most=358), "BNSS": _HEAD.format(sub="'B.—'", most=531)}
+#: The same with a section of definitions and one of compounding rows in each document.
+_WHOLE = """case when line_no = 3 then 'Meaning 2. Definitions ' || {a} || ' "act" denotes ' || raw || '; ' || {b} || ' "court" means ' || raw
+  when line_no = 9 then 'Compounding 359.(1) The offences 115(2) The person hurt ' || substr(lower(raw), 1, 40) || ' (2) The offences punishable below 303, 12(1) The owner of it (3) When an offence is compoundable' else """
+WHOLE = {"BNS": _WHOLE.format(a="'(1)'", b="'(2)'") + PLANTED["BNS"] + " end", "BNSS": _WHOLE.format(a="'(a)'", b="'(za)'") + PLANTED["BNSS"] + " end"}
 FORM_LINE = "case when line_no % 7 = 3 then 'FORM No. ' || cast(line_no % 58 + 1 as string) else raw end"
 WORDS = """
 select l_orderkey as doc_id, cast(l_linenumber % 2 as int) as page, cast(792 as double) as page_height,

@@ -15,7 +15,7 @@ from sectionspark.operators.retrieve import merge_candidates, pins, with_intent
 from sectionspark.operators.search import NO_HIT, cosine_topk, embed_batches, similarity_percent
 from sectionspark.plans import derived as D
 from sectionspark.sources.tables import read_chunks, write_chunks
-from sectionspark.sources.workspace import new_path
+from sectionspark.sources.workspace import new_path, stored
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged candidates with question, query_used and the index's columns."""
-    return candidates(expanded(D.questions(spark, sf_dir)), _index(spark, sf_dir), D.hits(spark, sf_dir))
+    return candidates(stored(expanded(D.questions(spark, sf_dir)), "expanded"), _index(spark, sf_dir), D.hits(spark, sf_dir))
 
 
 def _top(spark: SparkSession, sf_dir: str, keep_k: int = 5) -> DataFrame:
@@ -35,7 +35,7 @@ def section_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: question, expansion and the citation of its primary pin."""
     asked, index, hits = D.questions(spark, sf_dir), _index(spark, sf_dir), D.hits(spark, sf_dir)
     pinned = pins(with_intent(asked), index, hits).where("pin = 'primary'")
-    out = expanded(asked).join(pinned, "query_id").join(index, "chunk_id")
+    out = stored(expanded(asked), "expanded").join(pinned, "query_id").join(index, "chunk_id")
     return out.select("query_id", "question", "query_used", "chunk_id", citation().alias("citation"))
 
 

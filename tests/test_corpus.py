@@ -230,3 +230,38 @@ def test_corpus_and_index_from_end_to_end(spark, tmp_path):
     index = spark.read.parquet(str(tmp_path / "index"))
     assert {(r["chunk_type"], r["n"]) for r in index.groupBy("chunk_type").agg(F.count("*").alias("n")).collect()} == {("section", 8), ("table1", 1), ("table2", 1), ("form", 1)}
     assert {len(r["embedding"]) for r in index.select("embedding").collect()} == {384}
+
+
+def walked(rows):
+    """Sections of one BNSS document by a plain walk over its lines."""
+    out, chapter, title, sub, now, after = [], None, None, None, None, False
+    for page, n, line in rows:
+        if line.startswith("CHAPTER "):
+            chapter, title, sub, now, after = line[8:], None, None, None, True
+        elif after:
+            title, after = (line.title() if line.isupper() else line), False
+        elif line.startswith("A.—"):
+            sub, now = "A — " + line[3:], None
+        elif line.startswith("Note "):
+            now = [chapter, title, sub, int(line[5:].split(".")[0]), page, n, [line]]
+            out.append(now)
+        elif now:
+            now[-1].append(line)
+    return [(*s[:-1], " ".join(s[-1])) for s in out if len(" ".join(s[-1])) > 20]
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_one_long_document(spark, monkeypatch, block):
+    """Chapters, titles and sections that reach over blocks and pages of one document."""
+    monkeypatch.setattr(C, "BLOCK_LINES", block)
+    r = random.Random(block)
+    kinds = ["CHAPTER IV", "CHAPTER X", "A.—Summons of " + "x" * 4, "OF COURTS"] + ["Note {}. (1) A thing"] * 3 + ["plain words of a law"] * 9
+    rows = [(page, n, r.choice(kinds).format(r.randint(1, 500))) for page in range(1, 41) for n in range(25 if page % 9 else 120)]
+    df = spark.createDataFrame([(7, "BNSS", *x) for x in rows], S.LINES).repartition(4)
+    got = C.section_chunks(df, C.BNSS).orderBy("pos").collect()
+    assert [(g["chapter_number"], g["chapter_title"], g["sub_part"], g["section_number"], g["page"], g["pos"]["line_no"], g["content"]) for g in got] == walked(rows)
+    scanned = C.so_far(df, {"last": F.when(F.col("raw").startswith("Note"), F.col("raw"))}, {"n": F.lit(1)}).orderBy("n").collect()
+    assert [x["n"] for x in scanned] == list(range(1, len(rows) + 1)) and [(x["page"], x["line_no"]) for x in scanned] == [x[:2] for x in rows]
+    forms = [(1, "BNSS", p, n, f"FORM No. {p}" if n == 3 and p % 2 else "a line") for p in range(1, 9) for n in range(6)]
+    got = C.form_chunks(spark.createDataFrame(forms, S.LINES)).orderBy("pos").collect()
+    assert [(g["form_number"], g["content"].count("a line")) for g in got] == [(1, 11), (3, 11), (5, 11), (7, 8)]
