@@ -35,9 +35,11 @@ def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sectionspark.llm.mixing import mix
+    from sectionspark.llm.mixing import mix, word_count
 
-    return mix(_table(spark, sf_dir, "documents"), F.array("source"), weights_5_2_1)
+    # short documents cost more, so a quota takes and repeats a source's longer ones first
+    short = (word_count(F.col("text")) < 32).cast("int")
+    return mix(_table(spark, sf_dir, "documents"), F.array("source"), weights_5_2_1, kind=short, kind_costs=(0, 0.5))
 
 
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sharding, mixing, token counts, packing: round trips and brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -78,8 +79,8 @@ def test_many_bounds(spark):
 
 
 def test_many_sources(spark):
-    """More sources than the flow takes: those that share no document need none."""
-    n = mixing.MAX_OVERLAPS + 500
+    """Every source is a part of the flow of its own."""
+    n = 20_500
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
     rows = mixing.mix(docs, F.array("source"), lambda sources: [1] * len(sources)).agg(F.count("*"), F.sum("taken"), F.min("taken"), F.max("target")).first()
     assert tuple(rows) == (n, 3 * n, 3, 3.0)
@@ -87,19 +88,44 @@ def test_many_sources(spark):
         mixing.mix(docs, F.array("source"), lambda sources: [1] * len(sources), max_passes=9)
 
 
+def test_large_flow():
+    """A connected part of many arcs; all quotas that can be met are."""
+    r = random.Random(8)
+    sources = [f"s{i}" for i in range(400)]
+    patterns = {tuple(sorted(r.sample(sources, r.randint(1, 4)))): r.randint(1, 1000) for _ in range(30_000)}
+    total = sum(patterns.values())
+    targets = {s: total / 400 for s in sources}
+    flow = mixing.min_cost_flow(patterns, targets, 3)
+    assert sum(flow.values()) == sum(round(t) for t in targets.values()) and all(0 <= flow[p] <= 3 * n for p, n in patterns.items())
+
+
+def test_kinds_are_taken_in_order_of_cost(spark):
+    """Half of the words: the long documents alone; one and a half times: all, and long ones again."""
+    rows = [(i, "w " * (40 if i % 2 else 4), "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    short = (F.length("text") < 40).cast("int")
+    for share, want in ((0.5, (0, 440)), (1.5, (80, 1240))):
+        got = mixing.mix(docs, F.array("source"), lambda s: [1], total_share=share, kind=short, kind_costs=(0, 0.5)).collect()
+        short_words, all_words = sum(r["taken"] for r in got if r["doc_id"] % 2 == 0), sum(r["taken"] for r in got)
+        assert short_words == want[0] and abs(all_words - 880 * share) <= 40
+        flat = mixing.mix(docs, F.array("source"), lambda s: [1], total_share=share).collect()
+        assert {(r["doc_id"], r["taken"]) for r in flat} != {(r["doc_id"], r["taken"]) for r in got}
+
+
 def test_targets_by_hand():
     got = mixing.capped_targets({"a": 10, "b": 100, None: 90, "e": 0}, {"a": 5, "b": 2, None: 1, "e": 5}, 200, 3)
     assert got == {"a": 30.0, "b": pytest.approx(170 * 2 / 3), None: pytest.approx(170 / 3), "e": 0.0}
 
 
-def test_flow_against_brute_force():
+@pytest.mark.parametrize("extra", [{}, {("a", "b"): 0.5}, {("a",): 2, ("b",): 0.5}])
+def test_flow_against_brute_force(extra):
     """Overlapping sources: the flow's cost is the least of all integer routings."""
     patterns, targets = {("a",): 3, ("a", "b"): 4, ("b",): 2}, {"a": 8, "b": 7}
-    flow = mixing.min_cost_flow(patterns, targets, 3)
+    flow = mixing.min_cost_flow(patterns, targets, 3, extra=extra)
     assert sum(flow.values()) == 15
 
     def cost(p, n):
-        return sum(mixing.PASS_COSTS[k] * min(patterns[p], max(0, n - k * patterns[p])) for k in range(3))
+        return sum((mixing.PASS_COSTS[k] + extra.get(p, 0)) * min(patterns[p], max(0, n - k * patterns[p])) for k in range(3))
 
     best = min(cost(("a",), x) + cost(("a", "b"), y) + cost(("b",), 15 - x - y) for x in range(10) for y in range(13) if 0 <= 15 - x - y <= 6 and x <= 8 and 15 - x - y <= 7 and x + y >= 8 and y + 15 - x - y >= 7)
     assert sum(cost(p, n) for p, n in flow.items()) == best
