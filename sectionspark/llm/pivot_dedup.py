@@ -26,6 +26,22 @@ NEAREST, SHARED = 8, 2
 #: Rows of a list that meet in one block; longer lists are dealt to pairs of blocks. Pairs
 #: that are verified at once.
 BLOCK, AT_ONCE = 1024, 1 << 16
+#: Products of rows and pivots that a task holds at once (32 MB).
+PRODUCTS = 1 << 22
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest pivots of each row, in no order; ties to the smaller number. Rows are taken
+    so few at once that PRODUCTS products are held."""
+    out = np.zeros((len(x), k), np.int64)
+    width, step = min(x.shape[1], pivots.shape[1]), max(1, PRODUCTS // max(1, len(pivots)))
+    for lo in range(0, len(x) if k else 0, step):
+        s = unit(x[lo : lo + step])[:, :width] @ pivots[:, :width].T
+        near = s >= np.partition(s, -k, axis=1)[:, -k, None]
+        tied = near.sum(1) > k
+        out[lo : lo + step][~tied] = np.nonzero(near[~tied])[1].reshape(-1, k)
+        out[lo : lo + step][tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return out
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
@@ -50,12 +66,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
     pivots = spark.sparkContext.broadcast(unit(matrix(picked["x"])) if len(picked) else np.zeros((0, 0)))  # MOST_PIVOTS rows
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pivots.value
-        k = min(NEAREST, len(p))
         for batch in batches:
-            x = matrix(batch.column(2))
-            width = min(x.shape[1], p.shape[1])
-            near = np.argsort(-(unit(x)[:, :width] @ p[:, :width].T), axis=1, kind="stable")[:, :k] if len(x) else np.zeros((0, k), np.int64)
+            near = nearest_pivots(matrix(batch.column(2)), pivots.value, min(NEAREST, len(pivots.value)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "g", "x", "near"])
 
     schema = good.withColumn("near", F.array(F.lit(0))).schema
