@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 
 from sectionspark.functions.labels import citation, context_entry
 
-# Number lists and rules of the prompt.
+# Number lists of the prompt.
 IPC_PAIRS = (
     ("302", 103), ("304", 106), ("304B", 80), ("306", 108), ("307", 109), ("308", 110), ("354", 74), ("376", 64), ("379", 303), ("392", 309),
     ("395", 310), ("406", 316), ("420", 318), ("427", 324), ("498A", 85), ("499", 356), ("120B", 61), ("124A", 152), ("153A", 196),
 )
 CRPC_PAIRS = (("41", 35), ("154", 173), ("156", 175), ("161", 180), ("164", 183), ("167", 187), ("173", 193), ("320", 359), ("437", 480), ("438", 482), ("482", 528))
+#: The answer that stands for "not in the excerpts"; a fixed value.
+NOT_ENOUGH = "The provided sections do not contain sufficient information"
 INSTRUCTIONS = (
-    "You answer questions on the BNS and the BNSS from the excerpts below. Cite act, section number and title.",
+    "You answer questions on the BNS and the BNSS, which replaced the IPC and the CrPC in 2024, from the excerpts below.",
     "Sections that replaced others (use only these):",
     "; ".join(f"IPC {a} is BNS {b}" for a, b in IPC_PAIRS),
     "; ".join(f"CrPC {a} is BNSS {b}" for a, b in CRPC_PAIRS),
-    "Never guess a section number. Describe procedures in plain English. Name whether an offence is cognizable and bailable where the excerpts say so.",
-    "Say that the sections don't hold enough information only if they have nothing to do with the question.",
+    "Rules:",
+    "1. Take the answer from the excerpts and cite act, section number and section title each time.",
+    "2. Asked what replaced a section of the IPC or the CrPC, take the new number from the list above, then describe that section by the excerpts. Never guess a section number.",
+    "3. Where the excerpts set out a procedure, explain it in plain English; that no definition is given is no reason to refuse.",
+    f'4. Say "{NOT_ENOUGH}" only if the excerpts have nothing to do with the question.',
+    "5. Be concise and exact, in plain English, with no more legal terms than needed.",
+    "6. With a punishment, tell whether the offence is cognizable or not and bailable or not, where the excerpts say so.",
 )
 
 

@@ -216,6 +216,22 @@ _NEAREST = f"""hits as (with asked as (select question, source_filter, min(query
 _ANSWERS = (_MERGED + _RANKED).replace(f"hits as ({D.in_duckdb(D.HITS, *_T)})", _NEAREST)
 _COSINE = "(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]))"
 
+# the whole prompt as it should read, written apart from the code that makes it
+_PROMPT = """You answer questions on the BNS and the BNSS, which replaced the IPC and the CrPC in 2024, from the excerpts below.
+Sections that replaced others (use only these):
+IPC 302 is BNS 103; IPC 304 is BNS 106; IPC 304B is BNS 80; IPC 306 is BNS 108; IPC 307 is BNS 109; IPC 308 is BNS 110; IPC 354 is BNS 74; IPC 376 is BNS 64; IPC 379 is BNS 303; IPC 392 is BNS 309; IPC 395 is BNS 310; IPC 406 is BNS 316; IPC 420 is BNS 318; IPC 427 is BNS 324; IPC 498A is BNS 85; IPC 499 is BNS 356; IPC 120B is BNS 61; IPC 124A is BNS 152; IPC 153A is BNS 196
+CrPC 41 is BNSS 35; CrPC 154 is BNSS 173; CrPC 156 is BNSS 175; CrPC 161 is BNSS 180; CrPC 164 is BNSS 183; CrPC 167 is BNSS 187; CrPC 173 is BNSS 193; CrPC 320 is BNSS 359; CrPC 437 is BNSS 480; CrPC 438 is BNSS 482; CrPC 482 is BNSS 528
+Rules:
+1. Take the answer from the excerpts and cite act, section number and section title each time.
+2. Asked what replaced a section of the IPC or the CrPC, take the new number from the list above, then describe that section by the excerpts. Never guess a section number.
+3. Where the excerpts set out a procedure, explain it in plain English; that no definition is given is no reason to refuse.
+4. Say "The provided sections do not contain sufficient information" only if the excerpts have nothing to do with the question.
+5. Be concise and exact, in plain English, with no more legal terms than needed.
+6. With a punishment, tell whether the offence is cognizable or not and bailable or not, where the excerpts say so.
+
+CONTEXT (retrieved legal sections):
+"""
+
 SQL = {
     "section_answers": _PINS + f" select p.query_id, x.question, x.query_used, p.chunk_id, d.citation from prim p join {_expanded('questions')} x using (query_id) join meta d using (chunk_id)",
     "expand_questions": _BASE + f", both_ as (select query_id, question from questions union all select -conv_id * 1000 - turn, text from conversations where role = 'user') select query_id, query_used from {_expanded('both_')} x",
@@ -224,7 +240,7 @@ SQL = {
     "merged_candidates": _MERGED + " select * from merged",
     "reranked_top": _TOP + " select query_id, rank, chunk_id, round(score, 6) as rerank_score from top",
     "citations": _TOP + " select query_id, citations from cited",
-    "prompts": _TOP + f" select query_id, context, {_quoted(R.FRAME[0])} || context || {_quoted(R.FRAME[1])} || question || {_quoted(R.FRAME[2])} as prompt from contexts",
+    "prompts": _TOP + f" select query_id, context, {_quoted(_PROMPT)} || context || chr(10) || chr(10) || 'QUESTION: ' || question || chr(10) || chr(10) || 'Answer based strictly on the context above. Cite section numbers.' as prompt from contexts",
     "batch_answers": _ANSWERS + f""" select query_id, null::varchar as answer, cited.citations, (select string_agg(chunk_id, ',' order by rank) from top where top.query_id = c.query_id) as chunks, c.query_used from contexts c join cited using (query_id)
       union all select query_id, {_quoted(NO_HIT)}, '', '', query_used from {_expanded('questions')} x where query_id not in (select query_id from hits)""",
     "written_index": f"""with original as ({D.in_duckdb(D.CHUNKS, *_T)}), chunks as (select * replace ({_AMENDED} as content) from original), {_META},

@@ -96,6 +96,24 @@ def test_anchored_lines(spark):
     assert {r["y"]: r["line"] for r in with_lines(df).collect()} == {10: 10, 11: 10, 12: 12, 13: 12, 2: 2}
 
 
+def test_anchored_lines_against_a_walk(spark):
+    """Random pages, words repeated, rows without a document, page or height left out."""
+    rng = random.Random(5)
+    rows = [(d, p, 792.0, rng.choice("ab"), float(rng.randrange(3)), float(rng.randrange(60, 60 + spread))) for d in range(1, 7) for p, spread in ((1, 60), (2, 200), (3, 700)) for _ in range(60)]
+    holes = [(None, 1, 792.0, "a", 1.0, 70.0), (1, None, 792.0, "a", 1.0, 70.0), (1, 1, 792.0, "a", 1.0, None)]
+    got = with_lines(spark.createDataFrame(rows + rows[:9] + holes, S.WORDS)).collect()
+    assert len(got) == len(rows) + 9
+    want = {}
+    for key in {(r["doc_id"], r["page"]) for r in got}:
+        anchor = None
+        for y in sorted({r["y"] for r in got if (r["doc_id"], r["page"]) == key}):
+            anchor = y if anchor is None or y - anchor > 1 else anchor
+            want[*key, y] = anchor
+    assert all(r["line"] == want[r["doc_id"], r["page"], r["y"]] for r in got)
+    plan = table_rows(spark.createDataFrame(rows, S.WORDS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 BASE = "chunk_id long, source_pdf string, section_number int, section_title string, content string"
 
 
