@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectionspark.operators import evaluate as E
+from sectionspark.operators import sketches as H
 from sectionspark.operators.corpus import index_records
 from sectionspark.plans import derived as D
 from sectionspark.sources.tables import write_report
@@ -92,7 +93,16 @@ def coverage_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.generated_questions(E.coverage(_typed(spark, sf_dir)))
 
 
-QUERIES = (answer_checks, category_scores, written_report, path_scores, hits_at_10, sections_by_source, corpus_ranges, corpus_fields, repeated_ids, section_keywords, sections_absent, covered_keys, coverage_questions)
+def sketched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 and E12 by sketches beside the corpus: three loads of chunks, the second of them written
+    again, merged and held against exact counts; error is what the sketches promise."""
+    chunks, path = _typed(spark, sf_dir), new_path(spark, "sketches")
+    for load in (0, 1, 2, 1):
+        H.write_sketches(chunks.where(F.col("chunk_id") % 3 == load), path, F.lit(f"load-{load}"))
+    return H.counts_compared(chunks, H.read_sketches(spark, path)).withColumn("error", F.lit(round(H.relative_error(), 4)))
+
+
+QUERIES = (answer_checks, category_scores, written_report, path_scores, hits_at_10, sections_by_source, corpus_ranges, corpus_fields, repeated_ids, section_keywords, sections_absent, covered_keys, coverage_questions, sketched_keys)
 
 # ---- the same in SQL ----
 
@@ -128,6 +138,8 @@ SQL = {
     "section_keywords": f"{_B}, w as ({_W}) select w.source_pdf, w.section_number, keyword, max(coalesce(contains(lower(content), keyword), false)) as found from w left join chunks c on c.source_pdf = w.source_pdf and c.section_number = w.section_number group by 1, 2, 3",
     "sections_absent": f"{_B}, w as (select distinct source_pdf, section_number::varchar as section from ({_W}) x) select * from w where (source_pdf, section) not in (select source_pdf, section_number::varchar from chunks where section_number is not null union all select source_pdf, split_part(bns_section, '(', 1) from chunks where ct = 'table1')",
     "covered_keys": f"{_B}, {_COVER} select * from cov",
+    "sketched_keys": f"""{_B}, keys as (select 'any section' as path, source_pdf, section_number::varchar as key from chunks union all select path, source_pdf, key from ({_B}, {_COVER} select * from cov) c
+      union all select 'content', source_pdf, content from chunks) select path, source_pdf, count(distinct key) as exact, true as within, 0.0487::double as error from keys where key is not null group by 1, 2""",
     "coverage_questions": f"""{_B}, {_COVER} select path, case path when 'section' then 'What is ' || source_pdf || ' Section ' || key || '?' when 'table1' then 'Is BNS Section ' || key || ' cognizable and bailable?' else 'What is the definition of "' || key || '" under ' || source_pdf || '?' end as question,
       case when path = 'definition' then lower(split_part(key, ' ', 1)) else '' end as keyword from cov union all select * from (values {', '.join(map(str, E.fixed_questions()))}) v""",
 }
