@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from sectionspark.functions import rules as R
 
-#: One cheap test that any rule needs: a digit or one of the words' stems.
-ANY_RULE = r"(?iU)\d|fir|ipc|crpc|bns|u\s*/\s*s|charge|challan|remand|bail|maintenance|sedition|snatching|service|organi|terror|lynching|dowry|hit|marry|rape|murder|kidnap|theft|conspiracy|stalk|voyeur|acid|traffick|panch|abscond|offender|curfew|thana|chowki|cognizable"
-#: The same for the rules on jargon.
-ANY_JARGON = "(?iU)" + "|".join(f"(?:{p})" for p, _ in R.JARGON)
 # How a section with its source, a bare section, a form and bail are named.
 SECTION_WITH_SOURCE = r"(?i)\b(BNS|BNSS)\s+(?:(?:section|sec\.?)\s+)?(\d{1,3}[A-Za-z]?)\b"
 BARE_SECTION = r"\b(?:[Ss]ection|[Ss]ec\.?)\s+(\d+[A-Za-z]?)\b"
@@ -25,26 +21,61 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+#: A question as the phrases see it: letters of any case that Java folds to ASCII, one blank for a
+#: white space and two for a run of them.
+FOLDED = ("ſıİK", "siik")
+PIECES = r"(?U)\w+|\W+"
+
+
+def phrases(q: Column) -> Column:
+    """The phrases of the rules that stand in a question between ends of words. Words that begin a
+    phrase are found first; only what follows them is joined and looked up."""
+    known, firsts = R.phrase_rules(), _first_words()
+    lengths = sorted({len(re.findall(r"\w+|\W+", p)) for rule in known for p in rule.phrases})
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.translate(q, *FOLDED)), r"(?U)\s", " "), "  +", "  ")
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), 0)
+    return F.aggregate(F.array(pieces), F.array().cast("array<string>"), lambda _, ps: F.array_intersect(_grams(ps, firsts, lengths), _words(p for rule in known for p in rule.phrases)))
+
+
+def _first_words() -> list[str]:
+    return sorted({re.match(r"\w+", p)[0] for rule in R.phrase_rules() for p in rule.phrases})
+
+
+def _grams(pieces: Column, firsts: list[str], lengths: list[int]) -> Column:
+    """Joined runs of pieces that begin with one of the words."""
+    at = F.filter(F.transform(pieces, lambda p, i: F.when(p.isin(firsts), i + 1)), lambda i: i.isNotNull())
+    return F.flatten(F.transform(at, lambda i: F.array(*[F.array_join(F.slice(pieces, i, n), "") for n in lengths])))
+
+
+def _words(values) -> Column:
+    return F.array(*map(F.lit, sorted(set(values))))
+
+
 def expansions(q: Column) -> Column:
     """Q1-Q5: the distinct additions in rule order; a back-reference rule adds one for each
-    match. White space, digits and word ends are those of Unicode."""
-    parts = [
-        *_plain(q, R.FIR), _numbered(q, "IPC", R.IPC), *_plain(q, R.cases()), _numbered(q, "CrPC", R.CRPC),
-        *_plain(q, R.ABBREVIATIONS), F.when(q.rlike(ANY_JARGON), F.array_compact(F.array(*_plain(q, R.JARGON, False)))),
-    ]
+    match. White space, digits and word ends are those of Unicode. Rules whose patterns stand for
+    a few phrases are a table that the question's phrases are looked up in; patterns are left for
+    numbers only, and tried where the question has a digit. A question with neither a digit nor a
+    word that begins a phrase is left as it is by one test."""
     none = F.array().cast("array<string>")
-    return F.when(q.rlike(ANY_RULE), F.array_distinct(F.flatten(F.array(*[F.coalesce(p, none) for p in parts])))).otherwise(none)
-
-
-def _plain(q: Column, rules: tuple, lists: bool = True) -> list[Column]:
-    """What each rule adds, as lists or as words (null where it doesn't match)."""
-    out = []
-    for pattern, words in rules:
-        if "{1}" in words:
-            out.append(F.transform(F.regexp_extract_all(q, F.lit(f"(?iU){pattern}"), 1), _after(F.lit(words.replace("{1}", "")))))
-        else:
-            out.append(F.when(q.rlike(f"(?iU){pattern}"), F.array(F.lit(words)) if lists else F.lit(words)))
-    return out
+    digit = q.rlike(r"(?U)\d")
+    begun = q.rlike(rf"(?iU)\d|\b(?:{'|'.join(_first_words())})\b")
+
+    def all_of(found: Column) -> Column:
+        parts = []
+        for kind, group in R.groups():
+            if kind == "phrases":
+                table = F.array(*[F.struct(_words(rule.phrases).alias("phrases"), F.lit(rule.words).alias("words")) for rule in group])
+                part = F.when(F.size(found) > 0, F.transform(F.filter(table, lambda r: F.arrays_overlap(r["phrases"], found)), lambda r: r["words"]))
+            elif kind == "numbered":
+                part = F.when(digit, _numbered(q, *group))
+            else:
+                part = F.when(digit, F.transform(F.regexp_extract_all(q, F.lit(f"(?iU){group[0]}"), 1), _after(F.lit(group[1].replace("{1}", "")))))
+            parts.append(F.coalesce(part, none))
+        return F.array_distinct(F.flatten(F.array(*parts)))
+
+    made = F.aggregate(F.array(phrases(q)), none, lambda _, found: F.when(digit | (F.size(found) > 0), all_of(found)).otherwise(none))
+    return F.when(begun, made).otherwise(none)
 
 
 def _after(lead: Column):

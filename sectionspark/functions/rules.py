@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+from typing import NamedTuple
+
 # Sections of the old codes and the words that stand for their successors.
 IPC = (
     ("302", "BNS Section 103 murder"), ("304[Bb]", "BNS Section 80 dowry death"),
@@ -114,3 +118,70 @@ RULES: tuple[tuple[str, str], ...] = (
     *FIR, *((_code("IPC", n), words) for n, words in IPC), *cases(),
     *((_code("CrPC", n), words) for n, words in CRPC), *ABBREVIATIONS, *JARGON,
 )
+
+
+class PhraseRule(NamedTuple):
+    phrases: tuple[str, ...]
+    words: str
+
+
+#: What the parts of a pattern without numbers stand for, in folded text (one blank for a white
+#: space, two for more).
+_GAPS = {r"\b": ("",), r"\s+": (" ", "  "), r"\s*": ("", " ", "  "), r"[\s-]": (" ", "-")}
+_PART = re.compile(r"\\b|\\s[+*]|\[\\s-\]|\[(?P<one>\w)\w?\]|\(\?:(?P<ways>(?:[^()]|\(\?:[^()]*\))*)\)|(?P<letter>[\w/-])")
+
+
+def spelled(pattern: str) -> tuple[str, ...] | None:
+    """All phrases that a pattern stands for, or None if they are not a few."""
+    at, parts = 0, []
+    while at < len(pattern):
+        part = _PART.match(pattern, at)
+        if part is None:
+            return None
+        at = part.end()
+        if part["ways"] is not None:
+            ways = [spelled(way) for way in _alternatives(part["ways"])]
+            if None in ways:
+                return None
+            options = tuple(p for way in ways for p in way)
+        else:
+            options = _GAPS.get(part[0]) or ((part["one"] or part["letter"]).lower(),)
+        if pattern.startswith("?", at):
+            at, options = at + 1, ("", *options)
+        parts.append(options)
+    return tuple(dict.fromkeys("".join(p) for p in product(*parts)))
+
+
+def _alternatives(ways: str) -> list[str]:
+    """Cut at the bars that stand in no inner group."""
+    out, depth = [""], 0
+    for c in ways:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def groups() -> list[tuple[str, tuple]]:
+    """The rules in order: runs of rules that are phrases, tables of numbers after a code, and
+    patterns that add each number found."""
+    out: list[tuple[str, tuple]] = []
+    for block in (FIR, ("numbered", "IPC", IPC), cases(), ("numbered", "CrPC", CRPC), ABBREVIATIONS, JARGON):
+        if block[0] == "numbered":
+            out.append(("numbered", block[1:]))
+            continue
+        for pattern, words in block:
+            known = None if "{1}" in words else spelled(pattern)
+            if known is None:
+                out.append(("each number", (pattern, words)))
+            elif out and out[-1][0] == "phrases":
+                out[-1] = ("phrases", (*out[-1][1], PhraseRule(known, words)))
+            else:
+                out.append(("phrases", (PhraseRule(known, words),)))
+    return out
+
+
+def phrase_rules() -> tuple[PhraseRule, ...]:
+    return tuple(rule for kind, group in groups() if kind == "phrases" for rule in group)

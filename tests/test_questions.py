@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sectionspark.functions import questions as Q
-from sectionspark.functions.rules import RULES
+from sectionspark.functions.rules import RULES, phrase_rules, spelled
 from sectionspark.operators.retrieve import with_intent
 
 EXPANDED = [
@@ -64,6 +64,28 @@ def test_same_as_a_plain_loop(expand, many):
     assert expand(asked) == [_plain(q) for q in asked]
 
 
+WORDS = ["charge", "sheet", "chargesheet", "ſheet", "gang", "rape", "hit", "and", "run", "non", "cognizable", "u", "s", "us302", "302", "booked", "under", "section", "accused", "of", "498a", "420", "case", "zero", "e", "fir", "eFIR", "false", "promise", "to", "marry", "organised", "organızed", "crime", "terrorist", "proclaimed", "offender", "BNS", "bnss", "dhara", "IPC", "S", "_", "é", "144"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from([" ", " ", "  ", "-", "/", " / ", "\n", "\t \u00a0", ". ", "", ", "])), max_size=9), min_size=20, max_size=60))
+def test_phrases_same_as_a_plain_loop(expand, many):
+    asked = ["".join(w + gap for w, gap in one) for one in many]
+    assert expand(asked) == [_plain(q) for q in asked]
+
+
+def test_every_phrase_of_a_rule_is_found_by_its_pattern(expand):
+    rules = phrase_rules()
+    asked = [p for rule in rules for p in rule.phrases]
+    assert len(rules) > 50 and expand(asked) == [_plain(q) for q in asked]
+    assert expand([f"x{p}x" for p in asked]) == [_plain(f"x{p}x") for p in asked]
+
+
+def test_patterns_that_are_no_few_phrases():
+    assert spelled(r"\bsec\.?\s+(\d+)\b") is None and spelled(r"\b(?:a|b[^\n]*)\b") is None
+    assert spelled(r"\b(?:ab|c\s+(?:d\s+)?e)\b") == ("ab", "c e", "c d e", "c d  e", "c  e", "c  d e", "c  d  e")
+
+
 def test_intents(spark):
     asked = ["What is BNS 103?", "What is BNSS 173?", "What is section 302?", "What is section 498A?", "What is BNSS sec 173?", "SECTION 302", "form 7", "Is BNS Section 103 cognizable and bailable?", "Is murder bailable under BNS?", "section 304B", None]
     rows = with_intent(spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")).orderBy("query_id").collect()
