@@ -105,26 +105,27 @@ def _number(c: Column) -> Column:
     return F.translate(F.regexp_extract(c, r"(?U)^(\d+)", 1), "०१२३४५६७८९", "0123456789").try_cast("int")
 
 
-def section_source(q: Column) -> Column:
-    """Q7: BNS or BNSS if a section is named with its source, else null."""
-    return F.upper(F.nullif(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 1), F.lit("")))
+def named_sections(q: Column) -> Column:
+    """What Q7-Q9 rest on, read once: the source named with a section (upper case, else null) and
+    the number, of that section or else of a bare one (Q8, case-sensitive), without a trailing
+    letter."""
+    source = F.upper(F.nullif(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 1), F.lit("")))
+    number = F.coalesce(_number(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 2)), _number(F.regexp_extract(q, _unicode(BARE_SECTION), 1)))
+    return F.struct(source.alias("section_source"), number.alias("section_number"))
 
 
-def section_number(q: Column) -> Column:
-    """Q7, else Q8 (case-sensitive): the number without a trailing letter."""
-    return F.coalesce(_number(F.regexp_extract(q, _unicode(SECTION_WITH_SOURCE), 2)), _number(F.regexp_extract(q, _unicode(BARE_SECTION), 1)))
+def section_sources() -> Column:
+    """Q7/Q8, beside section_source and section_number: the named source, or both for a bare number."""
+    named = F.when(F.col("section_source").isNotNull(), F.array("section_source"))
+    return named.when(F.col("section_number").isNotNull(), F.array(F.lit("BNS"), F.lit("BNSS")))
 
 
-def section_sources(q: Column) -> Column:
-    """Q7/Q8: the named source, or both for a bare number."""
-    return F.when(section_source(q).isNotNull(), F.array(section_source(q))).when(section_number(q).isNotNull(), F.array(F.lit("BNS"), F.lit("BNSS")))
-
-
-def famous_section(q: Column) -> Column:
-    """Q9: the section that a bare old number most likely means, null if none or the same."""
+def famous_section() -> Column:
+    """Q9, beside the same: the section that a bare old number most likely means, null if none or
+    the same."""
     table = F.create_map(*[F.lit(v) for pair in R.FAMOUS.items() for v in pair])
-    mapped = F.try_element_at(table, section_number(q))
-    return F.when(section_source(q).isNull() & (mapped != section_number(q)), mapped)
+    mapped = F.try_element_at(table, F.col("section_number"))
+    return F.when(F.col("section_source").isNull() & (mapped != F.col("section_number")), mapped)
 
 
 def bail_intent(q: Column) -> Column:

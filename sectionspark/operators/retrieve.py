@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionspark.functions import questions as Q
+from sectionspark.sources.workspace import stored
 
 
 def with_intent(questions: DataFrame) -> DataFrame:
-    """Q6-Q10 as columns beside query_id and question."""
+    """Q6-Q10 as columns beside query_id and question. What a pattern finds is a column before
+    others use it, so no pattern is copied into each of them."""
     q = F.col("question")
-    return questions.withColumns({
-        "form_number": Q.form_number(q), "section_source": Q.section_source(q), "section_number": Q.section_number(q),
-        "sources": Q.section_sources(q), "famous": Q.famous_section(q), "bail": Q.bail_intent(q),
-    })
+    read = questions.withColumns({"form_number": Q.form_number(q), "bail": Q.bail_intent(q), "_named": Q.named_sections(q)})
+    named = read.select("*", "_named.*").drop("_named")
+    return named.withColumns({"sources": Q.section_sources(), "famous": Q.famous_section()})
 
 
 def pins(asked: DataFrame, index: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, chunk_id, pin (primary, secondary, table2), ord. asked: the columns
     of with_intent; index: flat metadata; hits: query_id, chunk_id. Only questions with hits
     are pinned; look-ups ignore a source filter. The index is first reduced to the first chunk
-    of each key, so a popular section is one row on that side of the join."""
-    asked = asked.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    of each key, so a popular section is one row on that side of the join. Intents are written
+    once and read by each kind of look-up."""
+    needed = asked.select("query_id", "form_number", "section_number", "sources", "famous", "bail")
+    asked = stored(needed.join(hits.select("query_id").distinct(), "query_id", "left_semi"), "intents")
     sections = index.where("chunk_type = 'section'").groupBy("source_pdf", "section_number").agg(F.min("chunk_id").alias("chunk_id"))
     forms = index.where("chunk_type = 'form'").groupBy("form_number").agg(F.min("chunk_id").alias("chunk_id"))
     form_pins = asked.join(forms, "form_number").select("query_id", "chunk_id")
