@@ -29,14 +29,25 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-                trim(0)
+            _give_back()
 
     return tidied
 
 
+def forget(known: dict) -> None:
+    """Empties ``known``, what a worker keeps over its tasks, and gives the memory back at once."""
+    if known:
+        known.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 @dataclass
 class Chunk:
     """Rows lo..hi of a batch: their bytes end to end; row i is data[starts[i]:starts[i + 1]]."""

@@ -23,16 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sectionspark.llm.known_words import KnownWords, PieceEncoder, cuts, list_sums
 from sectionspark.llm.scratch import bound_batches
-from sectionspark.llm.textbatch import tidy
+from sectionspark.llm.textbatch import forget, tidy
 
 #: Bytes of text that a file takes, about; tokens of a segment, if its last document ends there.
 FILE_BYTES, SEGMENT_TOKENS = 32 << 20, 1 << 18
+#: Words, and pieces of words, that a worker remembers at most, about.
+MAX_WORDS = 600_000
 #: Marks that an entry of the rank directory counts.
 RANK = 512
 MAGIC = b"DACTOK01"
-#: Words, and letters in them, that a worker remembers at most; then it starts anew.
-MAX_WORDS, MAX_LETTERS = 1_000_000, 16_000_000
 
 # The tokenizer's own split pattern, for texts whose letters and digits are those
 # named here; what else is in a text goes to the library in words between spaces.
@@ -52,42 +53,6 @@ def space_words(text: str) -> list[str]:
     return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
 
 
-class _Known(dict):
-    """Numbers keys as they are met; ``new`` has those met for the first time."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        self.new.append(key)
-        at = self[key] = len(self)
-        return at
-
-
-class _Table:
-    """Ids of the keys met so far, end to end."""
-
-    def __init__(self):
-        self.at, self.ids, self.letters = _Known(), np.zeros(0, np.uint32), 0
-        self.starts = self.sizes = np.zeros(0, np.int64)
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat])
-        self.letters += sum(map(len, self.at.new))
-        self.at.new = []
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of keys, end to end, and how many each has."""
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(at) else 0)], sizes
-
-    def full(self) -> bool:
-        return len(self.at) > MAX_WORDS or self.letters > MAX_LETTERS
-
-
 class _Vocabulary:
     """What one worker knows of a tokenizer."""
 
@@ -95,51 +60,28 @@ class _Vocabulary:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(file)
-        self.words, self.pieces = _Table(), _Table()
-        whole = self.library.encode(PROBE, add_special_tokens=False).ids
-        if whole != list(chain.from_iterable(self.encoded(PIECES.findall(PROBE)))):
+        library = Tokenizer.from_file(file)
+        self.encode = PieceEncoder(library, OTHER)
+        self.words, self.pieces = KnownWords(self._learn, 1), KnownWords(self.encode, 1)
+        if library.encode(PROBE, add_special_tokens=False).ids != self.encode(PIECES.findall(PROBE))[0][0].tolist():
             raise ValueError(f"{file} doesn't cut texts as PIECES does")
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_pieces(self) -> None:
-        got = self.encoded(self.pieces.at.new)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.pieces.add(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
-
-    def _learn_words(self) -> None:
-        if self.pieces.full():
-            self.pieces = _Table()
+    def _learn(self, words: list) -> list[tuple[np.ndarray, np.ndarray]]:
         # the first word of a text comes in a tuple and has no space before it
-        texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in self.words.at.new]
-        at, n = _numbered([[t] if OTHER.search(t) else PIECES.findall(t) for t in texts], self.pieces.at)
-        if self.pieces.at.new:
-            self._learn_pieces()
-        self.words.add(*_summed(*self.pieces.take(at), n))
+        texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in words]
+        plain = self.encode.is_plain(texts).tolist()
+        cut = [[t] if not p or t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else PIECES.findall(t) for t, p in zip(texts, plain)]
+        at, n = self.pieces.numbers(cut, MAX_WORDS)
+        flat, sizes = self.pieces.lists[0].take(at)
+        return [(flat, list_sums(sizes, n))]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.words.full():
-            self.words = _Table()
         split = [space_words(t) for t in texts]
         for s in split:
             s[0] = (s[0],)
-        at, n = _numbered(split, self.words.at)
-        if self.words.at.new:
-            self._learn_words()
-        return _summed(*self.words.take(at), n)
-
-
-def _numbered(split: list[list], known: _Known) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all keys, end to end, and how many each list has."""
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum())), n
-
-
-def _summed(flat: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same ids with sizes of whole lists of n keys."""
-    return flat, np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])])
+        at, n = self.words.numbers(split, MAX_WORDS)
+        flat, sizes = self.words.lists[0].take(at)
+        return flat, list_sums(sizes, n)
 
 
 _loaded: dict[str, _Vocabulary] = {}
@@ -149,8 +91,8 @@ class ByteTokenizer:
     """Ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, as it gives
     them without special tokens added.
 
-    The library encodes each distinct piece once in a worker: texts are cut at spaces, words
-    that are new into pieces of the split pattern, and pieces that are new go to the library.
+    Texts are cut at spaces and their words looked up among those that the worker remembers;
+    new ones are cut into pieces of the split pattern, which go to the library.
     """
 
     def __init__(self, file: str):
@@ -282,19 +224,20 @@ def write_token_files(docs: DataFrame, tokenizer: Callable, path: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["segment"])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            flat, counts = tokenizer(texts)
-            ends = np.cumsum(counts)
-            for doc_id, lo, hi in zip(batch.column(0).to_pylist(), ends - counts, ends):
-                got.append(flat[lo:hi])
-                if end_id is not None:
-                    got.append(np.array([end_id], np.uint32))
-                ids.append(doc_id)
-                sizes.append(int(hi - lo) + (end_id is not None))
-                held += sizes[-1]
-                if held >= SEGMENT_TOKENS:
-                    yield segment()
-                    n, held, ids, sizes, got = n + 1, 0, [], [], []
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in cuts(texts):
+                flat, counts = tokenizer(texts[first:last])
+                ends = np.cumsum(counts)
+                for doc_id, lo, hi in zip(doc_ids[first:last], ends - counts, ends):
+                    got.append(flat[lo:hi])
+                    if end_id is not None:
+                        got.append(np.array([end_id], np.uint32))
+                    ids.append(doc_id)
+                    sizes.append(int(hi - lo) + (end_id is not None))
+                    held += sizes[-1]
+                    if held >= SEGMENT_TOKENS:
+                        yield segment()
+                        n, held, ids, sizes, got = n + 1, 0, [], [], []
         if ids:
             yield segment()
 
@@ -303,6 +246,7 @@ def write_token_files(docs: DataFrame, tokenizer: Callable, path: str, end_id: i
     blobs.select(F.col("segment").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/tokens")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(_loaded)  # what this worker learned of the tokenizer, which no later step needs
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 found = [(s.file_no, s.n_tokens, s.n_docs) for s in segments(memoryview(content.as_buffer()).cast("B"))]
@@ -327,6 +271,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     n_tokens, ids (unsigned 32-bit, little-endian, end to end)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(_loaded)
         for batch in batches:
             for content in batch.column("content"):
                 start = 0

@@ -1,0 +1,52 @@
+"""What a worker remembers of the words it met stays bounded, and ids stay those of the library."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+from sectionspark.llm import known_words
+from sectionspark.llm import token_files as T
+
+
+def texts(n, seed=3):
+    """Frequent words among ones that come once."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abdeéñß") for _ in range(9))
+    common = [word() for _ in range(40)]
+    return [" ".join(r.choice(common) if i % 4 else word() + r.choice([",", ".", ""]) for i in range(60)) for _ in range(n)]
+
+
+def test_token_files_forget(monkeypatch):
+    """Met without end, words that come once don't stay, whatever their number."""
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(file), T.ByteTokenizer(file)
+    monkeypatch.setattr(T, "MAX_WORDS", 1500)
+    T._loaded.clear()
+    rows = texts(400)
+    for lo in range(0, len(rows), 20):
+        flat, sizes = encode(rows[lo : lo + 20])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in rows[lo : lo + 20]]
+        known = T._loaded[file]
+        assert max(len(known.words), len(known.pieces)) <= 1500 + 20 * 60
+    common = {w for t in rows[:50] for w in t.split(" ")} & {w for t in rows[-50:] for w in t.split(" ")}
+    assert len(common) == 40 and common <= set(known.words)  # the frequent ones outlast each thinning
+    T._loaded.clear()
+
+
+def test_long_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(known_words, "MAX_LETTERS", 1000)
+    known = known_words.KnownWords(lambda new: [(np.arange(len(new)), np.ones(len(new), np.int64))], 1)
+    for i in range(20):
+        at, n = known.numbers([["a", f"{i}" * 500, ("b",)], []], 100)
+        assert n.tolist() == [3, 0] and known.letters <= 2100
+        assert len(known.lists[0].take(at)[0]) == 3
+    assert {"a", ("b",)} <= set(known)
+
+
+def test_cuts():
+    assert known_words.cuts([]) == []
+    assert known_words.cuts(["a" * 4, "", "b" * 9, "c"], 5) == [(0, 2), (2, 4)]
+    assert known_words.cuts(["a" * 100, "b"], 5)[-1][1] == 2
+
