@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 from math import erf
 from zlib import crc32
 
@@ -20,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionspark.llm.histogram_sort import LOWEST, MAX_CELLS, cell_of, find_splitters
+from sectionspark.llm.known_words import KnownWords, PieceEncoder, cuts, list_sums
 from sectionspark.llm.scratch import bound_batches, stored
-from sectionspark.llm.textbatch import tidy
+from sectionspark.llm.textbatch import forget, tidy
 
 #: Hash buckets of a document vector, dimensions after projection, bits for each of them.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
-#: Pieces whose ids a worker keeps at most; then it starts anew.
+#: Pieces that a worker remembers at most, about.
 MAX_WORDS = 400_000
-#: Words handled at once, and tokens that one sorted cell holds, about.
-MOST_AT_ONCE, CELL_TOKENS = 250_000, 1 << 20
+#: Tokens that one sorted cell holds, about.
+CELL_TOKENS = 1 << 20
 
 
 # The split pattern of the tokenizer file; the class of letters is that of the
@@ -42,55 +42,37 @@ PROBE = "It's  WE'LL x9 12,345 (a-b)\n\nÉtude naïve: ßtraße!? they'd--go"
 _loaded: dict[str, _Vocabulary] = {}
 
 
-class _Index(dict):
-    """Numbers pieces as they are met; ``new`` has those that were met for the first time."""
-
-    def __init__(self):
-        super().__init__({"": 0})  # stands for the end of a text
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        at = self[piece] = len(self)
-        return at
-
-
 class _Vocabulary:
-    """What one worker knows of a tokenizer: ids of the pieces met so far, end to end."""
+    """What one worker knows of a tokenizer: ids and hash buckets of the pieces met so far."""
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(file)
-        encode = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        if encode(PROBE) != [i for w in PIECES.findall(PROBE.lower()) for i in encode(w)]:
+        library = Tokenizer.from_file(file)
+        self.encode = PieceEncoder(library, UNSAFE)
+        if library.encode(PROBE, add_special_tokens=False).ids != self.encode(PIECES.findall(PROBE.lower()))[0][0].tolist():
             raise ValueError(f"{file} doesn't cut texts as PIECES does")
         self.axes = np.random.default_rng(3).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
-        self.clear()
+        self.pieces = KnownWords(self._learn, 2)
 
-    def clear(self) -> None:
-        self.index = _Index()
-        self.ids = np.zeros(1, np.uint32)
-        self.starts, self.sizes, self.bucket = (np.array([v], np.int64) for v in (0, 1, 0))
+    def _learn(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        buckets = np.fromiter((crc32(p.encode()) % BUCKETS for p in pieces), np.int64, len(pieces))
+        return [*self.encode(pieces), (buckets, np.ones(len(pieces), np.int64))]
 
-    def learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, flat])
-        self.bucket = np.concatenate([self.bucket, np.fromiter((crc32(w.encode()) % BUCKETS for w in new), np.int64, len(new))])
+    def cut(self, text: str) -> list[str]:
+        if not UNSAFE.search(text):
+            return PIECES.findall(text.lower())
+        words = (w.decode() for w in text.encode().split())
+        return [p for w in words for p in ([w] if UNSAFE.search(w) else PIECES.findall(w.lower()))]
 
 
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file that folds case and whose pieces are those
     of PIECES and never cross white space.
 
-    Such a text's ids are those of its pieces, end to end, so the library encodes each
-    distinct piece once in a worker.
+    Such a text's ids are those of its pieces, end to end. They are looked up among those that
+    the worker remembers; new ones go to the library.
     """
 
     def __init__(self, file: str):
@@ -102,29 +84,14 @@ class WordTokenizer:
         if self.file not in _loaded:
             _loaded[self.file] = _Vocabulary(self.file)
         v = _loaded[self.file]
-        split = [t.encode().split() if UNSAFE.search(t) else PIECES.findall(t.lower()) for t in texts]
-        split = [[w.decode() for w in s] if s and isinstance(s[0], bytes) else s for s in split]
-        pieces: list[str] = []
-        for s in split:
-            pieces += s
-            pieces.append("")
-        if len(v.index) > MAX_WORDS:
-            v.clear()
-        at = np.fromiter(map(v.index.__getitem__, pieces), np.int64, len(pieces))
-        if v.index.new:
-            v.learn()
-        v.ids[0] = end_id
-        n = np.fromiter(map(len, split), np.int64, len(split)) + 1
-        size = v.sizes[at]
-        ends = np.cumsum(size)
-        out = v.ids[np.repeat(v.starts[at] - ends + size, size) + np.arange(ends[-1] if len(at) else 0)]
-        first = np.cumsum(n) - n
-        n_ids = np.add.reduceat(size, first) if len(n) else n
+        at, n = v.pieces.numbers([v.cut(t) for t in texts], MAX_WORDS)
+        ids, sizes = v.pieces.lists[0].take(at)
+        n_ids = list_sums(sizes, n)
+        out = np.insert(ids, np.cumsum(n_ids), end_id)
         row = np.repeat(np.arange(len(texts)) * BUCKETS, n)
-        bag = np.bincount(row + v.bucket[at], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-        bag[:, 0] -= 1  # the end of the text is no word
+        bag = np.bincount(row + v.pieces.lists[1].flat[at], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
         bag = np.log1p(bag).astype(np.float32)
-        return out, n_ids, (bag / np.maximum(np.linalg.norm(bag, axis=1, keepdims=True), 1e-9)) @ v.axes
+        return out, n_ids + 1, (bag / np.maximum(np.linalg.norm(bag, axis=1, keepdims=True), 1e-9)) @ v.axes
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -182,10 +149,7 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.cumsum([len(t) for t in texts]) // (4 * MOST_AT_ONCE)
-            for lo, hi in zip(cuts := np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [len(texts)]]), cuts[1:]):
-                if lo == hi:
-                    continue
+            for lo, hi in cuts(texts):
                 ids, n, vectors = tokenizer(texts[lo:hi], end_id)
                 raw = ids.astype("<u2").tobytes() if len(ids) and ids.max() < 1 << 16 else ids.astype("<u4").tobytes()
                 wide = len(raw) // max(1, len(ids))
@@ -202,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: WordTokenizer, length: int = 2048, end_id:
     dealt = rows.withColumn("cell", cell_of(F.col("k1"), F.col("k2"), cut.bounds)).repartition("cell").sortWithinPartitions("cell", "k1", "k2")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _loaded.clear()  # what this worker learned of the tokenizer, which no later step needs
+        forget(_loaded)  # what this worker learned of the tokenizer, which no later step needs
         cell, at = None, 0
         for batch in batches:
             got: list[tuple] = []

@@ -50,3 +50,22 @@ def test_cuts():
     assert known_words.cuts(["a" * 4, "", "b" * 9, "c"], 5) == [(0, 2), (2, 4)]
     assert known_words.cuts(["a" * 100, "b"], 5)[-1][1] == 2
 
+
+
+def test_packing_forgets(monkeypatch):
+    """The same for the pieces of packing, also in texts that are cut at white space."""
+    from sectionspark.llm import packing as P
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, encode = Tokenizer.from_file(file), P.WordTokenizer(file)
+    monkeypatch.setattr(P, "MAX_WORDS", 1500)
+    P._loaded.clear()
+    rows = [t.title() + (" 日本 It's" if i % 5 == 0 else "") for i, t in enumerate(texts(400))]
+    for lo in range(0, len(rows), 20):
+        flat, sizes, _ = encode(rows[lo : lo + 20], 1)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in rows[lo : lo + 20]]
+        assert len(P._loaded[file].pieces) <= 1500 + 20 * 60
+    common = {w for t in rows[:50] for w in P.PIECES.findall(t.lower())} & {w for t in rows[-50:] for w in P.PIECES.findall(t.lower())}
+    assert len(common) >= 40 and common <= set(P._loaded[file].pieces)
+    P._loaded.clear()
