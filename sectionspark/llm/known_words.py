@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -12,7 +12,7 @@ import numpy as np
 #: word that outlasts a thinning.
 MAX_LETTERS, LONG = 8_000_000, 64
 #: Letters that go through a tokenizer at once; a longer text goes alone.
-LETTERS_AT_ONCE = 1_000_000
+LETTERS_AT_ONCE = 250_000
 
 
 def cuts(texts: list[str], limit: int | None = None) -> list[tuple[int, int]]:
@@ -22,15 +22,24 @@ def cuts(texts: list[str], limit: int | None = None) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
+def _room(numbers: np.ndarray, n: int) -> np.ndarray:
+    """With room for n numbers: seldom copied, as it grows by a quarter at least."""
+    return numbers if n <= len(numbers) else np.concatenate([numbers, np.zeros(max(n, len(numbers) * 5 // 4) - len(numbers), numbers.dtype)])
+
+
 class Lists:
     """Lists of numbers, end to end."""
 
     def __init__(self):
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.n = self.end = 0
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat.astype(np.uint32)])
+        n, end = self.n + len(sizes), self.end + len(flat)
+        self.flat, self.starts, self.sizes = _room(self.flat, end), _room(self.starts, n), _room(self.sizes, n)
+        self.flat[self.end : end], self.sizes[self.n : n] = flat, sizes
+        self.starts[self.n : n] = self.end + np.cumsum(sizes) - sizes
+        self.n, self.end = n, end
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of lists, end to end, and how many each has."""
@@ -39,8 +48,9 @@ class Lists:
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(at) else 0)], sizes
 
     def keep(self, at: np.ndarray) -> None:
-        self.flat, self.sizes = self.take(at)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat, sizes = self.take(at)
+        self.n = self.end = 0
+        self.add(flat, sizes)
 
 
 class KnownWords(dict):
@@ -69,29 +79,32 @@ class KnownWords(dict):
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
         if self.new:
             new, self.new = self.new, []
-            self.letters += sum(_letters(new))
+            self.letters += _all_letters(new)
             for known, got in zip(self.lists, self.learn(new)):
                 known.add(*got)
-        times = np.bincount(at, minlength=len(self))
-        times[: len(self.times)] += self.times
-        self.times = times
+        self.times = _room(self.times, len(self))
+        self.times[: len(self)] += np.bincount(at, minlength=len(self))
         return at, n
 
     def _thin(self, n: int) -> None:
         words = list(self)
-        stay = np.sort(np.argsort(-self.times, kind="stable")[:n])
+        stay = np.sort(np.argsort(-self.times[: len(self)], kind="stable")[:n])
         stay = stay[np.array(_letters(words))[stay] <= LONG]
         for known in self.lists:
             known.keep(stay)
         self.clear()
         self.update((words[i], k) for k, i in enumerate(stay.tolist()))
-        self.letters, self.times = sum(_letters(list(self))), np.zeros(0, np.int64)
+        self.letters, self.times = _all_letters(list(self)), np.zeros(0, np.int64)
 
 
 def _letters(words: list) -> list[int]:
     return [len(w) if type(w) is str else len(w[0]) for w in words]
 
 
+def _all_letters(words: list) -> int:
+    return sum(map(len, words)) + sum(len(w[0]) - 1 for w in words if type(w) is not str)
+
+
 def list_sums(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of the sizes of lists of n."""
     return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])])
@@ -120,13 +133,12 @@ class PieceEncoder:
     def __call__(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of all pieces end to end, and how many each has: one list for KnownWords."""
         plain = self.is_plain(pieces)
-        got: list = [None] * len(pieces)
-        at = np.flatnonzero(plain).tolist()
-        if at:
-            for i, p in zip(at, "\0".join([pieces[i] for i in at]).translate(self.spelled).split("\0")):  # plain pieces hold no zero
-                got[i] = [t.id for t in self.tokenize(p)]
-        rest = np.flatnonzero(~plain).tolist()
-        for i, e in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            got[i] = e.ids
+        spelled = "\0".join(compress(pieces, plain.tolist())).translate(self.spelled).split("\0") if plain.any() else []  # plain pieces hold no zero
+        got = [[t.id for t in self.tokenize(p)] for p in spelled]
+        if len(got) < len(pieces):
+            rest = compress(pieces, (~plain).tolist())
+            other = (e.ids for e in self.library.encode_batch_fast(list(rest), add_special_tokens=False))
+            known = iter(got)
+            got = [next(known) if p else next(other) for p in plain.tolist()]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return [(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)]

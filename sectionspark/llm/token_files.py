@@ -15,7 +15,6 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from sectionspark.llm.textbatch import forget, tidy
 
 #: Bytes of text that a file takes, about; tokens of a segment, if its last document ends there.
 FILE_BYTES, SEGMENT_TOKENS = 32 << 20, 1 << 18
-#: Words, and pieces of words, that a worker remembers at most, about.
+#: Pieces that a worker remembers at most, about.
 MAX_WORDS = 600_000
 #: Marks that an entry of the rank directory counts.
 RANK = 512
@@ -62,25 +61,25 @@ class _Vocabulary:
 
         library = Tokenizer.from_file(file)
         self.encode = PieceEncoder(library, OTHER)
-        self.words, self.pieces = KnownWords(self._learn, 1), KnownWords(self.encode, 1)
+        self.pieces = KnownWords(self.encode, 1)
         if library.encode(PROBE, add_special_tokens=False).ids != self.encode(PIECES.findall(PROBE))[0][0].tolist():
             raise ValueError(f"{file} doesn't cut texts as PIECES does")
 
-    def _learn(self, words: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        # the first word of a text comes in a tuple and has no space before it
-        texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in words]
-        plain = self.encode.is_plain(texts).tolist()
-        cut = [[t] if not p or t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else PIECES.findall(t) for t, p in zip(texts, plain)]
-        at, n = self.pieces.numbers(cut, MAX_WORDS)
-        flat, sizes = self.pieces.lists[0].take(at)
-        return [(flat, list_sums(sizes, n))]
+    def cut(self, text: str) -> list[str]:
+        if not OTHER.search(text):
+            return PIECES.findall(text)
+        first, *words = space_words(text)  # each but the first with its space
+        words = [first, *(f" {w}" for w in words)]
+        return [p for w in words for p in ([w] if OTHER.search(w) else PIECES.findall(w))]
+
+    @property
+    def words(self) -> set[str]:
+        """The pieces remembered, without the space before them."""
+        return {p.removeprefix(" ") for p in self.pieces}
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [space_words(t) for t in texts]
-        for s in split:
-            s[0] = (s[0],)
-        at, n = self.words.numbers(split, MAX_WORDS)
-        flat, sizes = self.words.lists[0].take(at)
+        at, n = self.pieces.numbers([self.cut(t) for t in texts], MAX_WORDS)
+        flat, sizes = self.pieces.lists[0].take(at)
         return flat, list_sums(sizes, n)
 
 
@@ -91,8 +90,9 @@ class ByteTokenizer:
     """Ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, as it gives
     them without special tokens added.
 
-    Texts are cut at spaces and their words looked up among those that the worker remembers;
-    new ones are cut into pieces of the split pattern, which go to the library.
+    Texts are cut into pieces of the split pattern, which are looked up among those that the
+    worker remembers; new ones go to the library. Texts with other characters than the pattern
+    knows are cut at spaces first, and their words with such characters are pieces of their own.
     """
 
     def __init__(self, file: str):

@@ -69,3 +69,42 @@ def test_packing_forgets(monkeypatch):
     common = {w for t in rows[:50] for w in P.PIECES.findall(t.lower())} & {w for t in rows[-50:] for w in P.PIECES.findall(t.lower())}
     assert len(common) >= 40 and common <= set(P._loaded[file].pieces)
     P._loaded.clear()
+
+
+def test_words_are_remembered_without_what_stands_beside_them():
+    """A word met with other punctuation is no new word: one entry, not one for each neighbour."""
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(file), T.ByteTokenizer(file)
+    T._loaded.clear()
+    r = random.Random(5)
+    some = list({"".join(r.choice("abcdeéñß") for _ in range(8)) for _ in range(300)})
+    rows = ["x " + " ".join(w + end for w in some) for end in ("", ",", ".", "!?", ":\n", ")")] + ["x  日本 " + " ".join(some) + "  \n y ", "", " ", "a  b\n c"]
+    flat, sizes = encode(rows)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    held = [v for v in vars(T._loaded[file]).values() if isinstance(v, known_words.KnownWords)]
+    assert sum(map(len, held)) <= len(some) + 30
+    T._loaded.clear()
+
+
+def test_a_batch_is_met_in_parts():
+    """What a batch of texts takes at once doesn't grow with the batch."""
+    import tracemalloc
+
+    from sectionspark.llm import packing as P
+
+    encode = P.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    encode(["a"], 1)
+    r = random.Random(7)
+    some = ["".join(r.choice("abcde") for _ in range(5)) for _ in range(200)]
+    rows = [" ".join(r.choices(some, k=500)) for _ in range(330)]
+    for lo, hi in known_words.cuts(rows):
+        encode(rows[lo:hi], 1)
+    tracemalloc.start()
+    for lo, hi in known_words.cuts(rows):
+        encode(rows[lo:hi], 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    P._loaded.clear()
+    assert peak < 12e6
