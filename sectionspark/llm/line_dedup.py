@@ -27,17 +27,21 @@ WIDE = 4
 BROADCAST_LINES = 1_000_000
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a text in lower case, with blanks for all white space inside them. Few
-    texts hold other white space, and a search for it is cheaper than a pattern."""
+def _folded(text: Column) -> Column:
+    """A text in lower case, with blanks for all white space inside its lines. Few texts hold
+    other white space, and a search for it is cheaper than a pattern."""
     odd = reduce(lambda a, b: a | b, [text.contains(c) for c in "\t\x0b\f\r"])
-    return F.split(F.lower(F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)), "\n")
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(_folded(text), "\n")
 
 
 def _ranks(base: DataFrame) -> str:
     """Occurrences of the words of all lines in COUNTERS hashed counters, as ranks from 0 to 99
     (two for each doubling). They order the words; no result depends on their errors."""
-    words = base.select(F.explode(_lines(F.col("t"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    words = base.select(F.explode(F.split(F.replace(_folded(F.col("t")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     at = words.select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
     rank = F.least(F.floor(F.log2("count") * 2), F.lit(99)).cast("int")
     out = ["0"] * COUNTERS
@@ -50,9 +54,10 @@ def _codes(line: Column, ranks: str) -> Column:
     """The distinct words of a line, rarest first: a rank in 8 bits over 56 bits of hash (the
     rank stands for the other 8, so the code is nearly as good as the whole hash)."""
     table = F.expr(f"cast(split('{ranks}', ',') as array<bigint>)")  # folded into a constant of a fixed size
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rank = lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56)
-    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    code = lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # what lies below a lambda is interpreted, so only hashing and looking up do
+    codes = F.transform(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), code)
+    return F.sort_array(F.array_remove(F.array_distinct(codes), code(F.xxhash64(F.lit("")))))
 
 
 def _parity(codes: str | Column) -> Column:
