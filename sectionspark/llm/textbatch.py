@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes handled at once (numbers of 8 bytes are made for each); a longer text is handled alone.
+CHUNK_BYTES = 1 << 18
 
 # ASCII white space (tab, line feed, vertical tab, form feed, return, space).
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
