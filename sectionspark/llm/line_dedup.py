@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from sectionspark.llm.scratch import dropped, stored, unused
 
 #: Counters of the frequencies that order the words.
-COUNTERS = 1 << 17
+COUNTERS = 1 << 16
 #: Parts of 64 bits in the bitmaps that candidates are compared by; a power of 2.
 WIDE = 4
 #: Up to so many lines their places are broadcast; more are joined by a shuffle. Up to so many
 #: ids that several rows have are broadcast; with more, all rows get a digest.
 BROADCAST_LINES = 1_000_000
+#: Words repeat within a file, so Parquet stores them as numbers in a dictionary: about 0.9 bytes
+#: of disk for each of the input instead of 2.1.
+DICTIONARY = {"parquet.dictionary.page.size": 16 << 20}
 
 
 def _folded(text: Column) -> Column:
@@ -38,39 +41,60 @@ def _lines(text: Column) -> Column:
     return F.split(_folded(text), "\n")
 
 
-def _ranks(base: DataFrame) -> str:
-    """Occurrences of the words of all lines in COUNTERS hashed counters, as ranks from 0 to 99
-    (two for each doubling). They order the words; no result depends on their errors."""
-    words = base.select(F.explode(F.split(F.replace(_folded(F.col("t")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    at = words.select(F.xxhash64("w").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
+def _words(line: Column) -> Column:
+    """The distinct words of a line, by hashes of 64 bits in their order."""
+    # what lies below a lambda is interpreted, so only hashing does
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
+
+
+def _ranks(words: DataFrame) -> str:
+    """Lines that hold the words of each of COUNTERS hashed counters, as ranks from 0 to 99 (two
+    for each doubling). They order the words; no result depends on their errors."""
+    at = words.select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(COUNTERS - 1).cast("int").alias("at"))
     rank = F.least(F.floor(F.log2("count") * 2), F.lit(99)).cast("int")
+    found = at.groupBy("at").count().agg(F.collect_list("at").alias("at"), F.collect_list(rank).alias("rank")).first()  # COUNTERS numbers each at most
     out = ["0"] * COUNTERS
-    for i, r in at.groupBy("at").count().select("at", rank).collect():  # COUNTERS rows at most
+    for i, r in zip(found["at"], found["rank"], strict=True):
         out[i] = str(r)
     return ",".join(out)
 
 
-def _codes(line: Column, ranks: str) -> Column:
-    """The distinct words of a line, rarest first: a rank in 8 bits over 56 bits of hash (the
+def _rarest_first(words: str | Column, ranks: str) -> Column:
+    """Hashes of words as codes, rarest first: a rank in 8 bits over 56 bits of the hash (the
     rank stands for the other 8, so the code is nearly as good as the whole hash)."""
     table = F.expr(f"cast(split('{ranks}', ',') as array<bigint>)")  # folded into a constant of a fixed size
-    code = lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    # what lies below a lambda is interpreted, so only hashing and looking up do
-    codes = F.transform(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), code)
-    return F.sort_array(F.array_remove(F.array_distinct(codes), code(F.xxhash64(F.lit("")))))
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _parity(codes: str | Column) -> Column:
+def _codes(line: Column, ranks: str) -> Column:
+    """The codes of a line's distinct words, rarest first."""
+    return F.array_distinct(_rarest_first(_words(line), ranks))
+
+
+def _parity(words: str | Column) -> Column:
     """64 bits, each the parity of the words that hash to it; of two sets at least as many
     words differ as bits do."""
     masks = F.expr(f"cast(split('{','.join(str(1 << i) for i in range(63))},{-(1 << 63)}', ',') as array<bigint>)")
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(masks[c.bitwiseAND(63)]))
+    bits = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(masks[h.bitwiseAND(63)]))
+    return F.coalesce(bits, F.lit(0).cast("bigint"))  # never null, so joins on it add no test that computes it again
 
 
 def _n(of: str) -> Column:
     return F.shiftright(F.col(f"{of}.nq"), 32)
 
 
+def _among(lines: DataFrame, ids: DataFrame, within: bool = True) -> DataFrame:
+    """The lines whose number u is among those of ids, or the others. A bitmap of 4 KB tells
+    32,768 numbers, so a thousand million lines take about 128 MB and need no shuffle."""
+    ids = ids.select("u", F.bitmap_bucket_number("u").alias("_at")).repartition("_at")
+    bits = stored(ids.groupBy("_at").agg(F.bitmap_construct_agg(F.bitmap_bit_position("u")).alias("_bits")), "bitmaps")
+    near_by = F.broadcast(bits) if bits.count() <= BROADCAST_LINES // 32 else bits
+    found = F.expr("getbit(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(u) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(u) % 8 as int)) = 1")
+    joined = lines.join(near_by, F.bitmap_bucket_number("u") == F.col("_at"), "inner" if within else "left")
+    return joined.where(found if within else ~F.coalesce(found, F.lit(False))).select(*lines.columns)
+
+
 def _earlier(x: str, y: str, key: list[str]) -> Column:
     a, b = F.col(f"{x}.{key[0]}"), F.col(f"{y}.{key[0]}")
     return (a < b) | ((a == b) & _earlier(x, y, key[1:])) if key[1:] else a < b
@@ -112,21 +136,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed, name = _keyed(docs, id_col, text_col)
     key = [*name, "p"]  # of a line
     base = keyed.select(*(F.col(column).alias(c) for c, column in name.items()), F.col(text_col).alias("t"))
-    ranks = _ranks(base)
-    # a test on the codes would be computed a second time below them, so the text is tested
+    # a test on the words would be computed a second time below them, so the text is tested
     lines = base.select(*name, F.posexplode(_lines(F.col("t"))).alias("p", "line")).where(F.trim("line") != "")
-    sets = lines.select(*key, _codes(F.col("line"), ranks).alias("codes"))
-    n = F.size("codes")
-    # 32 bits of a word are enough to find candidates
-    rare = F.transform(F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda c: c.bitwiseAND((1 << 31) - 1).cast("int"))
+    sets = lines.select(*key, _words(F.col("line")).alias("words"))
     # u is the line's number in the stored table
-    table = sets.select(*key, F.monotonically_increasing_id().alias("u"), n.alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), _parity("codes").alias("b"), rare.alias("rare"))
-    table = stored(table, "lines")
+    table = sets.select(*key, F.monotonically_increasing_id().alias("u"), F.size("words").alias("n"), F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(1), "words").alias("s2"), "words")
+    table = stored(table, "lines", **DICTIONARY)
+    ranks = _ranks(table)
 
-    # one row for each different set: its first line
-    first = table.groupBy("s1", "s2").agg(F.min(F.struct(*key, "u", "n", "b", "rare")).alias("f")).select("f.u", "f.n", "f.b", "f.rare")
-    # n and the position q of a word as one number
-    prefix = first.select("u", "n", "b", F.posexplode("rare").alias("q", "k")).select("u", "b", "k", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("q")).alias("nq"))
+    # all lines of a set but its first fold; those later than it go (rows equal in id and text have lines of one key)
+    several = stored(table.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"), "repeated-lines")
+    few = several.count() <= BROADCAST_LINES
+    repeated = table.join(F.broadcast(several) if few else several, ["s1", "s2"]).select("s1", "s2", *key, "u")
+    firsts = repeated.groupBy("s1", "s2").agg(F.min(F.struct(*key, "u")).alias("f"))
+    later = F.struct(*key) != F.struct(*(F.col(f"f.{c}") for c in key))
+    copies = repeated.join(F.broadcast(firsts) if few else firsts, ["s1", "s2"]).where(F.col("u") != F.col("f.u"))
+    copies = stored(copies.select(*key, "u", later.alias("later")), "copied-lines")
+    first = _among(table.select("u", "n", "words"), copies, within=False)
+
+    n = F.col("n")
+    rare = F.slice(_rarest_first("words", ranks), 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    # bitmaps come before the words are dealt out, else each row computes its own
+    prefix = first.select("u", "n", _parity("words").alias("b"), rare.alias("rare")).select("u", "n", "b", F.posexplode_outer("rare").alias("q", "c"))
+    # outer, as for others Spark adds a test that computes them a second time; none is empty
+    # 32 bits of a word are enough to find candidates; n and the position q of a word as one number
+    prefix = prefix.select("u", "b", F.col("c").bitwiseAND((1 << 31) - 1).cast("int").alias("k"), F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("q")).alias("nq"))
     t, s = percent, 100 + percent  # overlap o of n1 and n2 words: o / (n1 + n2 - o) >= t / 100
 
     def near(order: Column, *maps: str) -> Column:
@@ -145,51 +179,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # words of lines that have a candidate, earlier or later, at that word
     other = F.col("x.u") != F.col("y.u")
     open_ = stored(prefix.alias("y").join(prefix.alias("x"), near(other, "b"), "left_semi"), "candidates")
-    wanted = stored(open_.select("u", "b").distinct(), "candidate-lines")
-    n_wanted = wanted.count()
-    near_by = lambda df: F.broadcast(df) if n_wanted <= BROADCAST_LINES else df
 
     # the same with wider bitmaps leaves few words, nearly all of lines that match
     wide = [f"b{j}" for j in range(WIDE)]
-    places = table.select(*key, "u").join(near_by(wanted), "u").groupBy(*name).agg(F.collect_list(F.struct("p", "u", "b")).alias("places"))
-    texts = base.join(near_by(places), list(name)).select(*name, "places", _lines(F.col("t")).alias("lines"))
-    picked = F.transform("places", lambda at: F.struct(at["p"].alias("p"), at["u"].alias("u"), at["b"].alias("b"), F.get("lines", at["p"]).alias("line")))
-    again = texts.select(*name, F.explode(picked).alias("at")).select(*name, "at.*")
-    again = again.dropDuplicates(["u"]) if "g" in name else again  # rows equal in id and text
-    maps = again.select(*key, "u", "b", _codes(F.col("line"), ranks).alias("codes"))
-    maps = maps.select("*", *(_parity(F.filter("codes", lambda c: c.bitwiseAND(64 * (WIDE - 1)) == 64 * j)).alias(b) for j, b in enumerate(wide[1:], 1)))  # noqa: B023
-    maps = stored(maps.withColumn("b0", reduce(Column.bitwiseXOR, map(F.col, wide[1:]), F.col("b"))).drop("b"), "candidate-words")
-    facing = open_.select("u", "k", "nq").join(near_by(maps.select("u", *wide)), "u")
+    maps = _among(table.select(*key, "u", "words"), open_.select("u").distinct())
+    maps = maps.select("*", *(_parity(F.filter("words", lambda h: h.bitwiseAND(64 * (WIDE - 1)) == 64 * j)).alias(b) for j, b in enumerate(wide)))  # noqa: B023
+    maps = stored(maps, "candidate-words", **DICTIONARY)
+    dropped(table)
+    beside = maps.select("u", *wide)
+    facing = open_.select("u", "k", "nq").join(F.broadcast(beside) if maps.count() <= BROADCAST_LINES // 2 else beside, "u")
     close = stored(facing.alias("y").join(facing.alias("x"), near(other, *wide), "left_semi"), "close-lines")
     dropped(open_)
-    codes = stored(maps.join(near_by(close.select("u").distinct()), "u", "left_semi").select("u", *key, "codes"), "close-words")
+    words = stored(_among(maps.select("u", *key, "words"), close.select("u").distinct()), "close-words")
+    few = words.count() <= BROADCAST_LINES // 2
     dropped(maps)
     raw = close
-    close = close.join(near_by(codes.select("u", *key)), "u")
-    words, codes = codes, codes.select("u", "codes")
+    own = words.select("u", *key)
+    close = close.join(F.broadcast(own) if few else own, "u")
+    sets = words.select("u", "words")
 
     # most later lines match the first candidate of a word; the others meet all of them
     earlier = near(_earlier("x", "y", key), *wide)
     lead = close.groupBy("k").agg(F.min(F.struct(*key, "u", "nq", *wide)).alias("lead")).select("k", "lead.*")
     pairs = close.alias("y").join(lead.alias("x"), earlier).select(F.col("y.u").alias("w"), F.col("x.u").alias("v")).distinct()
-    exact = F.size(F.array_intersect("x.codes", "y.codes")) * s >= (F.size("x.codes") + F.size("y.codes")) * t
-    pairs = pairs.join(codes.alias("x"), F.col("v") == F.col("x.u")).select("w", "x.codes")
-    easy = stored(pairs.alias("x").join(codes.alias("y"), F.col("w") == F.col("y.u")).where(exact).select("y.u").distinct(), "matched-lines")
+    exact = F.size(F.array_intersect("x.words", "y.words")) * s >= (F.size("x.words") + F.size("y.words")) * t
+    pairs = pairs.join(sets.alias("x"), F.col("v") == F.col("x.u")).select("w", "x.words")
+    easy = stored(pairs.alias("x").join(sets.alias("y"), F.col("w") == F.col("y.u")).where(exact).select("y.u").distinct(), "matched-lines")
     hard = close.join(easy, "u", "left_anti")
     hard = stored(hard.alias("y").join(close.alias("x"), earlier, "left_semi"), "open-lines")
     # a row for a line and word, with the line's words
-    facing = close.join(hard.select("k").distinct(), "k", "left_semi").join(codes, "u")
-    matched = hard.join(codes, "u").alias("y").join(facing.alias("x"), earlier & exact, "left_semi").select("u").union(easy)
-    matched = table.join(near_by(matched.distinct()), "u", "left_semi").select(*key)
-
-    # all lines of a set but its first go, and the firsts that match an earlier line
-    several = stored(table.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"), "repeated-lines")
-    few = several.count() <= BROADCAST_LINES
-    repeated = table.join(F.broadcast(several) if few else several, ["s1", "s2"]).select("s1", "s2", *key)
-    firsts = repeated.groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("f"))
-    copies = repeated.join(F.broadcast(firsts) if few else firsts, ["s1", "s2"]).where(F.struct(*key) != F.col("f")).select(*key)
-    gone = stored(copies.union(matched).distinct(), "removed-lines")
-    for used in (table, several, wanted, words, raw, easy, hard):
+    facing = close.join(hard.select("k").distinct(), "k", "left_semi").join(sets, "u")
+    matched = hard.join(sets, "u").alias("y").join(facing.alias("x"), earlier & exact, "left_semi").select("u").union(easy)
+    matched = matched.distinct()
+    matched = own.join(F.broadcast(matched) if few else matched, "u", "left_semi").select(*key)
+    gone = stored(copies.where("later").select(*key).union(matched).distinct(), "removed-lines")
+    for used in (several, copies, words, raw, easy, hard):
         dropped(used)
     _gone = unused(keyed, "_gone")
     places = gone.groupBy(*(F.col(c).alias(column) for c, column in name.items())).agg(F.collect_set("p").alias(_gone))
