@@ -16,7 +16,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionspark.llm.scratch import dropped, stored, unused
+from sectionspark.llm.scratch import dropped, sorted_shuffles, stored, unused
 
 #: Counters of the frequencies that order the words.
 COUNTERS = 1 << 16
@@ -64,7 +64,9 @@ def _rarest_first(words: str | Column, ranks: str) -> Column:
     """Hashes of words as codes, rarest first: a rank in 8 bits over 56 bits of the hash (the
     rank stands for the other 8, so the code is nearly as good as the whole hash)."""
     table = F.expr(f"cast(split('{ranks}', ',') as array<bigint>)")  # folded into a constant of a fixed size
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(table[h.bitwiseAND(COUNTERS - 1)], 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    # where no code can be null, they are sorted as plain numbers, else one object for each
+    rank = lambda h: F.coalesce(table[h.bitwiseAND(COUNTERS - 1)], F.lit(0).cast("bigint"))
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _codes(line: Column, ranks: str) -> Column:
@@ -132,7 +134,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one set with more words. An empty table gives an empty result. Words are told apart by 64
     bits of a hash (56 when lines are compared), texts of one id by 64.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    with sorted_shuffles(docs.sparkSession):
+        return _without_later(docs.drop("n_lines", "n_removed"), id_col, text_col, percent)
+
+
+def _without_later(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     keyed, name = _keyed(docs, id_col, text_col)
     key = [*name, "p"]  # of a line
     base = keyed.select(*(F.col(column).alias(c) for c, column in name.items()), F.col(text_col).alias("t"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Partitions of a shuffle where the session has Spark's default of 200. Up to 200
+#: (spark.shuffle.sort.bypassMergeThreshold) each task writes a file for each partition, which
+#: costs more than a small table's rows; for more, it sorts its rows by partition into one file.
+PARTITIONS = 256
+
+
+@contextmanager
+def sorted_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside write one file for each task and shuffle; a number of partitions that the
+    session sets itself stays."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if before == "200":  # Spark's default
+        spark.conf.set(name, str(PARTITIONS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}
