@@ -148,7 +148,6 @@ def _without_later(docs: DataFrame, id_col: str, text_col: str, percent: int) ->
     # u is the line's number in the stored table
     table = sets.select(*key, F.monotonically_increasing_id().alias("u"), F.size("words").alias("n"), F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(1), "words").alias("s2"), "words")
     table = stored(table, "lines", **DICTIONARY)
-    ranks = _ranks(table)
 
     # all lines of a set but its first fold; those later than it go (rows equal in id and text have lines of one key)
     several = stored(table.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"), "repeated-lines")
@@ -159,6 +158,7 @@ def _without_later(docs: DataFrame, id_col: str, text_col: str, percent: int) ->
     copies = repeated.join(F.broadcast(firsts) if few else firsts, ["s1", "s2"]).where(F.col("u") != F.col("f.u"))
     copies = stored(copies.select(*key, "u", later.alias("later")), "copied-lines")
     first = _among(table.select("u", "n", "words"), copies, within=False)
+    ranks = _ranks(first)  # of the lines that meet
 
     n = F.col("n")
     rare = F.slice(_rarest_first("words", ranks), 1, n - F.ceil(n * percent / 100).cast("int") + 1)
@@ -223,6 +223,7 @@ def _without_later(docs: DataFrame, id_col: str, text_col: str, percent: int) ->
         dropped(used)
     _gone = unused(keyed, "_gone")
     places = gone.groupBy(*(F.col(c).alias(column) for c, column in name.items())).agg(F.collect_set("p").alias(_gone))
+    places = stored(places, "removed-places")
     if gone.count() <= BROADCAST_LINES:
         places = F.broadcast(places)
     out = keyed.join(places, list(name.values()), "left").select(*docs.columns, _gone)
